@@ -23,3 +23,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op6_neardup"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s) WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, seen) AS (SELECT rep, rep FROM c UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT id, min(seen) AS comp FROM r GROUP BY id),
+k AS (SELECT s.doc_id, len(s.s) AS n, coalesce(m.comp, s.doc_id) AS comp FROM s LEFT JOIN c ON c.s = list_sort(s.s) LEFT JOIN m ON m.id = c.rep)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, comp AS component_id, comp = doc_id AS kept FROM k
+"""
