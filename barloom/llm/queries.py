@@ -23,6 +23,12 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_t(spark, sf_dir, "documents"), width=2)
 
 
+def op7_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser import language_model_scores
+
+    return language_model_scores(_t(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
