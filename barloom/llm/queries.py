@@ -16,6 +16,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_t(spark, sf_dir, "documents"))
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_recurring_lines
+
+    return drop_recurring_lines(_t(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
