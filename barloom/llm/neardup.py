@@ -11,11 +11,14 @@
    greater, smaller and equal, jointly with both set sizes. Pairs estimated ``MARGIN``
    below the threshold (4.8 standard errors) go.
 5. What is left is confirmed on the full sets of shingles of the whole texts.
-6. Components of the confirmed links follow. In a bucket whose members still lie in
-   several components, all members outside its largest one are compared with all others of
-   another component, in blocks of at most about ``BLOCK`` by ``BLOCK`` inside one row, so
-   that no link is lost and no list of all pairs is ever made. Steps 4 to 6 then repeat for
-   those.
+6. Components of the confirmed links follow, first from ``FIRST`` bands, then from all of
+   them for pairs that still lie in different components.
+7. In a bucket whose members lie in several components, all members outside its largest one
+   are estimated against all others of another component, in blocks inside one row (a pair
+   only in the first band that its two documents share). What passes is a document and a
+   component to try it against: blocks of such documents meet blocks of the component's
+   members, and their full sets are intersected at once. So no link that changes a component
+   is lost, and no list of all pairs is ever made.
 
 Defined results: null text or a text without words has an empty set and is linked with
 nothing; a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
@@ -33,7 +36,7 @@ from .components import components
 from .stash import map_batches, stash
 from .textvec import SPACED, gram_hashes, mix, slices
 
-REGISTERS, BAND, BANDS = 256, 6, 42
+REGISTERS, BAND, BANDS, FIRST = 256, 6, 42, 8
 BASE, RATE, TOP = 1.001, 20.0, 65535
 MARGIN = 0.12
 BLOCK, CHUNK = 64, 64
@@ -100,8 +103,9 @@ def _bands(batches):
             for c in range(b * BAND, (b + 1) * BAND):
                 h = mix(h * np.uint64(0xD6E8FEB86659FD93) + k[:, c])
             keys.append(h)
-        ids = np.asarray(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BANDS))], ["band", "doc_id"])
+        place = np.repeat(np.arange(BANDS, dtype=np.int8), len(k))
+        ids = np.tile(np.asarray(batch.column(0)), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place), pa.array(ids)], ["band", "place", "doc_id"])
 
 
 def likelihood(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
@@ -118,14 +122,14 @@ def likelihood(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndar
     lo, hi = np.zeros(len(u)), top
     for _ in range(3):  # a grid, made finer around the best point
         width = hi - lo
-        for t in np.linspace(0, 1, 33):
+        for t in np.linspace(0, 1, 17):
             j = lo + t * width
             p, q = prob(u - v * j), prob(v - u * j)
             e = np.maximum(1 - p - q, 1e-300)
             ll = more * np.log(np.maximum(p, 1e-300)) + less * np.log(np.maximum(q, 1e-300)) + (REGISTERS - more - less) * np.log(e)
             up = ll > value
             best, value = np.where(up, j, best), np.where(up, ll, value)
-        lo, hi = np.maximum(best - width / 16, 0), np.minimum(best + width / 16, top)
+        lo, hi = np.maximum(best - width / 12, 0), np.minimum(best + width / 12, top)
     return best
 
 
@@ -183,24 +187,58 @@ def _confirm(batches, width: int, percent: int):
 
 
 def _across(batches, low: float):
-    """Pairs of two blocks, of different components, that the likelihood lets pass."""
+    """Of two blocks of a bucket: (document, component) of which some pair passes the likelihood."""
     for batch in batches:
-        out_a, out_b = [], []
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        out = set()
+        for place, left, right in zip(*(c.to_pylist() for c in batch.columns)):
             k = np.frombuffer(b"".join(x["registers"] for x in right), np.uint16).reshape(-1, REGISTERS)
-            ids = np.array([x["doc_id"] for x in right])
             comp = np.array([x["comp"] for x in right])
             n = np.array([x["n_shingles"] for x in right], float)
             for x in left:
+                if x["comp"] == x["main"]:
+                    continue
                 rest = np.flatnonzero((comp != x["comp"]) & (np.minimum(n, x["n_shingles"]) >= low * np.maximum(n, x["n_shingles"])))
+                own = np.frombuffer(x["registers"], np.uint16)
+                same = own == k[rest]
+                # what an estimate of ``low`` needs at least, and no band before this one in common
+                ok = same.sum(axis=1) >= (low - 0.1) * REGISTERS
+                ok[ok] = ~same[ok, : BAND * place].reshape(int(ok.sum()), place, BAND).all(axis=2).any(axis=1)
+                rest = rest[ok]
                 if not len(rest):
                     continue
-                own = np.frombuffer(x["registers"], np.uint16)
                 more, less = (own > k[rest]).sum(axis=1), (own < k[rest]).sum(axis=1)
-                ok = rest[likelihood(np.full(len(rest), float(x["n_shingles"])), n[rest], more, less) >= low]
-                out_a += np.minimum(ids[ok], x["doc_id"]).tolist()
-                out_b += np.maximum(ids[ok], x["doc_id"]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                fit = likelihood(np.full(len(rest), float(x["n_shingles"])), n[rest], more, less) >= low
+                out.update((x["doc_id"], c) for c in set(comp[rest[fit]].tolist()))
+        out = sorted(out)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["x", "comp"])
+
+
+def _sets(block: list, width: int) -> list[np.ndarray]:
+    return [u for _, u in shingle_sets(pa.array([x["text"] for x in block], pa.string()), width)]
+
+
+def _intersect(batches, width: int, percent: int):
+    """Of a block of documents and a block of a component's members: one confirmed link each document."""
+    for batch in batches:
+        a, b = [], []
+        for left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            own, other = _sets(left, width), _sets(right, width)
+            vocab = np.unique(np.concatenate(own))
+            has = np.zeros((len(vocab) + 1, len(own)), bool)
+            for i, u in enumerate(own):
+                has[np.searchsorted(vocab, u), i] = True
+            size = np.array([len(u) for u in own])
+            found = np.zeros(len(own), bool)
+            for v, y in zip(other, right):
+                at = np.searchsorted(vocab, v)
+                at[vocab[np.minimum(at, len(vocab) - 1)] != v] = len(vocab)
+                both = has[at].sum(axis=0)
+                for i in np.flatnonzero(~found & (size > 0) & (100 * both >= percent * (size + len(v) - both))).tolist():
+                    if left[i]["doc_id"] != y["doc_id"]:
+                        found[i] = True
+                        a.append(min(left[i]["doc_id"], y["doc_id"]))
+                        b.append(max(left[i]["doc_id"], y["doc_id"]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _stars(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -232,47 +270,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = ["key_a", "key_b", "n_shingles"]
     classes = known.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     reps = known.join(classes, keys).filter("doc_id = rep").select("doc_id", "n_shingles", "registers")
-    bands = map_batches(reps.select("doc_id", "registers"), _bands, "band long, doc_id long")
+    bands = map_batches(reps.select("doc_id", "registers"), _bands, "band long, place byte, doc_id long")
     stars = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     full = stash(bands.join(stars, "band"), "bands")
-    pairs = full.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pair = full.filter("doc_id <> hub").select("place", F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     texts = stash(_with_bloom(docs, full.select("doc_id").distinct()), "texts")
     facts = known.select("doc_id", "n_shingles", "registers")
-    maybe = map_batches(_stars(stash(pairs, "pairs"), facts), lambda b: _estimate(b, low), "a long, b long")
-    links = _confirmed(maybe.distinct(), texts, width, percent)
     of_doc = known.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep").distinct()
     # rows that repeat a doc_id may lie in several classes: the id is one node
     ties = stash(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("high")), "reps")
     twice = ties.filter("rep <> high").select("doc_id", F.col("rep").alias("a"))
-    links = links.unionByName(of_doc.join(twice, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")))
+    links = of_doc.join(twice, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    links = links.unionByName(_confirmed(pair.filter(F.col("place") < FIRST).select("a", "b").distinct(), facts, texts, low, width, percent))
+    label = components(links)
+    left, right = (label.select(F.col("id").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
+    rest = pair.filter(F.col("place") >= FIRST).select("a", "b").distinct().join(left, "a", "left").join(right, "b", "left")
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.unionByName(_confirmed(rest, facts, texts, low, width, percent))
+    label = components(links)
+    links = links.unionByName(_between(full, label, facts, texts, low, width, percent))
     label = components(links)
-    # buckets that still hold several components
-    placed = full.join(label, full["doc_id"] == label["id"], "left").select("band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("size"), F.max("n").alias("most")).filter("comps > 1")
-    open_rows = stash(placed.join(mixed, "band"), "open")
-    item = F.struct("doc_id", "comp", "n_shingles", "registers").alias("item")
-    detail = open_rows.join(facts, "doc_id")
-    right = detail.select("band", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).alias("r"), item).groupBy("band", "r").agg(F.collect_list("item").alias("right"))
-    left = detail.filter("comp <> main").select("band", F.pmod(F.xxhash64("doc_id"), F.ceil((F.col("size") - F.col("most")) / BLOCK)).alias("l"), item)
-    left = left.groupBy("band", "l").agg(F.collect_list("item").alias("left"))
-    blocks = left.join(right, "band").select("left", "right")
-    more = map_batches(blocks, lambda b: _across(b, low), "a long, b long").distinct()
-    more = stash(more, "more")
-    if not more.isEmpty():
-        more = _confirmed(more, texts, width, percent)
-        label = components(links.unionByName(more))
     comp = ties.join(label, ties["rep"] == label["id"], "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     out = sketch.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _confirmed(maybe: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    maybe = stash(maybe, "maybe")
+def _confirmed(pairs: DataFrame, facts: DataFrame, texts: DataFrame, low: float, width: int, percent: int) -> DataFrame:
+    """The links among ``pairs`` (a, b): by likelihood, then on the full sets."""
+    maybe = map_batches(_stars(stash(pairs, "pairs"), facts), lambda b: _estimate(b, low), "a long, b long")
+    maybe = stash(maybe.distinct(), "maybe")
     return stash(map_batches(_stars(maybe, texts), lambda b: _confirm(b, width, percent), "a long, b long").distinct(), "links")
 
 
+def _blocks(rows: DataFrame, key: str, item: F.Column, name: str) -> DataFrame:
+    """Rows (key, doc_id, ...) of each key in lists of about ``BLOCK``, by a hash of doc_id."""
+    size = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return rows.join(size, key).groupBy(key, F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")).agg(F.collect_list(item).alias(name)).drop("part")
+
+
+def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFrame, low: float, width: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket (step 7)."""
+    placed = full.join(label, full["doc_id"] == label["id"], "left").select("band", "place", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("size")).filter("comps > 1")
+    detail = placed.join(mixed, "band").join(facts, "doc_id")
+    item = F.struct("doc_id", "comp", "main", "n_shingles", "registers")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).alias("part")
+    block = detail.groupBy("band", "place", part).agg(F.collect_list(item).alias("items"), F.max(F.col("comp") != F.col("main")).alias("open"))
+    left = block.filter("open").select("band", F.col("items").alias("left"))
+    both = left.join(block.select("band", "place", F.col("items").alias("right")), "band").select("place", "left", "right")
+    tries = stash(map_batches(both, lambda b: _across(b, low), "x long, comp long").distinct(), "tries")
+    xs = tries.select("comp", F.col("x").alias("doc_id")).join(texts, "doc_id")
+    goal = tries.select("comp").distinct()
+    members = goal.join(label.select(F.col("comp").alias("c"), "id"), F.col("comp") == F.col("c"), "left").select("comp", F.coalesce("id", "comp").alias("doc_id")).join(texts, "doc_id")
+    text = F.struct("doc_id", "text")
+    meet = _blocks(xs, "comp", text, "left").join(_blocks(members, "comp", text, "right"), "comp").select("left", "right")
+    return stash(map_batches(meet, lambda b: _intersect(b, width, percent), "a long, b long").distinct(), "links")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, with all columns; rows that repeat a kept doc_id all stay."""
     found = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
