@@ -29,6 +29,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import private_digest
+
+    return private_digest(_t(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_text
 
