@@ -59,6 +59,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import align_recordings, render
+
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), F.col("embedding").cast("array<double>").alias("media"))
+    return align_recordings(vectors, F.col("rec_id") % 50 == 0, decode=render)
+
+
+def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toolcalls import conversation_calls
+
+    return conversation_calls(_t(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

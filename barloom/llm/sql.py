@@ -43,3 +43,16 @@ m AS (SELECT id, min(seen) AS comp FROM r GROUP BY id),
 k AS (SELECT s.doc_id, len(s.s) AS n, coalesce(m.comp, s.doc_id) AS comp FROM s LEFT JOIN c ON c.s = list_sort(s.s) LEFT JOIN m ON m.id = c.rep)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, comp AS component_id, comp = doc_id AS kept FROM k
 """
+
+SQL["op10_toolcalls"] = r"""
+WITH u AS (SELECT * FROM conversations WHERE role = 'user'), a AS (SELECT * FROM conversations WHERE role = 'assistant')
+SELECT u.conv_id, 'turn-' || u.turn AS call_id, u.turn, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS level,
+  CAST(a.turn IS NOT NULL AS BIGINT) AS n_results, a.turn AS result_turn, true AS valid, '' AS errors,
+  '{"arguments":{"prompt":' || CAST(to_json(u.text) AS VARCHAR) || '},"errors":[],"id":"turn-' || u.turn || '","level":0,"name":"reply","result":' ||
+    CASE WHEN a.turn IS NULL THEN 'null' ELSE CAST(to_json(a.text) AS VARCHAR) END || ',"turn":' || u.turn || '}' AS json
+FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+UNION ALL
+SELECT a.conv_id, 'turn-' || (a.turn - 1), NULL, NULL, NULL, 1, a.turn, false, 'no call',
+  '{"id":"turn-' || (a.turn - 1) || '","result":' || CAST(to_json(a.text) AS VARCHAR) || ',"turn":' || a.turn || '}'
+FROM a ANTI JOIN u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+"""
