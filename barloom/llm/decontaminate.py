@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import map_batches, stash
+from .stash import map_batches, stash, without
 from .textvec import ALNUM, gram_hashes, slices
 
 BLOCK_BYTES = 8 << 20
@@ -225,5 +225,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **o
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, **options) -> DataFrame:
     """The documents in which fewer than ``min_items`` items occur, with all their columns."""
-    bad = contamination(docs, benchmark, min_items, **options).filter("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), docs["doc_id"] == F.col("__bad"), "left_anti").select(*docs.columns)
+    bad = contamination(docs, benchmark, min_items, **options).filter("contaminated")
+    return without(docs, bad.select("doc_id"))

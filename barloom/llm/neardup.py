@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stash import map_batches, stash
+from .stash import map_batches, stash, without
 from .textvec import SPACED, gram_hashes, mix, slices
 
 REGISTERS, BAND, BANDS, FIRST = 256, 6, 42, 8
@@ -331,5 +331,4 @@ def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFra
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, with all columns; rows that repeat a kept doc_id all stay."""
-    found = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, **options).filter("not kept").select("doc_id"))

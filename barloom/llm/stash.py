@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PATHS: list[tuple[object, str]] = []
 
@@ -79,3 +80,13 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package importable on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+SENT_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is not in ``ids`` (one column): sent to all tasks up to ``SENT_IDS``, joined beyond."""
+    ids = stash(ids.select(F.col(ids.columns[0]).alias("__id")).filter("__id is not null").distinct(), "ids")
+    small = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["__id"], "left_anti")
