@@ -20,10 +20,10 @@ def quote_columns(df: DataFrame) -> list[str]:
 
 
 def validate_prices(df: DataFrame, low: float = 0, high: float = 100) -> DataFrame:
-    """contract_id, column, below, above: how many values leave the range."""
+    """contract_id, field, below, above: how many values leave the range."""
     cols = price_columns(df)
     counts = df.groupBy("contract_id").agg(*[F.count_if(F.col(c) < low).alias(f"b_{c}") for c in cols], *[F.count_if(F.col(c) > high).alias(f"a_{c}") for c in cols])
-    items = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b_{c}").alias("below"), F.col(f"a_{c}").alias("above")) for c in cols])).alias("x")
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"b_{c}").alias("below"), F.col(f"a_{c}").alias("above")) for c in cols])).alias("x")
     return counts.select("contract_id", items).select("contract_id", "x.*")
 
 
@@ -47,7 +47,7 @@ def validate(df: DataFrame, settings: Cleaning | None = None) -> DataFrame:
     """contract_id, is_valid and messages of all checks."""
     s = settings or Cleaning()
     prices = validate_prices(df, s.min_price, s.max_price)
-    text = [F.when(F.col(k) > 0, F.concat_ws(" ", F.col("column"), F.lit(word), F.col(k).cast("string"))) for k, word in (("below", "below range:"), ("above", "above range:"))]
+    text = [F.when(F.col(k) > 0, F.concat_ws(" ", F.col("field"), F.lit(word), F.col(k).cast("string"))) for k, word in (("below", "below range:"), ("above", "above range:"))]
     prices = prices.select("contract_id", F.explode(F.filter(F.array(*text), lambda x: x.isNotNull())).alias("error"))
     spreads = validate_spreads(df, s.max_spread_pct).filter("wide_spreads > 0").select("contract_id", F.concat(F.lit("wide spreads: "), F.col("wide_spreads").cast("string")).alias("error"))
     times = df.filter("ts is null").groupBy("contract_id").agg(F.count("*").alias("n")).select("contract_id", F.concat(F.lit("null times: "), F.col("n").cast("string")).alias("error"))

@@ -58,6 +58,7 @@ def align(df: DataFrame, metrics: list[str] | tuple[str, ...] = DEFAULT_METRICS,
 
 def _cubic(points: DataFrame, grid: DataFrame, max_gap: float) -> DataFrame:
     key = ["contract_id", "metric"]
+    not_a_knot = spline_function()
 
     def spline(name, left, right):
         import numpy as np
@@ -72,27 +73,33 @@ def _cubic(points: DataFrame, grid: DataFrame, max_gap: float) -> DataFrame:
         out = right[["contract_id", "category", "metric", "grid_min"]].assign(value=v, n=right["n"])
         return pd.DataFrame(out[~gap])
 
+    points = points.select(*[F.col(c).alias(c) for c in points.columns])  # names of its own beside the grid's
     return points.groupBy(*key).cogroup(grid.groupBy(*key)).applyInPandas(spline, "contract_id string, category string, metric string, grid_min long, value double, n long")
 
 
-def not_a_knot(x, y, g):
-    """A cubic spline whose third derivative is continuous at the second and the last but one point."""
-    import numpy as np
-
-    n = len(x)
-    if n < 4:
-        return np.polyval(np.polyfit(x, y, n - 1), g) if n > 1 else np.full(len(g), y[0] if n else np.nan)
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * (d[i] - d[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, b)
-    k = np.clip(np.searchsorted(x, g, side="right") - 1, 0, n - 2)
-    t, s = g - x[k], x[k + 1] - g
-    return (m[k] * s**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * s + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
+def spline_function():
+    """The spline as a local function: it travels to the workers by value."""
+
+    def not_a_knot(x, y, g):
+        """A cubic spline whose third derivative is continuous at the second and the last but one point."""
+        import numpy as np
+
+        n = len(x)
+        if n < 4:
+            return np.polyval(np.polyfit(x, y, n - 1), g) if n > 1 else np.full(len(g), y[0] if n else np.nan)
+        h, d = np.diff(x), np.diff(y) / np.diff(x)
+        a, b = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            b[i] = 6 * (d[i] - d[i - 1])
+        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+        m = np.linalg.solve(a, b)
+        k = np.clip(np.searchsorted(x, g, side="right") - 1, 0, n - 2)
+        t, s = g - x[k], x[k + 1] - g
+        return (m[k] * s**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * s + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
+
+    return not_a_knot
 
 
 def normalise_trajectories(aligned: DataFrame, method: str = "zscore") -> DataFrame:

@@ -38,7 +38,7 @@ class Query:
         if self.sql is None:
             return None
         times = {"ts", "bin", "start_date", "end_date", "hour", "period", "event_time"}
-        cols = [f"CAST(epoch({c}) AS BIGINT) AS {c}" if c in times else c for c in self.exact.split()]
+        cols = [f"CAST(floor(epoch({c})) AS BIGINT) AS {c}" if c in times else c for c in self.exact.split()]
         cols += [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in self.real.split()]
         return f"{S.with_needed(self.sql)} SELECT {', '.join(cols)} FROM ({self.sql}) AS result"
 
@@ -115,7 +115,7 @@ Q["s_load_min_observations"] = Query(_panel, "contract_id category ts volume", "
 Q["i_identity"] = Query(_ids, "raw category valid_id status", "", S.IDENTITY)
 Q["i_detect_frequency"] = Query(lambda s, d: source.detect_frequency(bars(s, d)), "contract_id frequency", "", S.FREQUENCY)
 Q["i_event_time"] = Query(lambda s, d: source.with_event_time(bars(s, d)).select("contract_id", "event_time").distinct(), "contract_id event_time", "", "SELECT contract_id, CASE WHEN category = 'Sports' THEN min(ts) ELSE max(ts) END AS event_time FROM bars GROUP BY contract_id, category")
-Q["c_validate_prices"] = Query(lambda s, d: cleaning.validate_prices(bars(s, d), 5, 95), "contract_id column below above", "", S.VALIDATE_PRICES)
+Q["c_validate_prices"] = Query(lambda s, d: cleaning.validate_prices(bars(s, d), 5, 95), "contract_id field below above", "", S.VALIDATE_PRICES)
 Q["c_validate_spreads"] = Query(lambda s, d: cleaning.validate_spreads(bars(s, d), 0.5), "contract_id wide_spreads", "", "SELECT contract_id, count(*) FILTER (WHERE CASE WHEN yes_bid_c = 0 THEN yes_ask_c > 0 ELSE (yes_ask_c - yes_bid_c) / yes_bid_c > 0.5 END) AS wide_spreads FROM bars GROUP BY 1")
 Q["c_validate_times"] = Query(lambda s, d: cleaning.validate_times(bars(s, d), "event_id"), "contract_id null_times backward_times", "", "SELECT contract_id, count(*) FILTER (WHERE ts IS NULL) AS null_times, count(*) FILTER (WHERE ts < p) AS backward_times FROM (SELECT *, lag(ts) OVER (PARTITION BY contract_id ORDER BY event_id) AS p FROM bars) GROUP BY 1")
 Q["c_validate"] = Query(_validated, "contract_id is_valid errors", "", S.VALIDATE)

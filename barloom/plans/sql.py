@@ -54,7 +54,7 @@ TABLES = {
     "f1": f"""SELECT *, lag(price_c) OVER ({W}) AS p0, yes_ask_c - yes_bid_c AS spread, (yes_ask_c + yes_bid_c) / 2 AS midpoint,
       CAST(volume AS DOUBLE) AS v, (epoch(ts) - epoch(min(ts) OVER ({P}))) / 3600 AS tsl_hours, (epoch(max(ts) OVER ({P})) - epoch(ts)) / 3600 AS tts_hours FROM hr""",
     "f2": f"""SELECT *, price_c / p0 - 1 AS pct_return, abs(price_c / p0 - 1) AS abs_return, ln(price_c / p0) AS log_return,
-      ln(least(greatest(price_c / 100, 0.001), 0.999) / (1 - least(greatest(price_c / 100, 0.001), 0.999))) - ln(least(greatest(p0 / 100, 0.001), 0.999) / (1 - least(greatest(p0 / 100, 0.001), 0.999))) AS logit_return,
+      CASE WHEN price_c IS NOT NULL AND p0 IS NOT NULL THEN ln(least(greatest(price_c / 100, 0.001), 0.999) / (1 - least(greatest(price_c / 100, 0.001), 0.999))) - ln(least(greatest(p0 / 100, 0.001), 0.999) / (1 - least(greatest(p0 / 100, 0.001), 0.999))) END AS logit_return,
       CASE WHEN midpoint > 0 THEN spread / midpoint END AS spread_pct, spread - lag(spread) OVER ({W}) AS spread_tightening,
       CASE WHEN tsl_hours + tts_hours > 0 THEN least(greatest(tsl_hours / (tsl_hours + tts_hours), 0.0), 1.0) ELSE 0.0 END AS lifecycle_ratio FROM f1""",
     "f": f"""SELECT *, {rolling("stddev_samp", "pct_return", 5, 3)} AS volatility_short, {rolling("stddev_samp", "pct_return", 15, 3)} AS volatility_medium, {rolling("stddev_samp", "pct_return", 60, 3)} AS volatility_long,
@@ -98,12 +98,12 @@ IDENTITY = f"""SELECT raw, CASE WHEN raw IN ({', '.join(repr(c) for c in CANONIC
   FROM (VALUES ('nfl'), (' Politics'), ('Sports'), ('some-other cat'), ('BTC'), ('climate')) AS v(raw)"""
 FREQUENCY = f"""SELECT contract_id, CASE WHEN m IS NULL THEN 'MINUTE' WHEN m <= 1.5 THEN 'SECOND' WHEN m <= 90 THEN 'MINUTE' WHEN m <= 5400 THEN 'HOUR' ELSE 'DAY' END AS frequency
   FROM (SELECT contract_id, quantile_cont(d, 0.5) AS m FROM (SELECT contract_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({W})) / 1e6 AS d FROM bars) GROUP BY 1)"""
-_RANGES = lambda lo, hi: " UNION ALL ".join(f"SELECT contract_id, '{c}' AS column, count(*) FILTER (WHERE {c} < {lo}) AS below, count(*) FILTER (WHERE {c} > {hi}) AS above FROM bars GROUP BY 1" for c in PRICES)
+_RANGES = lambda lo, hi: " UNION ALL ".join(f"SELECT contract_id, '{c}' AS field, count(*) FILTER (WHERE {c} < {lo}) AS below, count(*) FILTER (WHERE {c} > {hi}) AS above FROM bars GROUP BY 1" for c in PRICES)
 VALIDATE_PRICES = f"SELECT * FROM ({_RANGES(5, 95)})"
 VALIDATE = f"""SELECT i.contract_id, e.errors IS NULL AS is_valid, coalesce(e.errors, '') AS errors FROM (SELECT DISTINCT contract_id FROM bars) i LEFT JOIN (
   SELECT contract_id, string_agg(e, '; ' ORDER BY e) AS errors FROM (
-    SELECT contract_id, "column" || ' below range: ' || below AS e FROM ({_RANGES(1, 99)}) WHERE below > 0
-    UNION ALL SELECT contract_id, "column" || ' above range: ' || above FROM ({_RANGES(1, 99)}) WHERE above > 0
+    SELECT contract_id, field || ' below range: ' || below AS e FROM ({_RANGES(1, 99)}) WHERE below > 0
+    UNION ALL SELECT contract_id, field || ' above range: ' || above FROM ({_RANGES(1, 99)}) WHERE above > 0
     UNION ALL SELECT contract_id, 'wide spreads: ' || count(*) FROM bars WHERE CASE WHEN yes_bid_c = 0 THEN yes_ask_c > 0 ELSE (yes_ask_c - yes_bid_c) / yes_bid_c > 0.5 END GROUP BY 1) GROUP BY 1) e ON e.contract_id = i.contract_id"""
 LINEAR = f"""SELECT contract_id, ts, CASE WHEN a IS NULL THEN NULL WHEN b IS NULL OR a.n = b.n THEN a.p ELSE a.p + (b.p - a.p) * (n - a.n) / (b.n - a.n) END AS price_c FROM (
   SELECT *, last_value(x IGNORE NULLS) OVER (ORDER BY contract_id, n ROWS UNBOUNDED PRECEDING) AS a0, last_value(x IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS a,
@@ -142,7 +142,7 @@ _SHARES = "SELECT category, contract_id, state, count(*) AS n, count(*) / sum(co
 _ENTROPY = f"SELECT category, contract_id, count(*) AS n_states, CASE WHEN count(*) > 1 THEN -sum(share * log2(share)) / log2(count(*)) ELSE 0 END AS regime_entropy, arg_max(state, n * 10 - state) AS dominant_regime FROM ({_SHARES}) GROUP BY 1, 2"
 ENTROPY = f"SELECT * FROM ({_ENTROPY})"
 ENTROPY_BINS = f"SELECT category, CAST(least(9, floor(regime_entropy * 10)) AS INT) AS entropy_bin, count(*) AS n_contracts, quantile_cont(regime_entropy, 0.5) AS median_entropy FROM ({_ENTROPY}) GROUP BY 1, 2"
-_RAW = f"""(SELECT contract_id, category, ts, volume, coalesce(p / lag(p) OVER ({W}) - 1, 0) AS pct_return, least(greatest(spread / nullif(mid, 0), 0.0), 1.0) AS spread_pct,
+_RAW = f"""(SELECT contract_id, category, ts, volume, coalesce(p / lag(p) OVER ({W}) - 1, 0) AS pct_return, CASE WHEN spread / nullif(mid, 0) IS NOT NULL THEN least(greatest(spread / nullif(mid, 0), 0.0), 1.0) END AS spread_pct,
   coalesce((epoch_us(ts) - min(epoch_us(ts)) OVER ({P})) / nullif(max(epoch_us(ts)) OVER ({P}) - min(epoch_us(ts)) OVER ({P}), 0), 0.5) AS lifecycle_ratio
   FROM (SELECT contract_id, category, ts, coalesce(volume, 0) AS volume, greatest(yes_ask_c - yes_bid_c, 0) AS spread, (yes_ask_c + yes_bid_c) / 2 AS mid, {_LAST("price_c")} AS p FROM bars))"""
 
@@ -191,11 +191,11 @@ ALIGN_SPARSE = """WITH e AS (SELECT contract_id, CAST(floor((CAST(epoch(min(ts))
   pt AS (SELECT contract_id, category, metric, (e - us) / 6e7 AS x, y FROM (
     SELECT contract_id, category, epoch_us(ts) AS us, 'price_c' AS metric, price_c AS y FROM cl UNION ALL SELECT contract_id, category, epoch_us(ts), 'volume', CAST(volume AS DOUBLE) FROM cl) JOIN e USING (contract_id) WHERE y IS NOT NULL),
   n AS (SELECT contract_id, category, metric, count(*) AS n, min(x) AS lo, max(x) AS hi FROM pt GROUP BY 1, 2, 3),
-  gr AS (SELECT contract_id, category, metric, n, CAST(unnest(range(-24, 25)) * 60 AS DOUBLE) AS at, lo, hi FROM n WHERE n >= 3),
-  a AS (SELECT gr.*, p.x AS ax, p.y AS ay FROM gr ASOF JOIN pt p ON p.contract_id = gr.contract_id AND p.metric = gr.metric AND gr.at >= p.x),
-  b AS (SELECT a.*, p.x AS bx, p.y AS by_ FROM a ASOF JOIN pt p ON p.contract_id = a.contract_id AND p.metric = a.metric AND a.at <= p.x)
-  SELECT contract_id, category, metric, CAST(at AS BIGINT) AS grid_min, n, CASE WHEN ax = at THEN ay ELSE ay + (by_ - ay) * (at - ax) / (bx - ax) END AS value FROM b
-  WHERE NOT (ax < at AND bx > at AND bx - ax > 600)"""
+  gr AS (SELECT contract_id, category, metric, n, CAST(unnest(range(-24, 25)) * 60 AS DOUBLE) AS pos, lo, hi FROM n WHERE n >= 3),
+  a AS (SELECT gr.*, p.x AS ax, p.y AS ay FROM gr ASOF JOIN pt p ON p.contract_id = gr.contract_id AND p.metric = gr.metric AND gr.pos >= p.x),
+  b AS (SELECT a.*, p.x AS bx, p.y AS by_ FROM a ASOF JOIN pt p ON p.contract_id = a.contract_id AND p.metric = a.metric AND a.pos <= p.x)
+  SELECT contract_id, category, metric, CAST(pos AS BIGINT) AS grid_min, n, CASE WHEN ax = pos THEN ay ELSE ay + (by_ - ay) * (pos - ax) / (bx - ax) END AS value FROM b
+  WHERE NOT (ax < pos AND bx > pos AND bx - ax > 600)"""
 
 
 def weighted(category: str) -> str:
