@@ -46,6 +46,11 @@ _PARTS = {
 PATTERN = "|".join(_PARTS[k] for k in KINDS)
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _round(key: Column, kind: Column, r: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", key, kind, r.cast("string"), half, key), 256)
 
@@ -74,8 +79,9 @@ def _digits(key: Column, kind: Column, digits: Column) -> Column:
     """A keyed permutation of the strings of 2 to 18 digits, each length for itself."""
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
+    pad = lambda x, k: F.lpad(x.cast("string"), 9, "0").substr(10 - k, k)
     out = _numbers(key, kind, digits.substr(F.lit(1), a), digits.substr(a + 1, n - a), _power(a), _power(n - a))
-    return F.concat(F.lpad(out["l"].cast("string"), 9, "0").substr(10 - a, a), F.lpad(out["r"].cast("string"), 9, "0").substr(10 - (n - a), n - a))
+    return let(out, lambda o: F.concat(pad(o["l"], a), pad(o["r"], n - a)))
 
 
 def _letters(key: Column, kind: Column, text: Column) -> Column:
@@ -85,14 +91,15 @@ def _letters(key: Column, kind: Column, text: Column) -> Column:
     span = F.when(text.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
 
     def shift(half: Column, h: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            by = F.conv(h.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        def one(c: Column, i: Column, x: Column) -> Column:
+            by = F.conv(x.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int")
             low, high, digit = c.rlike("[a-z]"), c.rlike("[A-Z]"), c.rlike("[0-9]")
             base = F.when(low, 97).when(high, 65).otherwise(48)
             size = F.when(low, span).when(high, F.lit(26)).otherwise(F.lit(10))
             return F.when(low | high | digit, F.char(base + (F.ascii(c) - base + by) % size)).otherwise(c)
 
-        return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
+        made = let(h, lambda x: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(c, i, x)), ""))
+        return F.when(F.length(half) == 0, half).otherwise(made)
 
     def turn(s: Column, r: Column) -> Column:
         odd = r % 2 == 1
@@ -102,7 +109,7 @@ def _letters(key: Column, kind: Column, text: Column) -> Column:
 
     start = F.struct(text.substr(F.lit(1), a).alias("l"), text.substr(a + 1, n - a).alias("r"))
     out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    return F.concat(out["l"], out["r"])
+    return let(out, lambda o: F.concat(o["l"], o["r"]))
 
 
 def luhn_digit(body: Column) -> Column:
@@ -155,7 +162,8 @@ def kind_of(m: Column) -> Column:
     digits = _only_digits(m)
     ssn = ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
     phone = m.rlike(r"^\+[0-9]{8,15}$") | m.rlike(r"^(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}[).-] ?[2-9][0-9]{2}[.-][0-9]{4}$")
-    card = F.length(digits).between(13, 19) & (luhn_digit(digits.substr(F.lit(1), F.length(digits) - 1)) == digits.substr(F.length(digits), F.lit(1))) & ~digits.rlike("^0+$")
+    check = let(digits, lambda d: let(d.substr(F.lit(1), F.length(d) - 1), luhn_digit) == d.substr(F.length(d), F.lit(1)))
+    card = F.length(digits).between(13, 19) & check & ~digits.rlike("^0+$")
     return (
         F.when(m.contains("@") & m.rlike(_full("email")), "email")
         .when(m.rlike("^(?:AKIA|password|passwd|token|secret|api)"), "secret")
@@ -167,35 +175,46 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, kind: Column, key: Column) -> Column:
-    """The pseudonym of a validated value."""
-    digits = _only_digits(m)
-    n = F.length(digits)
-    email = F.concat(_letters(key, kind, F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
-    head = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.regexp_extract(m, r'^([a-z_]+ ?[=:] ?"?)', 1))
-    secret = F.concat(head, _letters(key, kind, m.substr(F.length(head) + 1, F.length(m))))
-    two = F.lit(65536).cast("long")
-    ip = _numbers(key, kind, _octet(m, 0) * 256 + _octet(m, 1), _octet(m, 2) * 256 + _octet(m, 3), two, two)
-    ip = F.concat_ws(".", *[x.cast("string") for x in (F.floor(ip["l"] / 256), ip["l"] % 256, F.floor(ip["r"] / 256), ip["r"] % 256)])
-    side = F.lit(270).cast("long")
-    day = _numbers(key, kind, F.floor(_day(m) / 270), _day(m) % 270, side, side)
-    day = F.date_add(F.lit("1900-03-01").cast("date"), (day["l"] * 270 + day["r"]).cast("int"))
-    date = reduce(lambda w, x: w.when(m.rlike(x[1]), F.date_format(day, x[0])), _DATES.items(), F.when(F.lit(False), m))
-    # social security numbers: 898 areas (001-899 without 666), 99 groups of 9999 serials
+def _ssn(m: Column, digits: Column, kind: Column, key: Column) -> Column:
+    """898 areas (001-899 without 666), each with 99 groups of 9999 serials."""
     area = digits.substr(1, 3).cast("int")
     area = F.when(area > 666, area - 2).otherwise(area - 1)
     rest = (digits.substr(4, 2).cast("int") - 1) * 9999 + digits.substr(6, 4).cast("int") - 1
-    ssn = _numbers(key, kind, area, rest, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"))
-    area = F.when(ssn["l"] >= 665, ssn["l"] + 2).otherwise(ssn["l"] + 1)
-    ssn = F.format_string("%03d-%02d-%04d", area, F.floor(ssn["r"] / 9999) + 1, ssn["r"] % 9999 + 1)
+    made = _numbers(key, kind, area, rest, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"))
+    new = lambda x: F.when(x["l"] >= 665, x["l"] + 2).otherwise(x["l"] + 1)
+    return let(made, lambda x: F.format_string("%03d-%02d-%04d", new(x), F.floor(x["r"] / 9999) + 1, x["r"] % 9999 + 1))
+
+
+def _phone(m: Column, digits: Column, kind: Column, key: Column) -> Column:
+    n = F.length(digits)
     ten = digits.substr(n - 9, F.lit(10))
     eight = _digits(key, kind, F.concat(ten.substr(2, 2), ten.substr(5, 6)))
-    local = F.concat(ten.substr(1, 1), eight.substr(1, 2), ten.substr(4, 1), eight.substr(3, 6))
-    north = F.concat(digits.substr(F.lit(1), n - 10), local)
+    north = let(eight, lambda e: F.concat(digits.substr(F.lit(1), n - 10), ten.substr(1, 1), e.substr(1, 2), ten.substr(4, 1), e.substr(3, 6)))
     world = F.concat(digits.substr(1, 2), _digits(key, kind, digits.substr(F.lit(3), n - 2)))
-    phone = _put(m, F.when(m.rlike(r"^\+[0-9]{8,15}$"), world).otherwise(north))
+    return let(F.when(m.rlike(r"^\+[0-9]{8,15}$"), world).otherwise(north), lambda d: _put(m, d))
+
+
+def _card(m: Column, digits: Column, kind: Column, key: Column) -> Column:
+    n = F.length(digits)
     body = F.concat(digits.substr(1, 1), _digits(key, kind, digits.substr(F.lit(2), n - 2)))
-    card = _put(m, F.concat(body, luhn_digit(body)))
+    return let(let(body, lambda b: F.concat(b, luhn_digit(b))), lambda d: _put(m, d))
+
+
+def pseudonym(m: Column, kind: Column, key: Column) -> Column:
+    """The pseudonym of a validated value."""
+    email = F.concat(_letters(key, kind, F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
+    head = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.regexp_extract(m, r'^([a-z_]+ ?[=:] ?"?)', 1))
+    secret = let(head, lambda h: F.concat(h, _letters(key, kind, m.substr(F.length(h) + 1, F.length(m)))))
+    two = F.lit(65536).cast("long")
+    ip = _numbers(key, kind, _octet(m, 0) * 256 + _octet(m, 1), _octet(m, 2) * 256 + _octet(m, 3), two, two)
+    ip = let(ip, lambda x: F.concat_ws(".", *[y.cast("string") for y in (F.floor(x["l"] / 256), x["l"] % 256, F.floor(x["r"] / 256), x["r"] % 256)]))
+    side = F.lit(270).cast("long")
+    day = let(_day(m), lambda x: _numbers(key, kind, F.floor(x / 270), x % 270, side, side))
+    day = let(day, lambda x: F.date_add(F.lit("1900-03-01").cast("date"), (x["l"] * 270 + x["r"]).cast("int")))
+    date = let(day, lambda x: reduce(lambda w, y: w.when(m.rlike(y[1]), F.date_format(x, y[0])), _DATES.items(), F.when(F.lit(False), m)))
+    digits = _only_digits(m)
+    of = lambda f: let(digits, lambda d: f(m, d, kind, key))
+    ssn, phone, card = of(_ssn), of(_phone), of(_card)
     made = {"email": email, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
     return reduce(lambda w, k: w.when(kind == k, made[k]), KINDS, F.when(F.lit(False), m)).otherwise(m)
 
