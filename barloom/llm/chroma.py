@@ -8,8 +8,8 @@
    a packed 32-bit integer for each place of a window of ``WINDOW`` frames.
 3. Recordings with the same fingerprint form a class with its smallest id as representative.
 4. Queries are taken in blocks of ``BLOCK`` classes (a bound on what is broadcast), each of which
-   is one pass over all classes. Halves of the integers are looked up in the block; what they
-   hit votes for (query, offset) in a histogram. Places with ``VOTES`` votes are compared over
+   is one pass over all classes. The upper and the lower ``KEY_BITS`` bits of the integers are
+   looked up in the block; what they hit votes for (query, offset) in a histogram. Places with ``VOTES`` votes are compared over
    the whole overlap, which must be ``OVERLAP`` of the shorter recording, and at most ``ERRORS``
    of the bits may differ. A hot value costs votes in
    a worker, never rows.
@@ -35,6 +35,7 @@ from .stash import map_batches, stash
 
 RATE, FRAME, HOP, WINDOW = 4000, 1024, 256, 12
 VOTES, OVERLAP, ERRORS, BLOCK = 3, 0.5, 0.25, 20_000
+KEY_BITS = 20
 
 _FREQ = np.fft.rfftfreq(FRAME, 1 / RATE)
 _USED = np.flatnonzero((_FREQ >= 100) & (_FREQ <= 1900))
@@ -79,11 +80,16 @@ def render(vector: list | None) -> np.ndarray | None:
     if not vector:
         return None
     v = np.nan_to_num(np.array([0.0 if x is None else x for x in vector], np.float32))
-    step = np.clip(np.round(v * 40) + 18, 0, 36)
-    tone = 220 * 2 ** (step / 12)
-    t = np.arange(2 * HOP, dtype=np.float32) / RATE
-    notes = np.sin(2 * np.pi * tone[:, None] * t[None, :]).astype(np.float32) + 0.5 * np.sin(4 * np.pi * tone[:, None] * t[None, :]).astype(np.float32)
-    return notes.ravel()
+    return _NOTES[np.clip(np.round(v * 40) + 18, 0, 36).astype(int)].ravel()
+
+
+def _notes() -> np.ndarray:
+    """37 half tones from 220 Hz, each with its octave."""
+    phase = 2 * np.pi * 220 * 2 ** (np.arange(37)[:, None] / 12) * np.arange(2 * HOP)[None, :] / RATE
+    return (np.sin(phase) + 0.5 * np.sin(2 * phase)).astype(np.float32)
+
+
+_NOTES = _notes()
 
 
 def chroma(x: np.ndarray) -> np.ndarray:
@@ -92,7 +98,8 @@ def chroma(x: np.ndarray) -> np.ndarray:
     if n < 1:
         return np.zeros((0, 12))
     frames = np.lib.stride_tricks.as_strided(x, (n, FRAME), (x.strides[0] * HOP, x.strides[0])) * _HANN
-    power = np.abs(np.fft.rfft(frames, axis=1)[:, _USED]) ** 2
+    spectrum = np.fft.rfft(frames, axis=1)[:, _USED]
+    power = spectrum.real**2 + spectrum.imag**2
     c = power @ _FOLD.T
     wide = np.pad(c, ((2, 2), (0, 0)), mode="edge")
     c = sum(w * wide[k : k + n] for k, w in enumerate(_SMOOTH))
@@ -134,37 +141,45 @@ def _prints(batches, decode):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype("<u4").tobytes() if len(f) else None for f in out], pa.binary())], ["rec_id", "print"])
 
 
+def lookup_keys(p: np.ndarray) -> np.ndarray:
+    """The upper and, marked by a bit of their own, the lower bits of packed integers."""
+    low = np.uint32((1 << KEY_BITS) - 1)
+    return np.concatenate([p >> np.uint32(32 - KEY_BITS), (p & low) | np.uint32(1 << KEY_BITS)])
+
+
 class Block:
-    """Fingerprints of some queries with an index over the halves of their integers."""
+    """Fingerprints of some queries with an index over parts of their integers."""
 
     def __init__(self, ids: list[int], prints: list[bytes]):
         self.ids = ids
         self.prints = [np.frombuffer(p, "<u4") for p in prints]
-        length = np.array([len(p) for p in self.prints])
+        length = self.length = np.array([len(p) for p in self.prints])
         values = np.concatenate(self.prints)
         which, place = np.repeat(np.arange(len(ids)), length), np.concatenate([np.arange(n) for n in length])
-        keys = np.concatenate([values >> np.uint32(16), (values & np.uint32(0xFFFF)) | np.uint32(0x10000)])
+        keys = lookup_keys(values)
         by = np.argsort(keys, kind="stable")
-        self.edge = np.searchsorted(keys[by], np.arange(0x20001))
+        self.keys = keys[by]
         self.which, self.place = np.tile(which, 2)[by].astype(np.int64), np.tile(place, 2)[by].astype(np.int64)
 
     def matches(self, p: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query, offset, votes, share of different bits) of the best offset of each query that aligns."""
-        keys = np.concatenate([p >> np.uint32(16), (p & np.uint32(0xFFFF)) | np.uint32(0x10000)]).astype(np.int64)
-        lo, hi = self.edge[keys], self.edge[keys + 1]
+        keys = lookup_keys(p)
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         n = hi - lo
         if not n.sum():
             return []
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         offset = np.repeat(np.tile(np.arange(len(p)), 2), n) - self.place[at]
         pairs, votes = np.unique((self.which[at] << np.int64(32)) + offset + (1 << 31), return_counts=True)
+        pairs, votes = pairs[votes >= VOTES], votes[votes >= VOTES]
+        which, off = pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)
+        own_n = self.length[which]
+        common = np.minimum(len(p), own_n + off) - np.maximum(0, off)
+        fit = common >= OVERLAP * np.minimum(own_n, len(p))
         best: dict[int, tuple] = {}
-        for pair, v in zip(pairs[votes >= VOTES].tolist(), votes[votes >= VOTES].tolist()):
-            q, off = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 31)
+        for q, off, v in zip(which[fit].tolist(), off[fit].tolist(), votes[fit].tolist()):
             own = self.prints[q]
             a, b = max(0, off), min(len(p), len(own) + off)
-            if b - a < OVERLAP * min(len(own), len(p)):
-                continue
             errors = int(np.bitwise_count(p[a:b] ^ own[a - off : b - off]).sum()) / (32 * (b - a))
             if errors <= ERRORS and (q not in best or (errors, -v, off) < best[q]):
                 best[q] = (errors, -v, off)
