@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Surges
-from barloom.functions.common import by_time, first_present, flag, quantile, rows, safe_div, whole
+from barloom.functions.common import by_time, first_present, flag, quantile, rows, safe_div, so_far, whole
 
 ABS_NAMES = ("abs_return", "pct_return", "log_return")
 
 
-def _surges(df: DataFrame, value: Column, kind: str, threshold: float, lookback: int) -> DataFrame:
-    df = df.withColumn("__x", value.cast("double"))
+def _surge_columns(df: DataFrame, value: Column, lookback: int, to: str) -> DataFrame:
+    """``to`` + _z and ``to`` + _m: the z-score and rolling mean over ``lookback`` rows, with five values at least."""
+    x = value.cast("double")
     w = rows(lookback)
-    enough = F.count("__x").over(w) >= 5
-    mean, sd = F.when(enough, F.avg("__x").over(w)), F.when(enough, F.stddev_samp("__x").over(w))
-    df = df.withColumn("baseline", mean).withColumn("magnitude", safe_div(F.col("__x") - mean, F.nullif(sd, F.lit(0.0))))
-    return df.filter(flag(F.col("magnitude") > threshold)).select("contract_id", "ts", F.lit(kind).alias("type"), "magnitude", "baseline")
+    enough = F.count(x).over(w) >= 5
+    mean, sd = F.when(enough, F.avg(x).over(w)), F.when(enough, F.stddev_samp(x).over(w))
+    return df.withColumns({f"{to}_m": mean, f"{to}_z": safe_div(x - mean, F.nullif(sd, F.lit(0.0)))})
+
+
+def _surges(df: DataFrame, value: Column, kind: str, threshold: float, lookback: int) -> DataFrame:
+    df = _surge_columns(df, value, lookback, "__s")
+    return df.filter(flag(F.col("__s_z") > threshold)).select("contract_id", "ts", F.lit(kind).alias("type"), F.col("__s_z").alias("magnitude"), F.col("__s_m").alias("baseline"))
 
 
 def volume_surges(df: DataFrame, threshold: float = 2.0, lookback: int = 30) -> DataFrame:
@@ -41,33 +46,45 @@ def surge_ratio(df: DataFrame, metric: str = "volume", lookback: int = 30) -> Da
     return df.withColumn("surge_ratio", F.when(F.count(x).over(w) >= 5, F.try_divide(x, F.nullif(F.avg(x).over(w), F.lit(0.0)))))
 
 
-def burst_intensity(df: DataFrame, mult: float = 2.0, least: int = 10, keys: tuple[str, ...] = ("contract_id",)) -> DataFrame:
-    """burst_intensity: mean z-score of volatilities above mean + mult deviations; 0 without any, NULL below ``least`` values."""
+def _bursts(df: DataFrame, mult: float, least: int) -> tuple[DataFrame, Column]:
     v = F.col("volatility_short")
-    stats = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"), F.count(v).alias("__n"))
-    both = df.select(*keys, "volatility_short").join(stats, list(keys))
-    high = F.avg(F.when(v > F.col("__m") + mult * F.col("__s"), F.try_divide(v - F.col("__m"), F.col("__s"))))
-    out = both.groupBy(*keys, "__s", "__n").agg(high.alias("__b"))
-    value = F.when(F.col("__n") < least, None).when(flag(F.col("__s") == 0) | F.col("__b").isNull(), 0.0).otherwise(F.col("__b"))
-    return out.select(*keys, value.alias("burst_intensity"))
+    df = df.withColumns({"__bm": F.avg(v).over(whole()), "__bs": F.stddev_samp(v).over(whole()), "__bn": F.count(v).over(whole())})
+    high = F.avg(F.when(v > F.col("__bm") + mult * F.col("__bs"), safe_div(v - F.col("__bm"), F.nullif(F.col("__bs"), F.lit(0.0)))))
+    return df, F.when(F.max("__bn") >= least, F.coalesce(high, F.lit(0.0)))
+
+
+def burst_intensity(df: DataFrame, mult: float = 2.0, least: int = 10) -> DataFrame:
+    """burst_intensity: mean z-score of volatilities above mean + mult deviations; 0 without any, NULL below ``least`` values."""
+    df, value = _bursts(df.select("contract_id", "volatility_short"), mult, least)
+    return df.groupBy("contract_id").agg(value.alias("burst_intensity"))
+
+
+def _log_slope(df: DataFrame, points: int, least: int) -> tuple[DataFrame, Column]:
+    """Rows with ``__taken``, and the aggregate over them."""
+    ok = flag((F.col("spread") > 0) & F.col("lifecycle_ratio").isNotNull())
+    one = F.when(ok, 1).otherwise(0)
+    df = df.withColumns({"__i": F.sum(one).over(so_far()) - 1, "__k": F.sum(one).over(whole())})
+    i, n = F.col("__i"), F.col("__k")
+    k = F.ceil(i * (points - 1) / F.nullif(n - 1, F.lit(0)))
+    df = df.withColumn("__taken", ok & ((n <= points) | (F.floor(k * (n - 1) / (points - 1)) == i)))
+    x, y = F.when(F.col("__taken"), F.col("lifecycle_ratio")), F.when(F.col("__taken"), F.ln("spread"))
+    return df, F.when((F.max("__k") >= least) & (F.var_pop(x) > 0), F.regr_slope(y, x))
 
 
 def collapse_slope_log(df: DataFrame, points: int = 200, least: int = 10) -> DataFrame:
     """spread_collapse_log: slope of ln(spread) on the lifecycle ratio, over at most ``points`` evenly placed rows."""
-    ok = df.filter("spread > 0 and lifecycle_ratio is not null").select("contract_id", "ts", "spread", "lifecycle_ratio")
-    i, n = F.row_number().over(by_time()) - 1, F.count(F.lit(1)).over(whole())
-    ok = ok.withColumn("__i", i).withColumn("__n", n)
-    k = F.ceil(F.col("__i") * (points - 1) / F.nullif(F.col("__n") - 1, F.lit(0)))
-    taken = (F.col("__n") <= points) | (F.floor(k * (F.col("__n") - 1) / (points - 1)) == F.col("__i"))
-    out = ok.filter(taken).groupBy("contract_id").agg(F.max("__n").alias("n"), F.regr_slope(F.ln("spread"), "lifecycle_ratio").alias("slope"), F.var_pop("lifecycle_ratio").alias("v"))
-    return out.select("contract_id", F.when((F.col("n") >= least) & (F.col("v") > 0), F.col("slope")).alias("spread_collapse_log"))
+    df, slope = _log_slope(df.select("contract_id", "ts", "spread", "lifecycle_ratio"), points, least)
+    return df.groupBy("contract_id").agg(slope.alias("spread_collapse_log"))
+
+
+def _raw_slope(least: int) -> Column:
+    both = F.col("spread").isNotNull() & F.col("lifecycle_ratio").isNotNull()
+    return F.when(F.count_if(both) >= least, F.regr_slope("spread", "lifecycle_ratio"))
 
 
 def collapse_slope_raw(df: DataFrame, least: int = 10) -> DataFrame:
     """spread_collapse_slope: slope of the spread itself over all rows."""
-    ok = df.filter("spread is not null and lifecycle_ratio is not null")
-    out = ok.groupBy("contract_id").agg(F.count("*").alias("n"), F.regr_slope("spread", "lifecycle_ratio").alias("slope"))
-    return out.select("contract_id", F.when(F.col("n") >= least, F.col("slope")).alias("spread_collapse_slope"))
+    return df.groupBy("contract_id").agg(_raw_slope(least).alias("spread_collapse_slope"))
 
 
 def spread_curve(df: DataFrame, step: int = 300) -> DataFrame:
@@ -97,54 +114,80 @@ def spread_by_regime(df: DataFrame) -> DataFrame:
     return df.groupBy("contract_id", "regime").agg(F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), quantile(s, 0.5).alias("median"), F.count(s).alias("count"))
 
 
+def _shocks(df: DataFrame, q: float, window_minutes: int, least: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with ``__took``, minutes to recovery at each shock's start, and the aggregates over them."""
+    s = F.col("spread")
+    df = df.withColumns({"__q": quantile(s, q).over(whole()), "__med": quantile(s, 0.5).over(whole()), "__t": F.unix_seconds("ts"), "__n": F.count(s).over(whole())})
+    df = df.withColumn("__high", s > F.col("__q"))
+    before = F.last("__high", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, -1))
+    ahead = whole().orderBy("__t").rangeBetween(0, window_minutes * 60)
+    df = df.withColumns({"__start": flag(F.col("__high")) & ~flag(before), "__back": F.min(F.when(s <= F.col("__med"), F.col("__t"))).over(ahead)})
+    df = df.withColumn("__took", F.when(F.col("__start"), (F.col("__back") - F.col("__t")) / 60.0))
+    enough, k = F.max("__n") >= least, F.count_if("__start")
+    rate = F.when(enough, F.when(k == 0, 1.0).otherwise(F.try_divide(F.count("__took"), k)))
+    out = {"shocks": F.when(enough, k).otherwise(0), "median_recovery": F.when(enough, quantile("__took", 0.5)), "mean_recovery": F.when(enough, F.avg("__took")), "recovery_rate": rate}
+    return df, out
+
+
 def shock_resilience(df: DataFrame, q: float = 0.95, window_minutes: int = 30, least: int = 20) -> DataFrame:
     """Spread shocks (starts above the quantile) and how they recover to the median within the window.
 
     shocks, median_recovery and mean_recovery in minutes, recovery_rate: 1 without shocks, NULL
     below ``least`` rows.
     """
-    s, t = F.col("spread"), F.unix_seconds("ts")
-    df = df.filter("spread is not null").withColumns({"__q": quantile(s, q).over(whole()), "__m": quantile(s, 0.5).over(whole()), "__t": t, "__n": F.count(F.lit(1)).over(whole())})
-    high = s > F.col("__q")
-    ahead = whole().orderBy("__t").rangeBetween(0, window_minutes * 60)
-    df = df.withColumn("__start", high & ~F.coalesce(F.lag(high).over(by_time()), F.lit(False))).withColumn("__back", F.min(F.when(s <= F.col("__m"), F.col("__t"))).over(ahead))
-    took = F.when(F.col("__start"), (F.col("__back") - F.col("__t")) / 60.0)
-    out = df.groupBy("contract_id").agg(F.max("__n").alias("n"), F.count_if("__start").alias("k"), F.count(took).alias("r"), quantile(took, 0.5).alias("median_recovery"), F.avg(took).alias("mean_recovery"))
-    enough = F.col("n") >= least
-    rate = F.when(enough, F.when(F.col("k") == 0, 1.0).otherwise(F.try_divide(F.col("r"), F.col("k"))))
-    return out.select("contract_id", F.when(enough, F.col("k")).otherwise(0).alias("shocks"), F.when(enough, F.col("median_recovery")).alias("median_recovery"), F.when(enough, F.col("mean_recovery")).alias("mean_recovery"), rate.alias("recovery_rate"))
+    df, aggs = _shocks(df.select("contract_id", "ts", "spread"), q, window_minutes, least)
+    return df.groupBy("contract_id").agg(*[c.alias(k) for k, c in aggs.items()])
+
+
+def _z(x: Column) -> Column:
+    """z-score over the contract, 0 without deviation."""
+    m, d = F.avg(x).over(whole()), F.stddev_samp(x).over(whole())
+    return F.when(d > 0, (x - m) / d).otherwise(0.0)
+
+
+def _volume_resilience(df: DataFrame) -> tuple[DataFrame, Column]:
+    return df.withColumn("__vz", _z(F.col("volume").cast("double"))), 1 - F.count_if(F.col("__vz") < -1) / F.count("*")
 
 
 def volume_resilience(df: DataFrame) -> DataFrame:
     """liquidity_resilience: 1 less the share of rows with a volume one deviation below the mean."""
-    v = F.col("volume").cast("double")
-    stats = df.groupBy("contract_id").agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s"))
-    z = F.when(F.col("s") > 0, (v - F.col("m")) / F.col("s")).otherwise(0.0)
-    both = df.select("contract_id", "volume").join(stats, "contract_id")
-    return both.groupBy("contract_id").agg((1 - F.count_if(z < -1) / F.count("*")).alias("liquidity_resilience"))
+    df, share = _volume_resilience(df.select("contract_id", "volume"))
+    return df.groupBy("contract_id").agg(share.alias("liquidity_resilience"))
+
+
+def _score(df: DataFrame) -> tuple[DataFrame, Column]:
+    inverse = F.try_divide(F.lit(1.0), F.nullif(F.col("spread"), F.lit(0.0)))
+    df = df.withColumns({"__zv": _z(F.col("volume").cast("double")), "__zi": _z(inverse)})
+    return df, F.round((F.avg("__zv") + F.avg("__zi")) / 2, 9)
 
 
 def liquidity_score(df: DataFrame) -> DataFrame:
     """liquidity_score: mean of the mean z-scores of volume and of 1 / spread; 0 but for rounding."""
-    v, inv = F.col("volume").cast("double"), F.try_divide(F.lit(1.0), F.nullif(F.col("spread"), F.lit(0.0)))
-    stats = df.groupBy("contract_id").agg(F.avg(v).alias("vm"), F.stddev_samp(v).alias("vs"), F.avg(inv).alias("im"), F.stddev_samp(inv).alias("is"))
-    both = df.select("contract_id", "volume", "spread").join(stats, "contract_id")
-    z = lambda x, m, s: F.avg(F.when(F.col(s) > 0, (x - F.col(m)) / F.col(s)).otherwise(0.0))
-    return both.groupBy("contract_id").agg(F.round((z(v, "vm", "vs") + z(inv, "im", "is")) / 2, 9).alias("liquidity_score"))
+    df, score = _score(df.select("contract_id", "volume", "spread"))
+    return df.groupBy("contract_id").agg(score.alias("liquidity_score"))
 
 
 def contract_analysis(df: DataFrame, settings: Surges | None = None) -> DataFrame:
-    """One wide row for each contract: levels, slopes, percentiles, shocks and surges."""
-    base = df.groupBy("contract_id").agg(
-        F.avg("spread").alias("avg_spread"), F.avg("spread_pct").alias("avg_spread_pct"), F.avg("volume").alias("avg_volume"),
-        F.avg("volatility_short").alias("volatility"), F.avg("depth_balance").alias("depth_resilience"),
-    )
-    n = surges(df, settings).groupBy("contract_id").agg(F.count_if(F.col("type") == "volume").alias("volume_surge_count"), F.count_if(F.col("type") == "volatility").alias("volatility_surge_count"))
-    out = base
-    for part in (liquidity_score(df), collapse_slope_log(df), spread_percentiles(df), shock_resilience(df), n):
-        out = out.join(part, "contract_id", "left")
-    out = out.na.fill(0, ["volume_surge_count", "volatility_surge_count"])
-    return out.withColumn("surge_count", F.col("volume_surge_count") + F.col("volatility_surge_count"))
+    """One wide row for each contract: levels, slopes, percentiles, shocks and surges.
+
+    All of it is windows over the contract and one grouping by it, in one pass with one shuffle.
+    """
+    s = settings or Surges()
+    keep = ("contract_id", "ts", "spread", "spread_pct", "volume", "volatility_short", "depth_balance", "lifecycle_ratio", first_present(df, ABS_NAMES))
+    df = df.select(*keep)
+    df = _surge_columns(df, F.col("volume"), s.lookback_window, "__sv")
+    df = _surge_columns(df, F.abs(F.col(keep[-1])), s.lookback_window, "__sa")
+    df, score = _score(df)
+    df, slope = _log_slope(df, 200, 10)
+    df, shocks = _shocks(df, 0.95, 30, 20)
+    percents = (0.1, 0.25, 0.5, 0.75, 0.9)
+    q = F.percentile("spread", F.array(*[F.lit(p) for p in percents]))
+    count = lambda z, t: F.count_if(flag(F.col(z) > t))
+    return df.groupBy("contract_id").agg(
+        F.avg("spread").alias("avg_spread"), F.avg("spread_pct").alias("avg_spread_pct"), F.avg("volume").alias("avg_volume"), F.avg("volatility_short").alias("volatility"),
+        F.avg("depth_balance").alias("depth_resilience"), score.alias("liquidity_score"), slope.alias("spread_collapse_log"), *[q[i].alias(f"spread_p{round(p * 100)}") for i, p in enumerate(percents)],
+        *[c.alias(k) for k, c in shocks.items()], count("__sv_z", s.volume_threshold).alias("volume_surge_count"), count("__sa_z", s.volatility_threshold).alias("volatility_surge_count"),
+    ).withColumn("surge_count", F.col("volume_surge_count") + F.col("volatility_surge_count"))
 
 
 def full_analysis(df: DataFrame, contract_id: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.common import hours, quantile, whole
-from barloom.operators.analytics import burst_intensity, collapse_slope_raw, volume_resilience
+from barloom.operators.analytics import _bursts, _raw_slope, _volume_resilience
 from barloom.operators.binning import lifecycle_bins
-from barloom.operators.regimes import CODES, entropy, transition_matrix
+from barloom.operators.regimes import CODES, transition_matrix
 from barloom.sources.bars import detect_frequency
 
 LIFECYCLE_METRICS = ("spread", "volume", "volatility_short", "depth_resilience")
@@ -38,26 +40,41 @@ def contracts(bars: DataFrame) -> DataFrame:
     return bars.select("contract_id", "category").distinct()
 
 
-def lifecycle_quarters(df: DataFrame) -> DataFrame:
-    """Medians of spread, volume and volatility_short in four equal quarters, closed on the left; ratio 1 is in none."""
+def _quarters() -> list[Column]:
     r = F.col("lifecycle_ratio")
-    aggs = []
+    out = []
     for k, name in enumerate(QUARTERS):
         own = (r >= k / 4) & (r < (k + 1) / 4)
-        aggs += [quantile(F.when(own, F.col(m)), 0.5).alias(f"lifecycle_{name}_{m}") for m in ("spread", "volume", "volatility_short")]
-    return df.groupBy("contract_id").agg(*aggs)
+        out += [quantile(F.when(own, F.col(m)), 0.5).alias(f"lifecycle_{name}_{m}") for m in ("spread", "volume", "volatility_short")]
+    return out
+
+
+def lifecycle_quarters(df: DataFrame) -> DataFrame:
+    """Medians of spread, volume and volatility_short in four equal quarters, closed on the left; ratio 1 is in none."""
+    return df.groupBy("contract_id").agg(*_quarters())
 
 
 def contract_metrics(df: DataFrame) -> DataFrame:
-    """One row for each contract with all summary measures and fixed columns for states and quarters."""
+    """One row for each contract with all summary measures and fixed columns for states and quarters.
+
+    Windows over the contract and one grouping by it: one pass, one shuffle. Entropy follows from the counts.
+    """
+    df, resilience = _volume_resilience(df)
+    df, bursts = _bursts(df, 2.0, 10)
+    n_of = lambda c: F.count_if(F.col("microstructure_state") == c)
     base = df.groupBy("contract_id", "category").agg(
         F.count("*").alias("n_observations"), hours(F.max("ts"), F.min("ts")).alias("duration_hours"), F.avg("spread").alias("mean_spread"), F.avg("spread_pct").alias("mean_spread_pct"),
         F.avg("volume").alias("mean_volume"), F.sum("volume").alias("total_volume"), F.avg("volatility_short").alias("mean_volatility"), F.max("volatility_short").alias("max_volatility"),
-        F.avg("depth_resilience").alias("mean_depth_resilience"), *[(F.count_if(F.col("microstructure_state") == c) * 100.0 / F.count("*")).alias(f"regime_pct_{c}") for c in CODES],
+        F.avg("depth_resilience").alias("mean_depth_resilience"), _raw_slope(10).alias("spread_collapse_slope"), resilience.alias("liquidity_resilience"), bursts.alias("burst_intensity"),
+        *_quarters(), *[n_of(c).alias(f"__n{c}") for c in CODES],
     )
-    for part in (collapse_slope_raw(df), volume_resilience(df), burst_intensity(df), entropy(df), lifecycle_quarters(df)):
-        base = base.join(part, "contract_id", "left")
-    return base
+    n = F.col("n_observations")
+    share = lambda c: F.col(f"__n{c}") / n
+    seen = reduce(lambda a, b: a + b, [F.when(F.col(f"__n{c}") > 0, 1).otherwise(0) for c in CODES])
+    h = reduce(lambda a, b: a + b, [F.coalesce(-share(c) * F.log2(F.nullif(share(c), F.lit(0.0))), F.lit(0.0)) for c in CODES])
+    top = F.greatest(*[F.struct(F.col(f"__n{c}").alias("n"), F.lit(-c).alias("c")) for c in CODES])["c"]
+    out = base.withColumns({"regime_entropy": F.when(seen > 1, h / F.log2(F.nullif(seen, F.lit(1)).cast("double"))).otherwise(0.0), "dominant_regime": -top})
+    return out.withColumns({f"regime_pct_{c}": share(c) * 100.0 for c in CODES}).drop(*[f"__n{c}" for c in CODES])
 
 
 def category_summary(metrics: DataFrame) -> DataFrame:
