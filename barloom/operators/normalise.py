@@ -83,7 +83,7 @@ def across_contracts(df: DataFrame, c: str, method: str = "zscore") -> DataFrame
         value = F.when(F.col("__s") > 0, (x - F.col("__m")) / F.col("__s")).otherwise(0.0) if method == "zscore" else F.when(F.col("__b") > F.col("__a"), (x - F.col("__a")) / (F.col("__b") - F.col("__a"))).otherwise(0.5)
         return df.crossJoin(F.broadcast(stats)).withColumn(out, F.when(x.isNotNull(), value)).drop("__m", "__s", "__a", "__b")
     counts = df.groupBy(x.alias("__v")).agg(F.count("*").alias("__n"))
-    total = df.agg(F.count("*").alias("__all"))
+    total = counts.agg(F.sum("__n").alias("__all"))
     values = counts.filter("__v is not null").repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
     inner = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0)))

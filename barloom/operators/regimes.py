@@ -93,11 +93,9 @@ def transition_probabilities(df: DataFrame, keys: tuple[str, ...] = ()) -> DataF
 
 def transition_matrix(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each state that occurs, a column for each state; a state never left has zeros."""
-    p = transition_probabilities(df, keys)
-    wide = p.groupBy(*keys, "from_state").pivot("to_state", CODES).agg(F.first("probability"))
-    seen = df.select(*keys, F.col("microstructure_state").alias("from_state")).distinct()
-    out = seen.join(wide, [*keys, "from_state"], "left")
-    return out.select(*keys, "from_state", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"to_{c}") for c in CODES])
+    pairs = df.select(*keys, F.col("microstructure_state").alias("from_state"), F.lead("microstructure_state").over(by_time()).alias("to_state"))
+    share = lambda c: F.coalesce(F.try_divide(F.count_if(F.col("to_state") == c), F.count("to_state")), F.lit(0.0))
+    return pairs.groupBy(*keys, "from_state").agg(*[share(c).alias(f"to_{c}") for c in CODES])
 
 
 def state_shares(df: DataFrame, keys: tuple[str, ...] = ("contract_id",)) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.cleaning import fill_forward
-
 
 def _edge(c: str, pick) -> Column:
     """The first or last non-null value of a bin: max_by and min_by leave rows with a null order out."""
@@ -34,11 +32,15 @@ def resample(df: DataFrame, seconds: int = 60, keep: tuple[str, ...] = ("categor
             aggs[c] = f(c)
     keep = tuple(k for k in keep if k in names)
     bins = df.withColumn("__bin", bin_).groupBy("contract_id", "__bin").agg(*[v.alias(k) for k, v in aggs.items()], *[F.min(k).alias(k) for k in keep])
-    ends = bins.groupBy("contract_id").agg(F.min("__bin").alias("a"), F.max("__bin").alias("b"), *[F.min(k).alias(f"__{k}") for k in keep])
+    w = Window.partitionBy("contract_id").orderBy("__bin")
     step = F.make_interval(secs=F.lit(seconds))
-    grid = ends.select("contract_id", F.explode(F.sequence("a", "b", step)).alias("ts"), *[f"__{k}" for k in keep])
-    full = grid.join(bins.withColumnRenamed("__bin", "ts").drop(*keep), ["contract_id", "ts"], "left")
-    sums = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("volume", "trade_count") if c in aggs}
-    filled = {c: fill_forward(c) for c in aggs if c not in sums}
-    full = full.withColumns(sums).withColumns(filled) if filled else full.withColumns(sums)
-    return full.select("contract_id", *[F.col(f"__{k}").alias(k) for k in keep], "ts", *aggs)
+    values = [c for c in aggs if c not in ("volume", "trade_count")]
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.last(c, ignorenulls=True).over(past) for c in values}
+    constant = {k: F.min(k).over(Window.partitionBy("contract_id")) for k in keep}
+    bins = bins.withColumns({**filled, **constant, "__next": F.coalesce(F.lead("__bin").over(w) - step, F.col("__bin"))})
+    # each bin repeats up to the next one: no calendar to join, and no second reading of the bars
+    full = bins.withColumn("ts", F.explode(F.sequence("__bin", "__next", step)))
+    own = F.col("ts") == F.col("__bin")
+    sums = {c: F.when(own, F.col(c)).otherwise(F.lit(0)) for c in ("volume", "trade_count") if c in aggs}
+    return (full.withColumns(sums) if sums else full).select("contract_id", *keep, "ts", *aggs)
