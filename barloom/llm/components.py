@@ -16,6 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in ``links`` (a, b): comp is the smallest id reachable."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     both = stash(both.distinct(), "edges")
+    if both.isEmpty():
+        return both.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     label = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("comp")), "label")
     while True:
         near = both.join(label.select(F.col("id").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("near"))

@@ -190,7 +190,8 @@ def _across(batches, low: float):
     """Of two blocks of a bucket: (document, component) of which some pair passes the likelihood."""
     for batch in batches:
         out = set()
-        for place, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+        for i in range(batch.num_rows):  # row by row: a block is large
+            place, left, right = (c[i].as_py() for c in batch.columns)
             k = np.frombuffer(b"".join(x["registers"] for x in right), np.uint16).reshape(-1, REGISTERS)
             comp = np.array([x["comp"] for x in right])
             n = np.array([x["n_shingles"] for x in right], float)
@@ -221,7 +222,8 @@ def _intersect(batches, width: int, percent: int):
     """Of a block of documents and a block of a component's members: one confirmed link each document."""
     for batch in batches:
         a, b = [], []
-        for left, right in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in range(batch.num_rows):  # row by row: a block is large
+            left, right = (c[row].as_py() for c in batch.columns)
             own, other = _sets(left, width), _sets(right, width)
             vocab = np.unique(np.concatenate(own))
             has = np.zeros((len(vocab) + 1, len(own)), bool)
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketch = stash(map_batches(docs, lambda b: _sketches(b, width), SKETCH), "sketch")
     known = sketch.filter("doc_id is not null and n_shingles > 0")
     keys = ["key_a", "key_b", "n_shingles"]
-    classes = known.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    classes = stash(known.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")  # written, so that Spark can split joins on the hot ones
     reps = known.join(classes, keys).filter("doc_id = rep").select("doc_id", "n_shingles", "registers")
     bands = map_batches(reps.select("doc_id", "registers"), _bands, "band long, place byte, doc_id long")
     stars = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
@@ -303,10 +305,11 @@ def _confirmed(pairs: DataFrame, facts: DataFrame, texts: DataFrame, low: float,
     return stash(map_batches(_stars(maybe, texts), lambda b: _confirm(b, width, percent), "a long, b long").distinct(), "links")
 
 
-def _blocks(rows: DataFrame, key: str, item: F.Column, name: str) -> DataFrame:
-    """Rows (key, doc_id, ...) of each key in lists of about ``BLOCK``, by a hash of doc_id."""
-    size = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return rows.join(size, key).groupBy(key, F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")).agg(F.collect_list(item).alias(name)).drop("part")
+def _blocks(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(comp, list of (doc_id, text)) with about ``BLOCK`` of the documents of (comp, doc_id) in each list, by a hash of doc_id."""
+    size = stash(rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "sizes")  # written, so that Spark can split the join
+    placed = rows.join(size, "comp").select("comp", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    return placed.join(texts, "doc_id").groupBy("comp", "part").agg(F.collect_list(F.struct("doc_id", "text")).alias(name)).drop("part")
 
 
 def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFrame, low: float, width: int, percent: int) -> DataFrame:
@@ -321,11 +324,12 @@ def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFra
     left = block.filter("open").select("band", F.col("items").alias("left"))
     both = left.join(block.select("band", "place", F.col("items").alias("right")), "band").select("place", "left", "right")
     tries = stash(map_batches(both, lambda b: _across(b, low), "x long, comp long").distinct(), "tries")
-    xs = tries.select("comp", F.col("x").alias("doc_id")).join(texts, "doc_id")
+    if tries.isEmpty():
+        return tries.select(F.col("x").alias("a"), F.col("comp").alias("b"))
+    xs = tries.select("comp", F.col("x").alias("doc_id"))
     goal = tries.select("comp").distinct()
-    members = goal.join(label.select(F.col("comp").alias("c"), "id"), F.col("comp") == F.col("c"), "left").select("comp", F.coalesce("id", "comp").alias("doc_id")).join(texts, "doc_id")
-    text = F.struct("doc_id", "text")
-    meet = _blocks(xs, "comp", text, "left").join(_blocks(members, "comp", text, "right"), "comp").select("left", "right")
+    members = goal.join(label.select(F.col("comp").alias("c"), "id"), F.col("comp") == F.col("c"), "left").select("comp", F.coalesce("id", "comp").alias("doc_id"))
+    meet = _blocks(xs, texts, "left").join(_blocks(stash(members, "members"), texts, "right"), "comp").select("left", "right")
     return stash(map_batches(meet, lambda b: _intersect(b, width, percent), "a long, b long").distinct(), "links")
 
 

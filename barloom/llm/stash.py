@@ -8,6 +8,7 @@ Tables are removed when the Python process ends.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -76,9 +77,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package importable on the workers."""
-    ship(df.sparkSession)
+    """``df.mapInArrow`` with this package importable on the workers, and batches that long texts do not swell.
+
+    A limit other than Spark's default of 64 MB is the user's and stays.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if re.sub(r"\D", "", spark.conf.get(BATCH)) == str(64 << 20):
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
     return df.mapInArrow(fn, schema)
 
 
