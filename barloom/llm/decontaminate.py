@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .stash import map_batches, stash, without
 from .textvec import ALNUM, gram_hashes, slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 HITS = T.StructType(
     [

@@ -18,7 +18,7 @@ slots, one block each, in shards of ``SHARD`` slots.
    block stays last.
 5. Slots join the blocks' fragments of documents by (source, block).
 
-All draws are hashes of the seed and of places, so reruns agree.
+The table of sources is broadcast while it is small. All draws are hashes of the seed and of places, so reruns agree.
 
 Defined results: null text has no words; a null source is a source of its own, ordered last;
 null doc_ids and rows that repeat a doc_id are documents of their own (equal rows are ordered
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .stash import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-SHARD, ROUNDS, BUCKETS = 1024, 24, 4096
+SHARD, ROUNDS, BUCKETS, SENT = 1024, 24, 4096, 10_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -58,6 +58,11 @@ def targets(sources: DataFrame, weights: list[float], share: float, limit: float
     return rows.select("source", "source_size", "w", "place", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def _sent(sources: DataFrame) -> DataFrame:
+    """The table of sources, broadcast up to ``SENT`` rows and joined by a shuffle beyond."""
+    return F.broadcast(sources) if sources.limit(SENT + 1).count() <= SENT else sources
+
+
 def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(2**53)
 
@@ -128,7 +133,7 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
     filled = filled.select("shard", F.col("x.place").alias("place"), (F.col("x.got") + start - F.col("x.l0")).alias("from"), (F.least("o1", F.col("x.l1")) - start).alias("n"))
     runs = own.unionByName(filled)
     k = F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("k")
-    out = runs.select("shard", "place", k).join(F.broadcast(sources), "place")
+    out = runs.select("shard", "place", k).join(_sent(sources), "place")
     out = out.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("at", F.col("k") - F.col("epoch") * F.col("blocks"))
     key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), F.col("epoch"))
     out = out.withColumn("block", F.when(F.col("at") < F.col("full"), permuted(F.col("at"), F.col("full"), key)).otherwise(F.col("at")))
@@ -159,5 +164,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     # a non-empty document is known by its source and first place: ids may be null or repeat
     out = streams.alias("s").join(got.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.first") == F.col("g.first")) & (F.col("s.size") > 0), "left")
     out = out.select("s.doc_id", "s.source", "s.size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    facts = F.broadcast(sources.select(F.col("source").alias("of"), "source_size", "target"))
+    facts = _sent(sources.select(F.col("source").alias("of"), "source_size", "target"))
     return out.join(facts, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken", "source")
