@@ -178,6 +178,7 @@ Q["l_align_sparse"] = Query(lambda s, d: trajectories.align(_with_event(cleaned(
 Q["l_normalise"] = Query(lambda s, d: trajectories.normalise_trajectories(_aligned(s, d)), "contract_id metric grid_min", "value", f"SELECT contract_id, metric, grid_min, CASE WHEN count(*) OVER w < 2 THEN value WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS value FROM ({S.ALIGN}) WINDOW w AS (PARTITION BY contract_id, metric)")
 Q["l_aggregate_overall"] = Query(lambda s, d: trajectories.aggregate(_aligned(s, d), False, normalize=False), "metric category grid_min count", "median mean p10 p25 p75 p90 std", S.weighted("'overall'"))
 Q["l_aggregate_category"] = Query(lambda s, d: trajectories.aggregate(_aligned(s, d), True, normalize=False), "metric category grid_min count", "median mean p10 p25 p75 p90 std", S.weighted("category"))
+Q["l_signatures"] = Query(lambda s, d: trajectories.signatures(_with_event(table(s, d)), GRID), "metric category grid_min count", "median mean p10 p25 p75 p90 std", S.SIGNATURES)
 Q["l_event_window"] = Query(lambda s, d: trajectories.event_window(_with_event(hourly(s, d)), 1440, 720), "contract_id ts side", "", S.WINDOW)
 Q["l_median_trajectory"] = Query(lambda s, d: trajectories.median_trajectory(trajectories.normalise_to_event(trajectories.event_window(_with_event(hourly(s, d)), 1440, 720))), "count", "x median q25 q75 std", S.MEDIAN)
 Q["l_compare_sides"] = Query(_sides, "contract_id metric n_pre n_post", "mean_pre mean_post std_pre std_post change_pct t_stat ks_stat", S.SIDES)

@@ -198,13 +198,21 @@ ALIGN_SPARSE = """WITH e AS (SELECT contract_id, CAST(floor((CAST(epoch(min(ts))
   WHERE NOT (ax < pos AND bx > pos AND bx - ax > 600)"""
 
 
-def weighted(category: str) -> str:
+def weighted(category: str, aligned: str | None = None) -> str:
+    aligned = aligned or ALIGN
     q = ", ".join(f"coalesce(arg_min(value, cw) FILTER (WHERE cw >= {p} - 1e-12), max(value)) AS {name}" for p, name in ((0.5, "median"), (0.1, "p10"), (0.25, "p25"), (0.75, "p75"), (0.9, "p90")))
     return f"""SELECT metric, category, grid_min, count(*) AS count, {q}, sum(n * value) / sum(n) AS mean, stddev_pop(value) AS std FROM (
       SELECT metric, category, grid_min, n, value, sum(n) OVER (PARTITION BY metric, category, grid_min ORDER BY value, contract_id ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY metric, category, grid_min) AS cw
-      FROM (SELECT contract_id, metric, {category} AS category, grid_min, n, value FROM ({ALIGN}))) GROUP BY 1, 2, 3"""
+      FROM (SELECT contract_id, metric, {category} AS category, grid_min, n, value FROM ({aligned}))) GROUP BY 1, 2, 3"""
 
 
+_SIGNATURES = ("midpoint", "spread", "spread_pct", "volatility_short", "volume_zscore", "depth_resilience")
+_POINTS = " UNION ALL ".join(f"SELECT f.contract_id, f.category, (epoch(event_time) - epoch(ts)) / 60 AS x, '{m}' AS metric, CAST({m} AS DOUBLE) AS y FROM f JOIN mid ON mid.contract_id = f.contract_id" for m in _SIGNATURES)
+_SIGNED = f"""SELECT contract_id, category, metric, CAST(x AS BIGINT) AS grid_min, y AS value, n FROM (
+  SELECT *, count(y) OVER (PARTITION BY contract_id, metric) AS n FROM ({_POINTS}) WHERE y IS NOT NULL) WHERE n >= 3 AND x BETWEEN -1440 AND 1440"""
+_SCALED = f"""SELECT contract_id, category, metric, grid_min, n, CASE WHEN count(*) OVER w < 2 THEN value WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS value
+  FROM ({_SIGNED}) WINDOW w AS (PARTITION BY contract_id, metric)"""
+SIGNATURES = f"{weighted(repr('overall'), _SCALED)} UNION ALL {weighted('category', _SCALED)}"
 WINDOW = "SELECT contract_id, ts, CASE WHEN minutes_to_event > 0 THEN 'pre' ELSE 'post' END AS side FROM ev WHERE minutes_to_event BETWEEN -720 AND 1440"
 MEDIAN = f"""SELECT x, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, stddev_samp(value) AS std, count(value) AS count FROM (
   SELECT x, price_c / nullif(CASE WHEN near IS NULL OR near = 0 THEN first ELSE near END, 0) AS value FROM (
