@@ -36,7 +36,7 @@ HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 # fixed values: words of class and id names that mark what is not the article
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar footer masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip search form hidden copyright legal disclaimer tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header footer masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip search form hidden copyright legal disclaimer tags".split()
 )
 
 _TOKEN = re.compile(
@@ -150,16 +150,19 @@ def decide(tree, row: tuple) -> int:
     return tree
 
 
-def _aside(tag: str, attrs: str) -> bool:
-    if tag in ASIDE:
+def _aside(tag: str, attrs: str, inside: bool) -> bool:
+    """``inside`` an article a header holds the article's own heading."""
+    if tag in ASIDE and not (inside and tag == "header"):
         return True
     if not attrs or tag in ("body", "html", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and MARKS.intersection(_PART.findall(_CAMEL.sub(" ", value).lower())):
-            return True
+        if name in ("class", "id"):
+            marks = MARKS.intersection(_PART.findall(_CAMEL.sub(" ", value).lower()))
+            if marks - {"header"} or marks and not inside:
+                return True
         if name == "role" and ROLES.intersection(value.lower().split()):
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -197,9 +200,7 @@ class _Page:
         _, article, aside, heading = self.stack[-1] if self.stack else ("", False, False, False)
         article_here = tag in ("article", "main") or "role" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I))
         self.has_article |= article_here
-        own = _aside(tag, attrs)
-        if tag == "header" and article:  # an article's own header holds its heading
-            own = False
+        own = _aside(tag, attrs, article)
         if tag in VOID:
             return
         if tag in ("p", *HEADING):  # paragraphs end where the next begins

@@ -23,6 +23,11 @@ def test_without_an_article():
     assert len(got) == 4 and got[2] == "Short."
 
 
+def test_headers():
+    page = '<div class="site-header">Site</div><article><header class="post-header"><h1>Head</h1></header><div id="articleHeader">By me</div><p>Text</p></article>'
+    assert main_text(page, TREE) == "Head\nBy me\nText"
+
+
 def test_broken_pages():
     for page in (None, "", "<", "<p", "<!-- open", "<script>x", "a < b", "<p class='x>y", "</p></div>", "<article><p>x<div>y</article>z"):
         assert isinstance(main_text(page, TREE), str)
