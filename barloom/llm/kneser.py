@@ -231,19 +231,20 @@ def read_array(folder: str, name: str, dtype: str) -> np.ndarray:
 
 def _by_shard(batches) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
     """Blocks of one (kind, shard) after the other, from rows sorted by them."""
-    now, blobs = None, []
+    now, blobs, done = None, [], []
     for batch in batches:
         for kind, shard, blob in zip(*(c.to_pylist() for c in batch.columns[:3])):
             if now != (kind, shard):
-                if blobs:
-                    yield now, blobs
-                now, blobs = (kind, shard), []
+                if blobs or done:
+                    yield now, done + blobs
+                now, blobs, done = (kind, shard), [], []
             blobs.append(blob)
-            if len(blobs) > 64:  # bound what is held unpacked
+            if len(blobs) == 64:  # each block is merged once here and once at the end
                 k, c = merge(blobs)
-                blobs = [pack(k, *c)]
-    if blobs:
-        yield now, blobs
+                done.append(pack(k, *c))
+                blobs = []
+    if blobs or done:
+        yield now, done + blobs
 
 
 def _pairs(batches, folder: str, shards: int):
