@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+PART_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20_240_229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,11 +79,19 @@ class Slice:
         self.word_at = np.searchsorted(self.start, bounds)
 
     def hashes(self) -> np.ndarray:
-        pw, ipw = _powers(len(self.data) + 1)
-        run = np.empty(len(self.data) + 1, np.uint64)
-        run[0] = 0
-        np.cumsum(_BYTE[self.data] * pw[:-1], dtype=np.uint64, out=run[1:])
-        return mix((run[self.end] - run[self.start]) * ipw[self.start])
+        """Fingerprints of the words. A long text is worked through in parts, so that its size costs little memory."""
+        out, i = np.empty(len(self.start), np.uint64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PART_BYTES, "right")))
+            first, last = self.start[i], self.end[j - 1]
+            pw, ipw = _powers(int(last - first) + 1)
+            run = np.empty(last - first + 1, np.uint64)
+            run[0] = 0
+            np.cumsum(_BYTE[self.data[first:last]] * pw[:-1], dtype=np.uint64, out=run[1:])
+            at = self.start[i:j] - first
+            out[i:j] = mix((run[self.end[i:j] - first] - run[at]) * ipw[at])
+            i = j
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_at)

@@ -39,3 +39,12 @@ def test_grams_depend_on_order():
     w = np.array([3, 5, 3, 5, 7], np.uint64)
     g = gram_hashes(w, 2)
     assert g[0] == g[2] != g[1] and len(gram_hashes(w, 6)) == 0
+
+
+def test_parts_of_a_long_text_give_the_same_fingerprints(monkeypatch):
+    from barloom.llm import textvec
+
+    column = pa.array(["alpha beta " * 50 + "gamma" * 30, "x"])
+    whole = [s.hashes() for s in slices(column, SPACED)]
+    monkeypatch.setattr(textvec, "PART_BYTES", 20)
+    assert all((a == s.hashes()).all() for a, s in zip(whole, slices(column, SPACED)))
