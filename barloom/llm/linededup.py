@@ -7,12 +7,14 @@ template, and a line that agrees with it in at least ``AGREE`` percent of its to
 by place, by one byte of each token's fingerprint) belongs to that template: what differs is a
 variable field too. Other lines are templates of their own.
 
-A template recurs if it stands in at least ``DOCS`` documents and contexts. A line's context in
-a document is the smallest fingerprint of word pairs that start outside the line, so a document
-and its exact copies give one context however many they are, and near copies mostly do. The
-effective number of contexts (the square of the documents' count over the sum of squares by
-context) must reach ``SPREAD``: copies of documents are left to near-duplicate removal, while
-passages and boilerplate that different documents share are dropped, in every document.
+A template recurs if it stands in at least ``DOCS`` documents and ``SPREAD`` contexts. A line's
+contexts in a document are the smallest fingerprints, by ``MINIMA`` functions, of word pairs that
+start outside the line; a document and its exact copies give the same ones however many they are,
+and near copies share one at least. A document counts as one over the documents of the template
+that share a context with it (by the function where they are most), so a group of copies counts
+about once and takes nothing from the other documents: copies of documents are left to
+near-duplicate removal, while passages and boilerplate that different documents share are
+dropped, in every document.
 
 Each document counts a line once. Lines travel as fingerprints; the same line in many documents
 is one row for each task. Recurring lines reach the workers by broadcast up to ``SENT`` of them
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .stash import map_batches, stash
 from .textvec import SPACED, Slice, gram_hashes, mix, slices
 
-DEPTH, AGREE, DOCS, SPREAD, SENT = 3, 70, 3, 2.5, 1_000_000
+DEPTH, AGREE, DOCS, SPREAD, SENT, MINIMA = 3, 70, 3, 2.5, 1_000_000, 4
 
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -79,24 +81,37 @@ class Lines:
         self.leaf = leaf
         self.byte = (self.tokens >> np.uint64(56)).astype(np.uint8)
 
-    def contexts(self) -> np.ndarray:
-        """The smallest word-pair fingerprint of each line's text that starts outside the line."""
+    def lows(self, seed: int = 0) -> np.ndarray:
+        """The smallest fingerprint of the word pairs that start in each line, by one of several functions."""
         top = np.uint64(2**64 - 1)
         low = np.full(len(self.start), top)
         pairs = gram_hashes(self.tokens, 2)
         if len(pairs):
+            if seed:
+                pairs = mix(pairs ^ np.uint64(seed) * _FOLD)
             last_of_text = self.upto[self.first_line[1:] - 1] - 1
             pairs[last_of_text[(last_of_text >= 0) & (last_of_text < len(pairs))]] = top  # pairs across texts
             some = np.flatnonzero((self.n > 0) & (self.at < len(pairs)))
             if len(some):
                 low[some] = np.minimum.reduceat(pairs, self.at[some])
-        out = np.empty_like(low)
-        for i in range(len(self.first_line) - 1):
-            a, b = self.first_line[i], self.first_line[i + 1]
-            part = low[a:b]
-            least = part.argmin()
-            out[a:b] = part[least]
-            out[a + least] = np.delete(part, least).min() if b - a > 1 else top
+        return low
+
+    def contexts(self, seed: int = 0) -> np.ndarray:
+        """The smallest word-pair fingerprint of each line's text that starts outside the line."""
+        return self._others(self.lows(seed))
+
+    def _others(self, low: np.ndarray) -> np.ndarray:
+        """The smallest value of the text's other lines."""
+        heads = self.first_line[:-1]
+        if not len(heads):
+            return low.copy()
+        out = np.minimum.reduceat(low, heads)[self.text]
+        is_least = np.flatnonzero(low == out)
+        _, first = np.unique(self.text[is_least], return_index=True)
+        least = is_least[first]
+        rest = low.copy()
+        rest[least] = np.uint64(2**64 - 1)
+        out[least] = np.minimum.reduceat(rest, heads)
         return out
 
 
@@ -104,12 +119,52 @@ def _lines(batches):
     for batch in batches:
         for s in slices(batch.column(0), SPACED, lower=False):
             x = Lines(s)
-            ctx = x.contexts()
-            _, once = np.unique(np.stack([x.text.astype(np.uint64), x.mask], axis=1), axis=0, return_index=True)
-            once = np.sort(once[x.n[once] >= DEPTH])
+            once = _once(x)
             sig = [x.byte[a:b].tobytes() for a, b in zip(x.at[once].tolist(), x.upto[once].tolist())]
-            cols = [pa.array(v[once].view(np.int64)) for v in (x.leaf, x.mask, ctx)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sig, pa.binary())], ["leaf", "mask", "ctx", "sig"])
+            cols = [pa.array(v[once].view(np.int64)) for v in (x.leaf, x.mask)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sig, pa.binary())], ["leaf", "mask", "sig"])
+
+
+def _once(x: Lines) -> np.ndarray:
+    """The first of a text's lines of each mask, without lines that have no template."""
+    _, once = np.unique(np.stack([x.text.astype(np.uint64), x.mask], axis=1), axis=0, return_index=True)
+    return np.sort(once[x.n[once] >= DEPTH])
+
+
+CTX = [f"ctx{k}" for k in range(MINIMA)]
+
+
+def _contexts(x: Lines, docs_of: np.ndarray) -> pa.RecordBatch:
+    """(mask, contexts) of the lines that stand in several documents (``docs_of`` by line, 1 for others), once for each text."""
+    some = _once(x)
+    some = some[docs_of[some] > 1]
+    values = [x.contexts(k) for k in range(MINIMA)]
+    return pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)) for v in (x.mask, *values)], ["mask", *CTX])
+
+
+def _find_contexts(batches, masks: np.ndarray, counts: np.ndarray):
+    for batch in batches:
+        for s in slices(batch.column(0), SPACED, lower=False):
+            x = Lines(s)
+            n = np.ones(len(x.mask), np.int64)
+            if len(masks):
+                at = np.minimum(np.searchsorted(masks, x.mask), len(masks) - 1)
+                hit = (masks[at] == x.mask) & (x.n >= DEPTH)
+                n[hit] = counts[at[hit]]
+            yield _contexts(x, n)
+
+
+def _find_marked(batches):
+    """As ``_find_contexts``, of texts with a list of their lines that stand in several documents."""
+    for batch in batches:
+        marks = batch.column(1).to_pylist()
+        for s in slices(batch.column(0), SPACED, lower=False):
+            x = Lines(s)
+            n = np.ones(len(x.mask), np.int64)
+            for i in range(s.n):
+                for m in marks[s.first + i] or []:
+                    n[x.first_line[i] + m["line"]] = m["n"]
+            yield _contexts(x, n)
 
 
 def _agreement(batches):
@@ -120,23 +175,47 @@ def _agreement(batches):
         yield batch.select(["leaf", "mask", "template"]).filter(pa.array(ok, pa.bool_()))
 
 
-def recurring_lines(docs: DataFrame, least: int = DOCS) -> DataFrame:
+def _arrays(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """Columns of at most ``SENT`` rows, by the first of them (as unsigned)."""
+    rows = df.select(*columns).collect()
+    out = [np.array([r[k] for r in rows], np.int64) for k in range(len(columns))]
+    out[0] = out[0].view(np.uint64)
+    by = np.argsort(out[0])
+    return [v[by] for v in out]
+
+
+def recurring_lines(docs: DataFrame, least: int = DOCS, sent: int = SENT) -> DataFrame:
     """(mask, template, n_docs, n_ctx) of the masked lines whose template recurs."""
-    lines = map_batches(docs.select("text"), _lines, "leaf long, mask long, ctx long, sig binary")
+    spark = docs.sparkSession
+    lines = map_batches(docs.select("text"), _lines, "leaf long, mask long, sig binary")
     # a line's bytes are the same in all rows of a mask: the smallest stands for them
-    each = stash(lines.groupBy("leaf", "mask", "ctx").agg(F.count("*").alias("n"), F.min("sig").alias("sig")), "lines")
-    masks = stash(each.groupBy("leaf", "mask").agg(F.sum("n").alias("n_docs"), F.min("sig").alias("sig")), "masks")
+    masks = stash(lines.groupBy("leaf", "mask").agg(F.count("*").alias("n_docs"), F.min("sig").alias("sig")), "masks")
     top = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.max_by("mask", F.struct("n_docs", "mask")).alias("template"))
     many = top.filter("masks > 1").select("leaf", "template")
     of = many.join(masks.select(F.col("leaf").alias("l"), F.col("mask").alias("m"), F.col("sig").alias("of")), (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("m")))
     in_many = masks.join(of.select("leaf", "template", "of"), "leaf").filter("mask <> template").select("leaf", "mask", "template", "sig", "of")
     merged = stash(map_batches(in_many, _agreement, "leaf long, mask long, template long"), "merged")
-    placed = each.select("leaf", "mask", "ctx", "n").join(merged, ["leaf", "mask"], "left").withColumn("template", F.coalesce("template", "mask"))
-    by_ctx = placed.groupBy("leaf", "template", "ctx").agg(F.sum("n").alias("n"))
-    sums = by_ctx.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_ctx"), F.sum(F.col("n").cast("double") * F.col("n")).alias("sq"))
-    sums = sums.filter((F.col("n_docs") >= least) & (F.col("n_ctx") >= least) & (F.col("n_docs").cast("double") * F.col("n_docs") >= SPREAD * F.col("sq")))
-    all_masks = masks.select("leaf", "mask").join(merged, ["leaf", "mask"], "left").withColumn("template", F.coalesce("template", "mask"))
-    return stash(all_masks.join(sums, ["leaf", "template"]).select("mask", "template", "n_docs", "n_ctx"), "recurring")
+    placed = masks.join(merged, ["leaf", "mask"], "left").select("leaf", "mask", "n_docs", F.coalesce("template", "mask").alias("template"))
+    sizes = placed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= least)
+    some = stash(placed.join(sizes, ["leaf", "template"]).select("mask", "template", "n"), "candidates")
+    # contexts, in a second pass over the texts
+    schema = "mask long, " + ", ".join(f"{c} long" for c in CTX)
+    if some.count() <= sent:
+        held = spark.sparkContext.broadcast(_arrays(some, ["mask", "n"]))
+        found = map_batches(docs.select("text"), lambda b, h=held: _find_contexts(b, *h.value), schema)
+    else:
+        rows = stash(docs.select("text").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        marks = map_batches(rows.select("__row", "text"), _marks, "row long, line long, mask long")
+        marks = marks.join(some.select("mask", "n"), "mask").groupBy("row").agg(F.collect_list(F.struct("line", "n")).alias("marks"))
+        found = map_batches(rows.join(marks, rows["__row"] == marks["row"]).select("text", "marks"), _find_marked, schema)
+    by_ctx = found.groupBy("mask", *CTX).agg(F.count("*").alias("n"))
+    each = stash(by_ctx.join(some.select("mask", "template"), "mask").groupBy("template", *CTX).agg(F.sum("n").alias("n")), "contexts")
+    one = each.select("template", "n", F.xxhash64(*CTX).alias("one"), F.posexplode(F.array(*CTX)).alias("k", "ctx"))
+    same = one.groupBy("template", "k", "ctx").agg(F.sum("n").alias("same"))
+    share = one.join(same, ["template", "k", "ctx"]).groupBy("template", "one").agg(F.first("n").alias("n"), F.max("same").alias("same"))
+    sums = share.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_ctx"), F.sum(F.col("n") / F.col("same")).alias("spread"))
+    sums = sums.filter((F.col("n_docs") >= least) & (F.col("spread") >= SPREAD))
+    return stash(some.select("mask", "template").join(sums.select("template", "n_docs", "n_ctx"), "template").select("mask", "template", "n_docs", "n_ctx"), "recurring")
 
 
 def _cut(text: str | None, gone: np.ndarray) -> str | None:
@@ -214,7 +293,7 @@ def drop_recurring_lines(docs: DataFrame, least: int = DOCS, digest: bool = Fals
     spark = docs.sparkSession
     if digest:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = recurring_lines(docs, least)
+    found = recurring_lines(docs, least, sent)
     schema = DIGEST if digest else docs.schema
     n = found.count()
     if n <= sent:

@@ -89,3 +89,28 @@ def test_keeps_columns_and_lengths(odd, docs):
     assert out.columns == odd.columns and out.count() == 9
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
     assert drop_recurring_lines(docs([]), digest=True).collect() == []
+
+
+def _words(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+
+
+def test_copies_do_not_outvote_other_documents(docs):
+    r = random.Random(11)
+    passage = _words(r, 30)
+    others = [f"{_words(r, 40)}\n{passage}\n{_words(r, 20)}" for _ in range(20)]
+    for copies in ([200], [200, 150]):  # one and two groups of copies
+        texts = others + [t for n in copies for t in [f"{_words(r, 40)}\n{passage}\n{_words(r, 20)}"] * n]
+        rows = drop_recurring_lines(docs(texts), digest=True).collect()
+        assert {(x.n_lines, x.n_dropped) for x in rows} == {(3, 1)} and not any(passage in x.text for x in rows)
+
+
+def test_near_copies_stay(docs):
+    r = random.Random(12)
+    lines = [_words(r, 12) for _ in range(20)]
+    texts = []
+    for _ in range(300):  # one word in 240 is another
+        own = [x.split() for x in lines]
+        own[r.randrange(20)][r.randrange(12)] = _words(r, 1)
+        texts.append("\n".join(map(" ".join, own)))
+    assert sum(x.n_dropped for x in drop_recurring_lines(docs(texts), digest=True).collect()) == 0
