@@ -9,7 +9,10 @@ variable field too. Other lines are templates of their own.
 
 A template recurs if it stands in at least ``DOCS`` documents and ``SPREAD`` contexts. A line's
 contexts in a document are the smallest fingerprints, by ``MINIMA`` functions, of word pairs that
-start outside the line; a document and its exact copies give the same ones however many they are,
+start outside the line: in the document's own lines, which are those whose template stands in at
+most half as many documents, if they have at least one in ``OWN`` of the words outside the line
+(documents that have fewer can be near copies of 0.8, (1 - 1/9) / (1 + 1/9)), and else in all
+lines. So other shared lines do not make contexts equal. A document and its exact copies give the same ones however many they are,
 and near copies share one at least. A document counts as one over the documents of the template
 that share a context with it (by the function where they are most), so a group of copies counts
 about once and takes nothing from the other documents: copies of documents are left to
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .stash import map_batches, stash
 from .textvec import SPACED, Slice, gram_hashes, mix, slices
 
-DEPTH, AGREE, DOCS, SPREAD, SENT, MINIMA = 3, 70, 3, 2.5, 1_000_000, 4
+DEPTH, AGREE, DOCS, SPREAD, SENT, MINIMA, OWN = 3, 70, 3, 2.5, 1_000_000, 4, 9
 
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -138,8 +141,22 @@ def _contexts(x: Lines, docs_of: np.ndarray) -> pa.RecordBatch:
     """(mask, contexts) of the lines that stand in several documents (``docs_of`` by line, 1 for others), once for each text."""
     some = _once(x)
     some = some[docs_of[some] > 1]
-    values = [x.contexts(k) for k in range(MINIMA)]
-    return pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)) for v in (x.mask, *values)], ["mask", *CTX])
+    lows = np.stack([x.lows(k) for k in range(MINIMA)], axis=1)
+    out = np.stack([x._others(lows[:, k]) for k in range(MINIMA)], axis=1)
+    short = x.n < DEPTH  # nothing is known of their recurrence
+    cuts = np.searchsorted(x.text[some], np.arange(len(x.first_line)))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = x.first_line[i], x.first_line[i + 1]
+        known = a + np.flatnonzero(~short[a:b])
+        known = known[np.argsort(docs_of[known], kind="stable")]
+        least = np.minimum.accumulate(lows[known], axis=0)
+        words = np.cumsum(x.n[known])
+        mine = some[cuts[i] : cuts[i + 1]]
+        rarer = np.searchsorted(2 * docs_of[known], docs_of[mine], "right")
+        outside = x.n[a:b].sum() - x.n[mine]
+        use = np.flatnonzero((rarer > 0) & (OWN * words[np.maximum(rarer, 1) - 1] >= outside))
+        out[mine[use]] = least[rarer[use] - 1]
+    return pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)) for v in (x.mask, *(np.ascontiguousarray(out[:, k]) for k in range(MINIMA)))], ["mask", *CTX])
 
 
 def _find_contexts(batches, masks: np.ndarray, counts: np.ndarray):
@@ -196,7 +213,7 @@ def recurring_lines(docs: DataFrame, least: int = DOCS, sent: int = SENT) -> Dat
     in_many = masks.join(of.select("leaf", "template", "of"), "leaf").filter("mask <> template").select("leaf", "mask", "template", "sig", "of")
     merged = stash(map_batches(in_many, _agreement, "leaf long, mask long, template long"), "merged")
     placed = masks.join(merged, ["leaf", "mask"], "left").select("leaf", "mask", "n_docs", F.coalesce("template", "mask").alias("template"))
-    sizes = placed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= least)
+    sizes = placed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n")).filter(F.col("n") > 1)
     some = stash(placed.join(sizes, ["leaf", "template"]).select("mask", "template", "n"), "candidates")
     # contexts, in a second pass over the texts
     schema = "mask long, " + ", ".join(f"{c} long" for c in CTX)

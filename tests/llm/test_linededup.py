@@ -114,3 +114,13 @@ def test_near_copies_stay(docs):
         own[r.randrange(20)][r.randrange(12)] = _words(r, 1)
         texts.append("\n".join(map(" ".join, own)))
     assert sum(x.n_dropped for x in drop_recurring_lines(docs(texts), digest=True).collect()) == 0
+
+
+def test_shared_lines_are_no_context_of_each_other(docs):
+    r = random.Random(21)
+    texts = []
+    for _ in range(6):  # 120 shared words and 30 of their own
+        shared = [_words(r, 12) for _ in range(10)]
+        texts += ["\n".join([_words(r, 15), *shared[:5], _words(r, 15), *shared[5:]]) for _ in range(30)]
+    for df in (docs(texts), docs([t for t in texts for _ in range(3)])):  # copies of all of them change nothing
+        assert {(x.n_lines, x.n_dropped) for x in drop_recurring_lines(df, digest=True).collect()} == {(12, 10)}
