@@ -19,6 +19,10 @@ about once and takes nothing from the other documents: copies of documents are l
 near-duplicate removal, while passages and boilerplate that different documents share are
 dropped, in every document.
 
+A template of ``LONG`` tokens or more recurs from two documents of two contexts on, if each has
+lines that stand in fewer documents with at least one in ``OWN`` of all its words: two documents
+that are this passage and little else are near copies.
+
 Each document counts a line once. Lines travel as fingerprints; the same line in many documents
 is one row for each task. Recurring lines reach the workers by broadcast up to ``SENT`` of them
 and by a join on the line beyond.
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from .stash import map_batches, stash
 from .textvec import SPACED, Slice, gram_hashes, mix, slices
 
-DEPTH, AGREE, DOCS, SPREAD, SENT, MINIMA, OWN = 3, 70, 3, 2.5, 1_000_000, 4, 9
+DEPTH, AGREE, DOCS, SPREAD, SENT, MINIMA, OWN, LONG = 3, 70, 3, 2.5, 1_000_000, 4, 9, 50
 
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -138,11 +142,12 @@ CTX = [f"ctx{k}" for k in range(MINIMA)]
 
 
 def _contexts(x: Lines, docs_of: np.ndarray) -> pa.RecordBatch:
-    """(mask, contexts) of the lines that stand in several documents (``docs_of`` by line, 1 for others), once for each text."""
+    """(mask, far, contexts) of the lines that stand in several documents (``docs_of`` by line, 1 for others), once for each text."""
     some = _once(x)
     some = some[docs_of[some] > 1]
     lows = np.stack([x.lows(k) for k in range(MINIMA)], axis=1)
     out = np.stack([x._others(lows[:, k]) for k in range(MINIMA)], axis=1)
+    far = np.zeros(len(x.mask), bool)
     short = x.n < DEPTH  # nothing is known of their recurrence
     cuts = np.searchsorted(x.text[some], np.arange(len(x.first_line)))
     for i in np.flatnonzero(np.diff(cuts)).tolist():
@@ -156,7 +161,10 @@ def _contexts(x: Lines, docs_of: np.ndarray) -> pa.RecordBatch:
         outside = x.n[a:b].sum() - x.n[mine]
         use = np.flatnonzero((rarer > 0) & (OWN * words[np.maximum(rarer, 1) - 1] >= outside))
         out[mine[use]] = least[rarer[use] - 1]
-    return pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)) for v in (x.mask, *(np.ascontiguousarray(out[:, k]) for k in range(MINIMA)))], ["mask", *CTX])
+        rarer = np.searchsorted(docs_of[known], docs_of[mine], "left")
+        far[mine] = (rarer > 0) & (OWN * words[np.maximum(rarer, 1) - 1] >= x.n[a:b].sum())
+    cols = [pa.array(v[some].view(np.int64)) for v in (x.mask, *(np.ascontiguousarray(v) for v in out.T))]
+    return pa.RecordBatch.from_arrays([cols[0], pa.array(far[some]), *cols[1:]], ["mask", "far", *CTX])
 
 
 def _find_contexts(batches, masks: np.ndarray, counts: np.ndarray):
@@ -212,11 +220,11 @@ def recurring_lines(docs: DataFrame, least: int = DOCS, sent: int = SENT) -> Dat
     of = many.join(masks.select(F.col("leaf").alias("l"), F.col("mask").alias("m"), F.col("sig").alias("of")), (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("m")))
     in_many = masks.join(of.select("leaf", "template", "of"), "leaf").filter("mask <> template").select("leaf", "mask", "template", "sig", "of")
     merged = stash(map_batches(in_many, _agreement, "leaf long, mask long, template long"), "merged")
-    placed = masks.join(merged, ["leaf", "mask"], "left").select("leaf", "mask", "n_docs", F.coalesce("template", "mask").alias("template"))
+    placed = masks.join(merged, ["leaf", "mask"], "left").select("leaf", "mask", "n_docs", F.octet_length("sig").alias("words"), F.coalesce("template", "mask").alias("template"))
     sizes = placed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n")).filter(F.col("n") > 1)
-    some = stash(placed.join(sizes, ["leaf", "template"]).select("mask", "template", "n"), "candidates")
+    some = stash(placed.join(sizes, ["leaf", "template"]).select("mask", "template", "n", "words"), "candidates")
     # contexts, in a second pass over the texts
-    schema = "mask long, " + ", ".join(f"{c} long" for c in CTX)
+    schema = "mask long, far boolean, " + ", ".join(f"{c} long" for c in CTX)
     if some.count() <= sent:
         held = spark.sparkContext.broadcast(_arrays(some, ["mask", "n"]))
         found = map_batches(docs.select("text"), lambda b, h=held: _find_contexts(b, *h.value), schema)
@@ -225,13 +233,15 @@ def recurring_lines(docs: DataFrame, least: int = DOCS, sent: int = SENT) -> Dat
         marks = map_batches(rows.select("__row", "text"), _marks, "row long, line long, mask long")
         marks = marks.join(some.select("mask", "n"), "mask").groupBy("row").agg(F.collect_list(F.struct("line", "n")).alias("marks"))
         found = map_batches(rows.join(marks, rows["__row"] == marks["row"]).select("text", "marks"), _find_marked, schema)
-    by_ctx = found.groupBy("mask", *CTX).agg(F.count("*").alias("n"))
-    each = stash(by_ctx.join(some.select("mask", "template"), "mask").groupBy("template", *CTX).agg(F.sum("n").alias("n")), "contexts")
-    one = each.select("template", "n", F.xxhash64(*CTX).alias("one"), F.posexplode(F.array(*CTX)).alias("k", "ctx"))
+    by_ctx = found.groupBy("mask", "far", *CTX).agg(F.count("*").alias("n"))
+    each = stash(by_ctx.join(some.select("mask", "template", "words"), "mask").groupBy("template", "words", "far", *CTX).agg(F.sum("n").alias("n")), "contexts")
+    one = each.select("template", "words", "far", "n", F.xxhash64("far", *CTX).alias("one"), F.posexplode(F.array(*CTX)).alias("k", "ctx"))
     same = one.groupBy("template", "k", "ctx").agg(F.sum("n").alias("same"))
-    share = one.join(same, ["template", "k", "ctx"]).groupBy("template", "one").agg(F.first("n").alias("n"), F.max("same").alias("same"))
-    sums = share.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_ctx"), F.sum(F.col("n") / F.col("same")).alias("spread"))
-    sums = sums.filter((F.col("n_docs") >= least) & (F.col("spread") >= SPREAD))
+    share = one.join(same, ["template", "k", "ctx"]).groupBy("template", "words", "far", "one").agg(F.first("n").alias("n"), F.max("same").alias("same"))
+    each_as = F.col("n") / F.col("same")
+    sums = share.groupBy("template", "words").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_ctx"), F.sum(each_as).alias("spread"), F.sum(F.when(F.col("far"), each_as).otherwise(0)).alias("apart"))
+    wide = (F.col("n_docs") >= least) & (F.col("spread") >= SPREAD)
+    sums = sums.filter(wide | ((F.col("words") >= LONG) & (F.col("apart") > 1.99)))
     return stash(some.select("mask", "template").join(sums.select("template", "n_docs", "n_ctx"), "template").select("mask", "template", "n_docs", "n_ctx"), "recurring")
 
 

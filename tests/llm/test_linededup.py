@@ -124,3 +124,18 @@ def test_shared_lines_are_no_context_of_each_other(docs):
         texts += ["\n".join([_words(r, 15), *shared[:5], _words(r, 15), *shared[5:]]) for _ in range(30)]
     for df in (docs(texts), docs([t for t in texts for _ in range(3)])):  # copies of all of them change nothing
         assert {(x.n_lines, x.n_dropped) for x in drop_recurring_lines(df, digest=True).collect()} == {(12, 10)}
+
+
+def test_long_passage_of_two_documents(docs):
+    r = random.Random(31)
+    passage, brief = _words(r, 60), _words(r, 40)
+    a, b = f"{_words(r, 40)}\n{passage}", f"{passage}\n{_words(r, 50)}"
+    rest = [f"{_words(r, 40)}\n{brief}", f"{brief}\n{_words(r, 50)}"]  # under 50 words: kept
+    whole = [f"{_words(r, 60)}\n{_words(r, 30)}"] * 2  # copies
+    near = _words(r, 80)
+    near = [f"{_words(r, 4)}\n{near}", f"{_words(r, 4)}\n{near}"]  # the same text under two titles
+    for first in ([a], [a] * 5):  # copies of one of them change nothing
+        texts = [*first, b, *rest, *whole, *near]
+        got = {x.doc_id: x.n_dropped for x in drop_recurring_lines(docs(texts), digest=True).collect()}
+        assert [got[i] for i in range(len(texts))] == [1] * (len(first) + 1) + [0] * 6
+        assert sorted(map(str, drop_recurring_lines(docs(texts), digest=True, sent=0).collect())) == sorted(map(str, drop_recurring_lines(docs(texts), digest=True).collect()))
