@@ -2,18 +2,19 @@
 
 Every line of a text is parsed as a log line is: the tree's first level is its number of
 tokens, the next ``DEPTH`` levels are its leading tokens; a token with a digit is a variable
-field and parses as one wildcard. In a leaf, the masked line in most documents is the leaf's
-template, and a line that agrees with it in at least ``AGREE`` percent of its tokens (compared
-by place, by one byte of each token's fingerprint) belongs to that template: what differs is a
-variable field too. Other lines are templates of their own.
+field and parses as one wildcard. A leaf holds a list of templates: its masked lines are taken from
+the one in most documents on, and a line that agrees with a template in at least ``AGREE`` percent
+of its tokens (compared by place, by one byte of each token's fingerprint) belongs to the first
+such: what differs is a variable field too. A line that agrees with none is the next template. The
+different masked lines of one leaf are read in one task, which keeps its templates.
 
 A template recurs if it stands in at least ``DOCS`` documents and ``SPREAD`` contexts. A line's
 contexts in a document are the smallest fingerprints, by ``MINIMA`` functions, of word pairs that
 start outside the line: in the document's own lines, which are those whose template stands in at
 most half as many documents, if they have at least one in ``OWN`` of the words outside the line
 (documents that have fewer can be near copies of 0.8, (1 - 1/9) / (1 + 1/9)), and else in all
-lines. So other shared lines do not make contexts equal. A document and its exact copies give the same ones however many they are,
-and near copies share one at least. A document counts as one over the documents of the template
+lines. So other shared lines do not make contexts equal. A document and its exact copies give the
+same ones however many they are, and near copies mostly share one at least. A document counts as one over the documents of the template
 that share a context with it (by the function where they are most), so a group of copies counts
 about once and takes nothing from the other documents: copies of documents are left to
 near-duplicate removal, while passages and boilerplate that different documents share are
@@ -34,6 +35,8 @@ own; other columns are passed on.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -192,12 +195,36 @@ def _find_marked(batches):
             yield _contexts(x, n)
 
 
-def _agreement(batches):
-    """The masks that belong to their leaf's template, of (leaf, mask, template, sig, of)."""
+def _templates(batches):
+    """The masks that belong to a template of their leaf, of (leaf, mask, sig) by leaf and falling number of documents.
+
+    Lines that agree in AGREE percent differ in so few places that one of as many pieces and one is equal in both:
+    templates are looked up by pieces, so a leaf of many templates is not compared with each of them.
+    """
+    leaf, kept, by_piece = None, [], {}
     for batch in batches:
-        a, b = batch.column("sig").to_pylist(), batch.column("of").to_pylist()
-        ok = [100 * int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= AGREE * len(x) if len(x) == len(y) else False for x, y in zip(a, b)]
-        yield batch.select(["leaf", "mask", "template"]).filter(pa.array(ok, pa.bool_()))
+        found = []
+        for at, mask, sig in zip(*(batch.column(k).to_pylist() for k in ("leaf", "mask", "sig"))):
+            if at != leaf:
+                leaf, kept, by_piece = at, [], {}
+            parts = len(sig) * (100 - AGREE) // 100 + 1
+            rest = len(sig) - DEPTH
+            cut = [DEPTH + rest * k // parts for k in range(parts + 1)]
+            keys = [(k, sig[cut[k] : cut[k + 1]]) for k in range(parts)]
+            near = sorted({t for key in keys for t in by_piece.get(key, ())})
+            of = next((t for t in near if _agree(sig, kept[t][1])), None)
+            if of is not None:
+                found.append((at, mask, kept[of][0]))
+                continue
+            for key in keys:
+                by_piece.setdefault(key, []).append(len(kept))
+            kept.append((mask, sig))
+        cols = list(zip(*found)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["leaf", "mask", "template"])
+
+
+def _agree(a: bytes, b: bytes) -> bool:
+    return len(a) == len(b) and 100 * sum(map(eq, a, b)) >= AGREE * len(a)
 
 
 def _arrays(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
@@ -215,11 +242,9 @@ def recurring_lines(docs: DataFrame, least: int = DOCS, sent: int = SENT) -> Dat
     lines = map_batches(docs.select("text"), _lines, "leaf long, mask long, sig binary")
     # a line's bytes are the same in all rows of a mask: the smallest stands for them
     masks = stash(lines.groupBy("leaf", "mask").agg(F.count("*").alias("n_docs"), F.min("sig").alias("sig")), "masks")
-    top = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.max_by("mask", F.struct("n_docs", "mask")).alias("template"))
-    many = top.filter("masks > 1").select("leaf", "template")
-    of = many.join(masks.select(F.col("leaf").alias("l"), F.col("mask").alias("m"), F.col("sig").alias("of")), (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("m")))
-    in_many = masks.join(of.select("leaf", "template", "of"), "leaf").filter("mask <> template").select("leaf", "mask", "template", "sig", "of")
-    merged = stash(map_batches(in_many, _agreement, "leaf long, mask long, template long"), "merged")
+    crowded = masks.groupBy("leaf").agg(F.count("*").alias("masks")).filter("masks > 1").select("leaf")
+    in_order = masks.join(crowded, "leaf", "left_semi").repartition("leaf").sortWithinPartitions("leaf", F.desc("n_docs"), F.desc("mask"))
+    merged = stash(map_batches(in_order.select("leaf", "mask", "sig"), _templates, "leaf long, mask long, template long"), "merged")
     placed = masks.join(merged, ["leaf", "mask"], "left").select("leaf", "mask", "n_docs", F.octet_length("sig").alias("words"), F.coalesce("template", "mask").alias("template"))
     sizes = placed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n")).filter(F.col("n") > 1)
     some = stash(placed.join(sizes, ["leaf", "template"]).select("mask", "template", "n", "words"), "candidates")

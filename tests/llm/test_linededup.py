@@ -139,3 +139,12 @@ def test_long_passage_of_two_documents(docs):
         got = {x.doc_id: x.n_dropped for x in drop_recurring_lines(docs(texts), digest=True).collect()}
         assert [got[i] for i in range(len(texts))] == [1] * (len(first) + 1) + [0] * 6
         assert sorted(map(str, drop_recurring_lines(docs(texts), digest=True, sent=0).collect())) == sorted(map(str, drop_recurring_lines(docs(texts), digest=True).collect()))
+
+
+def test_a_leaf_has_many_templates(docs):
+    r = random.Random(41)
+    forms = [lambda w: f"user {w} logged in from HOME", lambda w: f"disk {w} is full on NODE", lambda w: f"job {w} has ended with SUCCESS"]
+    texts = [f"{_words(r, 30)}\n2024-01-{k:03d} 10:{k:02d} {k} {forms[k % 3](_words(r, 1))}\n{_words(r, 10)}" for k in range(45)]
+    texts += [f"{_words(r, 30)}\n2024-01-{k:03d} 10:{k:02d} {k} {_words(r, 6)}" for k in range(10)]  # templates of their own
+    got = {x.doc_id: x.n_dropped for x in drop_recurring_lines(docs(texts), digest=True).collect()}
+    assert [got[i] for i in range(55)] == [1] * 45 + [0] * 10
