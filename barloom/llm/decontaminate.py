@@ -11,8 +11,8 @@ The benchmark is read in blocks of at most ``block_bytes`` of text; each block i
 (that bounds its size) and costs one pass over the documents.
 
 Defined results: null text is the empty text and has no words; null or empty items have no
-windows; rows that repeat a doc_id count as rows of their own with one block and are merged
-(sums of words, union of items and spans) with more; equal windows of several items count for each item; rows that
+windows; every document row gives one row, also where a doc_id is null or repeated, with any
+number of blocks; equal windows of several items count for each item; rows that
 repeat an item_id are parts of one item; other columns are ignored.
 """
 
@@ -173,7 +173,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_byt
     bench = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.coalesce(F.sum(F.length("text") * 4 + 32), F.lit(0))).first()[0]
     n_blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    found = None
+    found, schema_of_part = None, HITS
+    if n_blocks > 1:  # blocks are merged by the number of the row in a written table
+        docs = stash(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"), "numbered")
+        schema_of_part = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *HITS.fields[1:]])
     for k in range(n_blocks):
         block = bench if n_blocks == 1 else bench.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k)
         rows = block.collect()  # a block's size is bounded
@@ -188,17 +191,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_byt
             rarity[g][x] = n
         w.order(rarity)
         ordered = spark.sparkContext.broadcast(w)
-        part = map_batches(docs, lambda b, v=ordered: _find(v.value, b), HITS)
+        part = map_batches(docs, lambda b, v=ordered: _find(v.value, b), schema_of_part)
         if n_blocks == 1:
             return part
         part = stash(part, "items")
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("doc_id").agg(
-        (F.sum("n_words") / F.lit(n_blocks)).cast("long").alias("n_words"),
+    merged = found.groupBy(F.col("doc_id.row").alias("row")).agg(
+        F.first("doc_id.doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
         F.collect_list("spans").alias("spans"),
         F.collect_list("items").alias("items"),
     )
-    return map_batches(merged, _merged, HITS)
+    return map_batches(merged.drop("row"), _merged, HITS)
 
 
 def _windows(ids: list[str], at: dict, rows: list, window: int) -> Windows:

@@ -66,3 +66,11 @@ def test_odd(odd, docs, spark):
     assert decontaminate(odd, bench).columns == odd.columns and decontaminate(odd, bench).count() == 6
     empty = spark.createDataFrame([], "item_id long, text string")
     assert contamination(odd, empty).filter("n_items > 0").count() == 0 and contamination(docs([]), bench).collect() == []
+
+
+def test_rows_stay_rows_with_many_blocks(docs, spark):
+    texts, items = _case()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in texts])
+    one, many = (sorted(map(str, contamination(df, bench, block_bytes=n).collect())) for n in (8 << 20, 120))
+    assert len(one) == len(texts) and one == many
