@@ -27,8 +27,9 @@ def so_far() -> WindowSpec:
     return by_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_here() -> WindowSpec:
-    return by_time().rowsBetween(0, Window.unboundedFollowing)
+def backwards() -> WindowSpec:
+    """From the contract's end down to this row: a running frame, where a frame up to the end is worked out anew for each row."""
+    return whole().orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def rows(k: int) -> WindowSpec:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import Cleaning
-from barloom.functions.common import by_time, clip, flag, from_here, safe_div, seconds, so_far, whole
+from barloom.functions.common import backwards, by_time, clip, flag, safe_div, seconds, so_far, whole
 
 
 def price_columns(df: DataFrame) -> list[str]:
@@ -61,12 +61,12 @@ def fill_forward(c: str) -> Column:
 
 
 def fill_backward(c: str) -> Column:
-    return F.first(c, ignorenulls=True).over(from_here())
+    return F.last(c, ignorenulls=True).over(backwards())
 
 
 def _between() -> Column:
     """By position, from ``__n`` and ``__item``: between the neighbours with values; the last one holds on, the start stays empty."""
-    before, behind = F.last("__item", ignorenulls=True).over(so_far()), F.first("__item", ignorenulls=True).over(from_here())
+    before, behind = F.last("__item", ignorenulls=True).over(so_far()), F.last("__item", ignorenulls=True).over(backwards())
     step = safe_div(behind["v"] - before["v"], behind["n"] - before["n"])
     return F.when(before.isNull(), None).when(behind.isNull(), before["v"]).when(behind["n"] == before["n"], before["v"]).otherwise(before["v"] + step * (F.col("__n") - before["n"]))
 

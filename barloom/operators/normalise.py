@@ -73,23 +73,26 @@ def normalise_columns(df: DataFrame, columns: list[str], method: str | dict | No
 def across_contracts(df: DataFrame, c: str, method: str = "zscore") -> DataFrame:
     """``c`` against all contracts: zscore, minmax, or percentile (share of all rows strictly below).
 
-    Ranks come from counts by distinct value, in two levels: a running sum inside ranges of values and one
-    over the ranges, so no task sees all rows.
+    Ranks come from counts by distinct value, in two levels: a running sum inside a bucket of values and one over
+    the buckets, so no task sees all rows. Buckets are cut by value alone, evenly and by logarithm at once, so
+    that a retried task puts every value where its first attempt did.
     """
     x = F.col(c).cast("double")
     out = f"{c}_norm"
+    stats = df.agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"), F.min(x).alias("__a"), F.max(x).alias("__b"), F.count("*").alias("__all"))
     if method != "percentile":
-        stats = df.agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"), F.min(x).alias("__a"), F.max(x).alias("__b"))
         value = F.when(F.col("__s") > 0, (x - F.col("__m")) / F.col("__s")).otherwise(0.0) if method == "zscore" else F.when(F.col("__b") > F.col("__a"), (x - F.col("__a")) / (F.col("__b") - F.col("__a"))).otherwise(0.5)
-        return df.crossJoin(F.broadcast(stats)).withColumn(out, F.when(x.isNotNull(), value)).drop("__m", "__s", "__a", "__b")
-    counts = df.groupBy(x.alias("__v")).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__all"))
-    values = counts.filter("__v is not null").repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
+        return df.crossJoin(F.broadcast(stats)).withColumn(out, F.when(x.isNotNull(), value)).drop("__m", "__s", "__a", "__b", "__all")
+    v = F.col("__v")
+    even = F.floor(F.try_divide(v - F.col("__a"), F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0))) * 4096)
+    bucket = F.struct((F.signum(v) * F.floor(F.log1p(F.abs(v)) * 64)).alias("log"), F.coalesce(even, F.lit(0)).alias("even"))
+    counts = df.groupBy(x.alias("__v")).agg(F.count("*").alias("__n")).filter("__v is not null")
+    counts = counts.crossJoin(F.broadcast(stats.select("__a", "__b", "__all"))).withColumn("__part", bucket)
     inner = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
-    parts = values.groupBy("__part").agg(F.sum("__n").alias("__k"))
-    parts = parts.select("__part", F.coalesce(F.sum("__k").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    below = values.join(F.broadcast(parts), "__part").crossJoin(F.broadcast(total)).select("__v", ((F.col("__before") + F.col("__in")) / F.col("__all")).alias(out))
+    values = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    parts = counts.groupBy("__part").agg(F.sum("__n").alias("__k"))  # a bounded number of buckets
+    parts = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__k").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    below = values.join(parts, values["__part"] == parts["__p"]).select("__v", ((F.col("__before") + F.col("__in")) / F.col("__all")).alias(out))
     return df.join(below, x == F.col("__v"), "left").drop("__v")
 
 

@@ -153,13 +153,17 @@ def bootstrap(df: DataFrame, draws: int = 100, seed: int = 42) -> DataFrame:
     n = counts.count()
     if not n:
         return df.sparkSession.createDataFrame([], "state int, mean double, std double, low double, high double")
-    spans = counts.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy("contract_id")))
-    size = spans.groupBy("__part").agg(F.count("*").alias("k"))
+    spans = counts.withColumn("__part", F.pmod(F.xxhash64("contract_id"), F.lit(4096)))  # numbered in buckets of ids: a retry numbers them alike
+    spans = spans.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy("contract_id")))
+    size = spans.groupBy("__part").agg(F.count("*").alias("k"))  # at most as many rows as buckets
     size = size.withColumn("__before", F.coalesce(F.sum("k").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = spans.join(F.broadcast(size.select("__part", "__before")), "__part").withColumn("ordinal", F.col("__before") + F.col("__in") - 1)
+    numbered = spans.join(size.select("__part", "__before"), "__part").withColumn("ordinal", F.col("__before") + F.col("__in") - 1)
     picks = df.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("ordinal"))
     sums = picks.join(numbered, "ordinal").groupBy("draw").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in CODES])
     total = reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in CODES])
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("state"), (100.0 * F.col(f"n_{c}") / total).alias("share")) for c in CODES])).alias("x")).select("x.*")
     q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.975)))
-    return long.groupBy("state").agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("std"), q[0].alias("low"), q[1].alias("high"))
+    drawn = long.groupBy("state").agg(F.sort_array(F.collect_list("share")).alias("all"), q.alias("q"))  # one number for each draw, added up in order
+    mean = lambda f: F.aggregate("all", F.lit(0.0), lambda s, x: s + f(x)) / F.size("all")
+    drawn = drawn.withColumn("mean", mean(lambda x: x))
+    return drawn.select("state", "mean", F.sqrt(mean(lambda x: F.pow(x - F.col("mean"), 2))).alias("std"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -33,68 +33,77 @@ def align(df: DataFrame, metrics: list[str] | tuple[str, ...] = DEFAULT_METRICS,
     points = melt(df, list(metrics), corrected)
     key = ["contract_id", "metric"]
     points = points.groupBy(*key, "category", "x").agg(F.avg("y").alias("y"))
-    n = points.groupBy(*key, "category").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter(F.col("n") >= least)
-    first = F.greatest(F.ceil(F.col("lo") / step), F.lit(-s.grid_hours_pre * 60 // step))
-    last = F.least(F.floor(F.col("hi") / step), F.lit(s.grid_hours_post * 60 // step))
-    grid = n.filter(first <= last).select(*key, "category", "n", F.explode(F.sequence(first, last)).alias("g")).withColumn("grid_min", F.col("g") * step)
+    low, high = -s.grid_hours_pre * 60 // step, s.grid_hours_post * 60 // step
     if method == "cubic":
-        return _cubic(points, grid, max_gap)
-    # values and grid points in one order: each grid point sees the value at or before and the value behind it
-    p = points.select(*key, F.col("x").alias("at"), F.struct("x", "y").alias("p"), F.lit(None).cast("long").alias("grid_min"), F.lit(None).cast("long").alias("n"), "category", F.lit(0).alias("o"))
-    g = grid.select(*key, F.col("grid_min").cast("double").alias("at"), F.lit(None).cast("struct<x:double,y:double>").alias("p"), "grid_min", "n", "category", F.lit(1).alias("o"))
-    w = Window.partitionBy(*key).orderBy("at", "o")
-    before = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = p.unionByName(g).withColumn("a", before).withColumn("b", behind).filter("o = 1")
-    at = F.col("at")
+        return _cubic(points, step, low, high, max_gap, least)
+    # every value serves the grid points from its own place up to the next value
+    w = Window.partitionBy(*key)
+    rows = points.withColumns({"n": F.count("*").over(w), "next": F.lead(F.struct("x", "y")).over(w.orderBy("x"))}).filter(F.col("n") >= least)
+    own = F.floor(F.col("x") / step)
+    until = F.when(F.col("next").isNull() | (F.col("next.x") - F.col("x") > max_gap), own).otherwise(F.ceil(F.col("next.x") / step) - 1)
+    rows = rows.withColumns({"g0": F.greatest(F.ceil(F.col("x") / step), F.lit(low)), "g1": F.least(until, F.lit(high))}).filter("g0 <= g1")
+    rows = rows.withColumn("g", F.explode(F.sequence("g0", "g1"))).withColumn("grid_min", F.col("g") * step)
+    at = F.col("grid_min").cast("double")
     if method == "nearest":
-        value = F.when(F.col("b").isNull() | (at - F.col("a.x") <= F.col("b.x") - at), F.col("a.y")).otherwise(F.col("b.y"))
+        value = F.when(F.col("next").isNull() | (at - F.col("x") <= F.col("next.x") - at), F.col("y")).otherwise(F.col("next.y"))
     else:
-        slope = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * safe_div(at - F.col("a.x"), F.col("b.x") - F.col("a.x"))
-        value = F.when(F.col("a.x") == at, F.col("a.y")).otherwise(slope)
-    inside = (F.col("a.x") < at) & (F.col("b.x") > at) & (F.col("b.x") - F.col("a.x") > max_gap)
-    return both.select("contract_id", "category", "metric", "grid_min", F.when(~F.coalesce(inside, F.lit(False)), value).alias("value"), "n").filter("value is not null")
+        slope = F.col("y") + (F.col("next.y") - F.col("y")) * safe_div(at - F.col("x"), F.col("next.x") - F.col("x"))
+        value = F.when(F.col("x") == at, F.col("y")).otherwise(slope)
+    return rows.select("contract_id", "category", "metric", "grid_min", value.alias("value"), "n").filter("value is not null")
 
 
-def _cubic(points: DataFrame, grid: DataFrame, max_gap: float) -> DataFrame:
-    key = ["contract_id", "metric"]
+def _cubic(points: DataFrame, step: int, low: int, high: int, max_gap: float, least: int) -> DataFrame:
     not_a_knot = spline_function()
 
-    def spline(name, left, right):
+    def spline(rows):
         import numpy as np
         import pandas as pd
 
-        left = left.sort_values("x")
-        x, y, g = left["x"].to_numpy(), left["y"].to_numpy(), right["grid_min"].to_numpy(float)
-        v = not_a_knot(x, y, g)
-        i = np.clip(np.searchsorted(x, g, side="right") - 1, 0, len(x) - 1)
-        j = np.clip(i + 1, 0, len(x) - 1)
-        gap = (x[i] < g) & (g < x[j]) & (x[j] - x[i] > max_gap)
-        out = right[["contract_id", "category", "metric", "grid_min"]].assign(value=v, n=right["n"])
-        return pd.DataFrame(out[~gap])
+        rows = rows.sort_values("x")
+        x, y, n = rows["x"].to_numpy(), rows["y"].to_numpy(), len(rows)
+        g = step * np.arange(max(np.ceil(x[0] / step), low), min(np.floor(x[-1] / step), high) + 1) if n >= least else np.zeros(0)
+        v = not_a_knot(x, y, g) if len(g) else g
+        i = np.clip(np.searchsorted(x, g, side="right") - 1, 0, n - 1)
+        j = np.clip(i + 1, 0, n - 1)
+        out = pd.DataFrame({"grid_min": g.astype("int64"), "value": v}).assign(**{c: rows[c].iloc[0] for c in ("contract_id", "category", "metric")}, n=n)
+        return out[~((x[i] < g) & (g < x[j]) & (x[j] - x[i] > max_gap))][["contract_id", "category", "metric", "grid_min", "value", "n"]]
 
-    points = points.select(*[F.col(c).alias(c) for c in points.columns])  # names of its own beside the grid's
-    return points.groupBy(*key).cogroup(grid.groupBy(*key)).applyInPandas(spline, "contract_id string, category string, metric string, grid_min long, value double, n long")
+    return points.groupBy("contract_id", "metric").applyInPandas(spline, "contract_id string, category string, metric string, grid_min long, value double, n long")
 
 
 def spline_function():
     """The spline as a local function: it travels to the workers by value."""
 
     def not_a_knot(x, y, g):
-        """A cubic spline whose third derivative is continuous at the second and the last but one point."""
+        """A cubic spline whose third derivative is continuous at the second and the last but one point.
+
+        Both conditions give an end's second derivative by its two neighbours; what is left is tridiagonal and is
+        eliminated in one pass.
+        """
         import numpy as np
 
         n = len(x)
         if n < 4:
             return np.polyval(np.polyfit(x, y, n - 1), g) if n > 1 else np.full(len(g), y[0] if n else np.nan)
-        h, d = np.diff(x), np.diff(y) / np.diff(x)
-        a, b = np.zeros((n, n)), np.zeros(n)
-        for i in range(1, n - 1):
-            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            b[i] = 6 * (d[i] - d[i - 1])
-        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-        m = np.linalg.solve(a, b)
+        h, slopes = np.diff(x), np.diff(y) / np.diff(x)
+        below, above = h[:-1].copy(), h[1:].copy()
+        middle, right = 2 * (below + above), 6 * np.diff(slopes)
+        middle[0] += h[0] * (h[0] + h[1]) / h[1]
+        above[0] -= h[0] ** 2 / h[1]
+        middle[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+        below[-1] -= h[-1] ** 2 / h[-2]
+        below, middle, above, right = below.tolist(), middle.tolist(), above.tolist(), right.tolist()
+        for i in range(1, n - 2):
+            k = below[i] / middle[i - 1]
+            middle[i] -= k * above[i - 1]
+            right[i] -= k * right[i - 1]
+        right[-1] /= middle[-1]
+        for i in range(n - 4, -1, -1):
+            right[i] = (right[i] - above[i] * right[i + 1]) / middle[i]
+        inner = np.array(right)
+        first = ((h[0] + h[1]) * inner[0] - h[0] * inner[1]) / h[1]
+        last = ((h[-2] + h[-1]) * inner[-1] - h[-1] * inner[-2]) / h[-2]
+        m = np.concatenate([[first], inner, [last]])
         k = np.clip(np.searchsorted(x, g, side="right") - 1, 0, n - 2)
         t, s = g - x[k], x[k + 1] - g
         return (m[k] * s**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * s + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
@@ -102,8 +111,15 @@ def spline_function():
     return not_a_knot
 
 
-def normalise_trajectories(aligned: DataFrame, method: str = "zscore") -> DataFrame:
-    """Each trajectory by zscore (population), minmax (0.5 if flat), anchor (value at the middle grid point); others stay."""
+def middle_minute(settings: Alignment | None = None) -> int:
+    """The minute of the grid's middle point."""
+    s = settings or Alignment()
+    low, high = -s.grid_hours_pre * 60 // s.interpolation_grid_minutes, s.grid_hours_post * 60 // s.interpolation_grid_minutes
+    return (low + (high - low + 1) // 2) * s.interpolation_grid_minutes
+
+
+def normalise_trajectories(aligned: DataFrame, method: str = "zscore", settings: Alignment | None = None) -> DataFrame:
+    """Each trajectory by zscore (population), minmax (0.5 if flat), anchor (value at the middle of the settings' grid); others stay."""
     w = Window.partitionBy("contract_id", "metric")
     v, n = F.col("value"), F.count("value").over(w)
     if method == "zscore":
@@ -113,21 +129,21 @@ def normalise_trajectories(aligned: DataFrame, method: str = "zscore") -> DataFr
         a, b = F.min(v).over(w), F.max(v).over(w)
         new = F.when(b > a, (v - a) / (b - a)).otherwise(0.5)
     elif method == "anchor":
-        middle = F.max(F.when(F.col("grid_min") == -600, v)).over(w)
+        middle = F.max(F.when(F.col("grid_min") == middle_minute(settings), v)).over(w)
         new = F.when(middle.isNotNull() & (middle != 0), v / middle).otherwise(v)
     else:
         return aligned
     return aligned.withColumn("value", F.when(n < 2, v).otherwise(new))
 
 
-def aggregate(aligned: DataFrame, by_category: bool = True, normalize: bool = True, method: str = "zscore") -> DataFrame:
+def aggregate(aligned: DataFrame, by_category: bool = True, normalize: bool = True, method: str = "zscore", settings: Alignment | None = None) -> DataFrame:
     """Weighted median, mean and percentiles (10, 25, 75, 90) of each grid point; std (population) and count without weights.
 
     Weights are each trajectory's number of values; a percentile is the smallest value whose
     running weight reaches it. Without ``by_category`` all categories are pooled.
     """
     if normalize:
-        aligned = normalise_trajectories(aligned, method)
+        aligned = normalise_trajectories(aligned, method, settings)
     if not by_category:
         aligned = aligned.withColumn("category", F.lit("overall"))
     key = ["metric", "category", "grid_min"]
@@ -148,7 +164,7 @@ def aggregate(aligned: DataFrame, by_category: bool = True, normalize: bool = Tr
 def signatures(df: DataFrame, settings: Alignment | None = None, method: str = "zscore") -> DataFrame:
     """Aggregated trajectories of the signature metrics, overall and by category."""
     aligned = align(df, [m for m in SIGNATURES if m in df.columns], settings)
-    return aggregate(aligned, False, method=method).unionByName(aggregate(aligned, True, method=method))
+    return aggregate(aligned, False, method=method, settings=settings).unionByName(aggregate(aligned, True, method=method, settings=settings))
 
 
 def event_window(df: DataFrame, pre: float = 60, post: float = 30) -> DataFrame:
