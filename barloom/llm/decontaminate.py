@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import map_batches, stash, without
+from .stash import map_batches, numbered, stash, without
 from .textvec import ALNUM, gram_hashes, slices
 
 BLOCK_BYTES = 2 << 20
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lowered
 
 HITS = T.StructType(
     [
@@ -169,14 +170,14 @@ def _merged(batches):
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_words, spans of words inside any occurring window, and ids of the items with one."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.coalesce(F.sum(F.length("text") * 4 + 32), F.lit(0))).first()[0]
     n_blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    found, schema_of_part = None, HITS
+    found, every = None, docs
     if n_blocks > 1:  # blocks are merged by the number of the row in a written table
-        docs = stash(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"), "numbered")
-        schema_of_part = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *HITS.fields[1:]])
+        every, row = numbered(docs)
+        docs = every.select(F.col(row).alias("doc_id"), "text")
     for k in range(n_blocks):
         block = bench if n_blocks == 1 else bench.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k)
         rows = block.collect()  # a block's size is bounded
@@ -191,18 +192,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_byt
             rarity[g][x] = n
         w.order(rarity)
         ordered = spark.sparkContext.broadcast(w)
-        part = map_batches(docs, lambda b, v=ordered: _find(v.value, b), schema_of_part)
+        part = map_batches(docs, lambda b, v=ordered: _find(v.value, b), HITS)
         if n_blocks == 1:
             return part
-        part = stash(part, "items")
+        part = stash(part.filter("size(items) > 0").select(F.col("doc_id").alias("of"), "spans", "items"), "items")
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(F.col("doc_id.row").alias("row")).agg(
-        F.first("doc_id.doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.collect_list("spans").alias("spans"),
-        F.collect_list("items").alias("items"),
-    )
-    return map_batches(merged.drop("row"), _merged, HITS)
+    merged = found.groupBy("of").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    both = every.select(row, "doc_id", n_words).join(merged, F.col(row) == F.col("of"), "left")
+    none = F.array().cast("array<array<array<bigint>>>"), F.array().cast("array<array<string>>")
+    both = both.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+    return map_batches(both, _merged, HITS)
 
 
 def _windows(ids: list[str], at: dict, rows: list, window: int) -> Windows:
@@ -228,6 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **o
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, **options) -> DataFrame:
-    """The documents in which fewer than ``min_items`` items occur, with all their columns."""
-    bad = contamination(docs, benchmark, min_items, **options).filter("contaminated")
-    return without(docs, bad.select("doc_id"))
+    """The documents in which fewer than ``min_items`` items occur, with all their columns; rows go by themselves, whatever their doc_id."""
+    rows, row = numbered(docs)
+    bad = contamination(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, min_items, **options).filter("contaminated")
+    return without(rows, row, bad.select("doc_id"))

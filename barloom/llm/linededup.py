@@ -2,9 +2,11 @@
 
 Every line of a text is parsed as a log line is: the tree's first level is its number of
 tokens, the next ``DEPTH`` levels are its leading tokens; a token with a digit is a variable
-field and parses as one wildcard. A leaf holds a list of templates: its masked lines are taken from
+field and parses as one wildcard, if ``DEPTH`` tokens or more of the line have none (rows of
+numbers and lines of one or two words stand for themselves alone). A leaf holds a list of templates: its masked lines are taken from
 the one in most documents on, and a line that agrees with a template in at least ``AGREE`` percent
-of its tokens (compared by place, by one byte of each token's fingerprint) belongs to the first
+of its tokens (compared by place, by one byte of each token's fingerprint), ``DEPTH`` of them no
+wildcards, belongs to the first
 such: what differs is a variable field too. A line that agrees with none is the next template. The
 different masked lines of one leaf are read in one task, which keeps its templates.
 
@@ -28,27 +30,26 @@ Each document counts a line once. Lines travel as fingerprints; the same line in
 is one row for each task. Recurring lines reach the workers by broadcast up to ``SENT`` of them
 and by a join on the line beyond.
 
-Defined results: a null text stays null and an empty text empty; lines of fewer than
-``DEPTH`` tokens are kept and have no template; only ``\\n`` parts lines; rows that repeat a doc_id are documents of their
-own; other columns are passed on.
+Defined results: a null text stays null and an empty text empty; lines without tokens are kept
+and have no template; only ``\\n`` parts lines; rows that repeat a doc_id are documents of their
+own; other columns, of any name, are passed on.
 """
 
 from __future__ import annotations
 
-from operator import eq
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stash import map_batches, stash
+from .stash import fresh, map_batches, numbered, stash
 from .textvec import SPACED, Slice, gram_hashes, mix, slices
 
 DEPTH, AGREE, DOCS, SPREAD, SENT, MINIMA, OWN, LONG = 3, 70, 3, 2.5, 1_000_000, 4, 9, 50
 
-_WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
+STAR = 0x2A
+_WILD = np.uint64(STAR << 56)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,11 +74,14 @@ class Lines:
         self.end[self.first_line[1:] - 1] = bounds[1:]
         # tokens
         self.tokens = s.hashes()
-        digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-        self.tokens[digit[s.end] > digit[s.start]] = _WILD
         self.at = np.searchsorted(s.start, self.start)
         self.upto = np.searchsorted(s.start, self.end)
         self.n = self.upto - self.at
+        digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        varies = digit[s.end] > digit[s.start]
+        constant = np.concatenate([[0], np.cumsum(~varies)])
+        varies &= np.repeat(constant[self.upto] - constant[self.at] >= DEPTH, self.n)
+        self.tokens[varies] = _WILD
         # a fingerprint of the masked line: a sum over tokens and places
         place = np.arange(len(self.tokens)) - np.repeat(self.at, self.n)
         run = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.tokens + place.astype(np.uint64) * _FOLD), dtype=np.uint64)])
@@ -90,6 +94,7 @@ class Lines:
             leaf = mix(leaf * _FOLD + step)
         self.leaf = leaf
         self.byte = (self.tokens >> np.uint64(56)).astype(np.uint8)
+        self.byte[(self.byte == STAR) & ~varies] ^= 1  # the wildcard's byte is its own
 
     def lows(self, seed: int = 0) -> np.ndarray:
         """The smallest fingerprint of the word pairs that start in each line, by one of several functions."""
@@ -138,7 +143,7 @@ def _lines(batches):
 def _once(x: Lines) -> np.ndarray:
     """The first of a text's lines of each mask, without lines that have no template."""
     _, once = np.unique(np.stack([x.text.astype(np.uint64), x.mask], axis=1), axis=0, return_index=True)
-    return np.sort(once[x.n[once] >= DEPTH])
+    return np.sort(once[x.n[once] > 0])
 
 
 CTX = [f"ctx{k}" for k in range(MINIMA)]
@@ -151,11 +156,10 @@ def _contexts(x: Lines, docs_of: np.ndarray) -> pa.RecordBatch:
     lows = np.stack([x.lows(k) for k in range(MINIMA)], axis=1)
     out = np.stack([x._others(lows[:, k]) for k in range(MINIMA)], axis=1)
     far = np.zeros(len(x.mask), bool)
-    short = x.n < DEPTH  # nothing is known of their recurrence
     cuts = np.searchsorted(x.text[some], np.arange(len(x.first_line)))
     for i in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = x.first_line[i], x.first_line[i + 1]
-        known = a + np.flatnonzero(~short[a:b])
+        known = a + np.flatnonzero(x.n[a:b])
         known = known[np.argsort(docs_of[known], kind="stable")]
         least = np.minimum.accumulate(lows[known], axis=0)
         words = np.cumsum(x.n[known])
@@ -177,7 +181,7 @@ def _find_contexts(batches, masks: np.ndarray, counts: np.ndarray):
             n = np.ones(len(x.mask), np.int64)
             if len(masks):
                 at = np.minimum(np.searchsorted(masks, x.mask), len(masks) - 1)
-                hit = (masks[at] == x.mask) & (x.n >= DEPTH)
+                hit = (masks[at] == x.mask) & (x.n > 0)
                 n[hit] = counts[at[hit]]
             yield _contexts(x, n)
 
@@ -224,7 +228,10 @@ def _templates(batches):
 
 
 def _agree(a: bytes, b: bytes) -> bool:
-    return len(a) == len(b) and 100 * sum(map(eq, a, b)) >= AGREE * len(a)
+    if len(a) != len(b):
+        return False
+    same = [x for x, y in zip(a, b) if x == y]
+    return 100 * len(same) >= AGREE * len(a) and len(same) - same.count(STAR) >= DEPTH
 
 
 def _arrays(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
@@ -254,10 +261,10 @@ def recurring_lines(docs: DataFrame, least: int = DOCS, sent: int = SENT) -> Dat
         held = spark.sparkContext.broadcast(_arrays(some, ["mask", "n"]))
         found = map_batches(docs.select("text"), lambda b, h=held: _find_contexts(b, *h.value), schema)
     else:
-        rows = stash(docs.select("text").withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        marks = map_batches(rows.select("__row", "text"), _marks, "row long, line long, mask long")
-        marks = marks.join(some.select("mask", "n"), "mask").groupBy("row").agg(F.collect_list(F.struct("line", "n")).alias("marks"))
-        found = map_batches(rows.join(marks, rows["__row"] == marks["row"]).select("text", "marks"), _find_marked, schema)
+        rows, _ = numbered(docs.select("text"))
+        marks = map_batches(rows.select("row", "text"), _marks, "of long, line long, mask long")
+        marks = marks.join(some.select("mask", "n"), "mask").groupBy("of").agg(F.collect_list(F.struct("line", "n")).alias("marks"))
+        found = map_batches(rows.join(marks, rows["row"] == marks["of"]).select("text", "marks"), _find_marked, schema)
     by_ctx = found.groupBy("mask", "far", *CTX).agg(F.count("*").alias("n"))
     each = stash(by_ctx.join(some.select("mask", "template", "words"), "mask").groupBy("template", "words", "far", *CTX).agg(F.sum("n").alias("n")), "contexts")
     one = each.select("template", "words", "far", "n", F.xxhash64("far", *CTX).alias("one"), F.posexplode(F.array(*CTX)).alias("k", "ctx"))
@@ -285,7 +292,7 @@ def _drop(batches, masks: np.ndarray, digest: bool):
         for s in slices(texts, SPACED, lower=False):
             x = Lines(s)
             at = np.minimum(np.searchsorted(masks, x.mask), max(len(masks) - 1, 0))
-            hit = (masks[at] == x.mask) & (x.n >= DEPTH) if len(masks) else np.zeros(len(x.mask), bool)
+            hit = (masks[at] == x.mask) & (x.n > 0) if len(masks) else np.zeros(len(x.mask), bool)
             for i in range(s.n):
                 part = hit[x.first_line[i] : x.first_line[i + 1]]
                 out.append(_cut(plain[s.first + i], part))
@@ -304,19 +311,20 @@ def _drop(batches, masks: np.ndarray, digest: bool):
 
 
 def _marks(batches):
-    """(row, line, mask) of every line; row and line name its place."""
+    """(of, line, mask) of every line; row (of) and line name its place."""
     for batch in batches:
         rows = np.asarray(batch.column(0))
         for s in slices(batch.column(1), SPACED, lower=False):
             x = Lines(s)
-            some = np.flatnonzero(x.n >= DEPTH)
+            some = np.flatnonzero(x.n)
             line = np.arange(len(x.text)) - np.repeat(x.first_line[:-1], np.diff(x.first_line))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[s.first + x.text[some]]), pa.array(line[some]), pa.array(x.mask[some].view(np.int64))], ["row", "line", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[s.first + x.text[some]]), pa.array(line[some]), pa.array(x.mask[some].view(np.int64))], ["of", "line", "mask"])
 
 
 def _drop_marked(batches, digest: bool):
+    """The last column lists the lines that go."""
     for batch in batches:
-        gone = batch.column(batch.schema.get_field_index("__gone")).to_pylist()
+        gone = batch.column(batch.num_columns - 1).to_pylist()
         k = batch.schema.get_field_index("text")
         plain = batch.column(k).to_pylist()
         out, total = [], []
@@ -330,7 +338,7 @@ def _drop_marked(batches, digest: bool):
         if digest:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array([len(g or []) for g in gone], pa.int64()), text], ["doc_id", "n_lines", "n_dropped", "text"])
         else:
-            names = [n for n in batch.schema.names if n not in ("__gone", "__row")]
+            names = batch.schema.names[:-1]
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names} | {"text": text}
             if "n_chars" in columns:
                 columns["n_chars"] = pc.cast(pc.utf8_length(text), columns["n_chars"].type)
@@ -352,8 +360,9 @@ def drop_recurring_lines(docs: DataFrame, least: int = DOCS, digest: bool = Fals
         masks = np.sort(np.array([r[0] for r in found.select("mask").collect()], np.int64).view(np.uint64))  # at most ``sent``
         masks = spark.sparkContext.broadcast(masks)
         return map_batches(docs, lambda b, m=masks: _drop(b, m.value, digest), schema)
-    rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    marks = map_batches(rows.select("__row", "text"), _marks, "row long, line long, mask long")
-    gone = marks.join(found.select("mask").distinct(), "mask").groupBy("row").agg(F.collect_list("line").alias("__gone"))
-    both = rows.join(gone, rows["__row"] == gone["row"], "left").drop("row")
+    rows, row = numbered(docs)
+    of, lines = fresh(rows, "of"), fresh(rows, "gone")
+    marks = map_batches(rows.select(row, "text"), _marks, "of long, line long, mask long")
+    gone = marks.join(found.select("mask").distinct(), "mask").groupBy(F.col("of").alias(of)).agg(F.collect_list("line").alias(lines))
+    both = rows.join(gone, rows[row] == gone[of], "left").drop(of, row)
     return map_batches(both, lambda b: _drop_marked(b, digest), schema)

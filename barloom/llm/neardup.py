@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stash import map_batches, stash, without
+from .stash import map_batches, numbered, stash, without
 from .textvec import SPACED, gram_hashes, mix, slices
 
 REGISTERS, BAND, BANDS, FIRST = 256, 6, 42, 8
@@ -334,5 +334,9 @@ def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFra
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, with all columns; rows that repeat a kept doc_id all stay."""
-    return without(docs, near_duplicates(docs, **options).filter("not kept").select("doc_id"))
+    """One row of each group, with all columns: that of the smallest doc_id (null last), also where rows repeat a doc_id or have none."""
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **options).select("doc_id", "component_id")
+    placed = rows.select(F.col(row).alias("of"), F.col("doc_id").alias("own")).join(found, F.col("of") == F.col("doc_id"))
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "of"))["of"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return without(rows, row, placed.join(first, "component_id").filter("of <> first").select("of"))

@@ -22,9 +22,11 @@ _PATHS: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """The shared folder ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets one; a cluster has to set it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", where)
         _PATHS.append((spark, where))
@@ -92,11 +94,26 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-SENT_IDS = 1_000_000
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that is no column of ``df`` yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is not in ``ids`` (one column): sent to all tasks up to ``SENT_IDS``, joined beyond."""
-    ids = stash(ids.select(F.col(ids.columns[0]).alias("__id")).filter("__id is not null").distinct(), "ids")
-    small = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["__id"], "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, and that column's name: ids may be null or repeat, rows do not."""
+    row = fresh(docs, "row")
+    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+SENT_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """``rows`` less those whose number is in ``gone`` (one column), and without the number: sent to all tasks up to ``SENT_ROWS``, joined beyond."""
+    out = fresh(rows, "gone")
+    gone = stash(gone.select(F.col(gone.columns[0]).alias(out)).distinct(), "gone")
+    small = gone.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return rows.join(F.broadcast(gone) if small else gone, rows[row] == gone[out], "left_anti").drop(row)

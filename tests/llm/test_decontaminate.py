@@ -74,3 +74,12 @@ def test_rows_stay_rows_with_many_blocks(docs, spark):
     df = docs([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in texts])
     one, many = (sorted(map(str, contamination(df, bench, block_bytes=n).collect())) for n in (8 << 20, 120))
     assert len(one) == len(texts) and one == many
+
+
+def test_rows_go_by_themselves(docs, spark):
+    """Contaminated rows without a doc_id go, and clean rows that share a contaminated row's doc_id stay."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = docs([(None, f"one {item}"), (None, f"{item} two"), (None, "clean"), (4, item), (4, "clean too"), (5, "")])
+    for n in (8 << 20, 40):
+        assert sorted((str(r.doc_id), r.text) for r in decontaminate(df, bench, block_bytes=n).collect()) == [("4", "clean too"), ("5", ""), ("None", "clean")]

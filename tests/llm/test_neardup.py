@@ -102,3 +102,11 @@ def test_repeated_id_is_one_node(docs):
     a, b = "one two three four five six", "red green blue black white grey"
     rows = near_duplicates(docs([(3, a), (3, b), (7, a), (9, b)]), width=2).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(3, 3), (7, 3), (9, 3)}
+
+
+def test_one_row_of_a_group_stays(docs):
+    """Also where rows repeat a doc_id or have none."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = docs([(None, text), (9, text), (3, text), (3, text), (None, "apart"), (9, "other"), (8, None), (8, None)])
+    got = sorted((str(r.doc_id), r.text) for r in drop_near_duplicates(df).collect())
+    assert got == sorted([("3", text), ("None", "apart"), ("9", "other"), ("8", None), ("8", None)], key=lambda x: (x[0], str(x[1])))
