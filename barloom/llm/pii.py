@@ -6,21 +6,22 @@ pseudonym in every document and the pseudonym is again valid of its kind:
 
 * card numbers keep their length, separators and first digit; the Luhn digit is made anew;
 * North American phone numbers keep their layout, prefix and the first digits of area and
-  exchange; other ``+`` numbers keep their first two digits;
+  exchange, and get one pseudonym in every layout, with or without ``+1``; other ``+`` numbers, with
+  or without separators, keep their layout and first two digits;
 * social security numbers run over the valid areas, groups and serials;
 * dates (2024-01-31, 2024/01/31, 31.01.2024, 01/31/2024) run over the 270 * 270 days from
   1900-03-01 to 2099-10-05, each in its layout; other dates stay;
 * IPv4 addresses run over all addresses;
-* local parts of mail addresses and keys, tokens and passwords keep what is a digit, a lower
-  and an upper letter (a-f, where all of it is lower hexadecimal); mail domains stay.
+* local parts of mail addresses and keys, tokens and passwords, of any length, keep what is a digit,
+  a lower and an upper letter and all else; mail domains and the words that announce a secret stay.
 
 Halves of a number are added to modulo their own ranges in turn, so ranges need not be powers
 of two and nothing is walked in cycles. The round function is SHA-256 over key, kind, round and
 the other half. The default key is for tests: pass a secret one.
 
 Defined results: null text stays null, with zero counts; rows that repeat a doc_id are documents of
-their own; candidates that fail their check stay as they are; other columns are passed on by
-``pseudonymise``.
+their own; candidates that fail their check stay as they are; other columns, of any name, are passed on
+by ``pseudonymise``.
 """
 
 from __future__ import annotations
@@ -30,17 +31,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stash import fresh
+
 ROUNDS = 8
 KINDS = ("email", "secret", "ip", "date", "ssn", "phone", "card")
 
 # fixed values: layouts of the values looked for
 _PARTS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9_+/-]{8,64}(?![A-Za-z0-9_+/-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9_+/-]{8,}+",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z]|[.-][0-9])",
 }
 PATTERN = "|".join(_PARTS[k] for k in KINDS)
@@ -85,26 +88,27 @@ def _digits(key: Column, kind: Column, digits: Column) -> Column:
 
 
 def _letters(key: Column, kind: Column, text: Column) -> Column:
-    """A keyed permutation of strings up to 64 long that keeps each character's class."""
+    """A keyed permutation of strings that keeps each character's class, place by place: one alphabet for all texts."""
     n = F.length(text)
     a = F.floor(n / 2).cast("int")
-    span = F.when(text.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
 
-    def shift(half: Column, h: Column) -> Column:
+    def shift(half: Column, r: Column, other: Column) -> Column:
+        """Every character moved within its class by two hexadecimal digits; a digest serves 32 characters."""
+        digests = F.transform(F.sequence(F.lit(0), F.floor((F.length(half) - 1) / 32).cast("int")), lambda j: F.sha2(F.concat_ws("|", key, kind, r.cast("string"), other, key, j.cast("string")), 256))
+
         def one(c: Column, i: Column, x: Column) -> Column:
             by = F.conv(x.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int")
             low, high, digit = c.rlike("[a-z]"), c.rlike("[A-Z]"), c.rlike("[0-9]")
             base = F.when(low, 97).when(high, 65).otherwise(48)
-            size = F.when(low, span).when(high, F.lit(26)).otherwise(F.lit(10))
-            return F.when(low | high | digit, F.char(base + (F.ascii(c) - base + by) % size)).otherwise(c)
+            return F.when(low | high | digit, F.char(base + (F.ascii(c) - base + by) % F.when(digit, 10).otherwise(26))).otherwise(c)
 
-        made = let(h, lambda x: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(c, i, x)), ""))
+        made = let(F.array_join(digests, ""), lambda x: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(c, i, x)), ""))
         return F.when(F.length(half) == 0, half).otherwise(made)
 
     def turn(s: Column, r: Column) -> Column:
         odd = r % 2 == 1
-        left = F.when(odd, shift(s["l"], _round(key, kind, r, s["r"]))).otherwise(s["l"])
-        right = F.when(odd, s["r"]).otherwise(shift(s["r"], _round(key, kind, r, s["l"])))
+        left = F.when(odd, shift(s["l"], r, s["r"])).otherwise(s["l"])
+        right = F.when(odd, s["r"]).otherwise(shift(s["r"], r, s["l"]))
         return F.struct(left.alias("l"), right.alias("r"))
 
     start = F.struct(text.substr(F.lit(1), a).alias("l"), text.substr(a + 1, n - a).alias("r"))
@@ -161,12 +165,12 @@ def kind_of(m: Column) -> Column:
     """The kind of a candidate that passes its check, else null."""
     digits = _only_digits(m)
     ssn = ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
-    phone = m.rlike(r"^\+[0-9]{8,15}$") | m.rlike(r"^(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}[).-] ?[2-9][0-9]{2}[.-][0-9]{4}$")
+    phone = let(digits, lambda d: _north(m, d) | (m.startswith("+") & ~d.rlike("^1[0-9]{10}$")))
     check = let(digits, lambda d: let(d.substr(F.lit(1), F.length(d) - 1), luhn_digit) == d.substr(F.length(d), F.lit(1)))
     card = F.length(digits).between(13, 19) & check & ~digits.rlike("^0+$")
     return (
         F.when(m.contains("@") & m.rlike(_full("email")), "email")
-        .when(m.rlike("^(?:AKIA|password|passwd|token|secret|api)"), "secret")
+        .when(m.rlike("^(?:AKIA|(?i:password|passwd|token|secret|api))"), "secret")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(F.greatest(*[_octet(m, k) for k in range(4)]) <= 255, "ip"))
         .when(m.rlike(_full("date")), F.when(_day(m).isNotNull(), "date"))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(ssn, "ssn"))
@@ -185,13 +189,18 @@ def _ssn(m: Column, digits: Column, kind: Column, key: Column) -> Column:
     return let(made, lambda x: F.format_string("%03d-%02d-%04d", new(x), F.floor(x["r"] / 9999) + 1, x["r"] % 9999 + 1))
 
 
+def _north(m: Column, digits: Column) -> Column:
+    """A number of the North American plan: ten digits, or eleven behind the country code."""
+    return digits.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$") & (~m.startswith("+") | (F.length(digits) == 11))
+
+
 def _phone(m: Column, digits: Column, kind: Column, key: Column) -> Column:
     n = F.length(digits)
     ten = digits.substr(n - 9, F.lit(10))
     eight = _digits(key, kind, F.concat(ten.substr(2, 2), ten.substr(5, 6)))
     north = let(eight, lambda e: F.concat(digits.substr(F.lit(1), n - 10), ten.substr(1, 1), e.substr(1, 2), ten.substr(4, 1), e.substr(3, 6)))
     world = F.concat(digits.substr(1, 2), _digits(key, kind, digits.substr(F.lit(3), n - 2)))
-    return let(F.when(m.rlike(r"^\+[0-9]{8,15}$"), world).otherwise(north), lambda d: _put(m, d))
+    return let(F.when(_north(m, digits), north).otherwise(world), lambda d: _put(m, d))
 
 
 def _card(m: Column, digits: Column, kind: Column, key: Column) -> Column:
@@ -203,7 +212,7 @@ def _card(m: Column, digits: Column, kind: Column, key: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     """The pseudonym of a validated value."""
     email = F.concat(_letters(key, kind, F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
-    head = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.regexp_extract(m, r'^([a-z_]+ ?[=:] ?"?)', 1))
+    head = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.regexp_extract(m, r'^([A-Za-z_]+ ?[=:] ?"?)', 1))
     secret = let(head, lambda h: F.concat(h, _letters(key, kind, m.substr(F.length(h) + 1, F.length(m)))))
     two = F.lit(65536).cast("long")
     ip = _numbers(key, kind, _octet(m, 0) * 256 + _octet(m, 1), _octet(m, 2) * 256 + _octet(m, 3), two, two)
@@ -220,24 +229,24 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = "test key") -> DataFrame:
-    """The documents with pseudonyms in ``text`` and, behind their columns, the counts n_<kind> (as __n_<kind>)."""
-    some = F.col("text").rlike("[0-9@]|AKIA|password|passwd|token|secret|api_?key")
+    """The documents with pseudonyms in ``text`` and, behind their columns, the counts n_<kind> (with ``_`` behind a name that a column has)."""
+    some = F.col("text").rlike("[0-9@]|AKIA|(?i:password|passwd|token|secret|api_?key)")
     none = F.array().cast("array<string>")
-    secret = F.lit(key)
+    secret, values, known = F.lit(key), fresh(docs, "values"), fresh(docs, "kinds")
     found = F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(none)
-    kinds = F.transform("__m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    rows = docs.withColumn("__m", F.coalesce(found, none)).withColumn("__k", kinds)
-    fresh = F.transform("__k", lambda x: pseudonym(x["m"], x["kind"], secret))
+    kinds = F.transform(values, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    rows = docs.withColumn(values, F.coalesce(found, none)).withColumn(known, kinds)
+    made = F.transform(known, lambda x: pseudonym(x["m"], x["kind"], secret))
     pieces = F.split("text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(pieces, fresh, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    text = F.when(F.size("__m") > 0, joined).otherwise(F.col("text"))
-    count = lambda k: F.size(F.filter("__k", lambda x: F.coalesce(x["kind"] == k, F.lit(False)))).cast("long")
+    joined = F.array_join(F.zip_with(pieces, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    text = F.when(F.size(values) > 0, joined).otherwise(F.col("text"))
+    count = lambda k: F.size(F.filter(known, lambda x: F.coalesce(x["kind"] == k, F.lit(False)))).cast("long")
     own = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return rows.select(*own, *[count(k).alias(f"__n_{k}") for k in KINDS])
+    return rows.select(*own, *[count(k).alias(fresh(docs, f"n_{k}")) for k in KINDS])
 
 
 def private_digest(docs: DataFrame, key: str = "test key") -> DataFrame:
     """doc_id, n_<kind> for every kind, n_private and text."""
     out = pseudonymise(docs.select("doc_id", "text"), key)
-    total = reduce(lambda a, b: a + b, [F.col(f"__n_{k}") for k in KINDS])
-    return out.select("doc_id", *[F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS], total.alias("n_private"), "text")
+    counts = [f"n_{k}" for k in KINDS]
+    return out.select("doc_id", *counts, reduce(lambda a, b: a + b, map(F.col, counts)).alias("n_private"), "text")

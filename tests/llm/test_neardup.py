@@ -94,7 +94,7 @@ def test_odd(odd, docs):
     assert by[5, 3].component_id == 5 and by[6, 3].component_id == 5 and not by[6, 3].kept
     assert all(r.kept for r in rows if r.doc_id != 6)
     kept = drop_near_duplicates(odd, width=2)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "5", "None", "7"])
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "None", "7"])
     assert near_duplicates(docs([])).collect() == []
 
 

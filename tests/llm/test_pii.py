@@ -1,7 +1,10 @@
+import hashlib
 import re
-from datetime import date
+from datetime import date, timedelta
 
-from barloom.llm.pii import KINDS, private_digest, pseudonymise
+from pyspark.sql import functions as F
+
+from barloom.llm.pii import KINDS, ROUNDS, private_digest, pseudonymise
 
 
 def luhn(s):
@@ -58,8 +61,93 @@ def test_permutations_are_one_to_one(docs):
 
 
 def test_odd(odd, docs):
-    out = pseudonymise(odd.drop("__m"))
-    assert out.columns[: len(odd.columns) - 1] == odd.drop("__m").columns and out.count() == 9
+    odd = odd.withColumns({"values": F.lit("mine"), "kinds": F.lit("mine"), "n_email": F.lit("mine")})
+    out = pseudonymise(odd)
+    assert out.columns[: len(odd.columns)] == odd.columns and "n_email_" in out.columns and out.count() == 9
+    assert {(r["values"], r["kinds"], r.n_email, r["__m"]) for r in out.collect()} == {("mine", "mine", "mine", "clash")}
     rows = {r.doc_id: r for r in private_digest(odd).collect()}
     assert rows[1].text is None and rows[2].text == "" and all(rows[1][f"n_{k}"] == 0 for k in KINDS)
     assert private_digest(docs([])).collect() == []
+
+
+# ---- the same permutations over Python's integers and strings
+
+
+def sha(*parts):
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def numbers(kind, left, right, n_left, n_right, key="test key"):
+    for r in range(1, ROUNDS + 1):
+        if r % 2:
+            left = (left + int(sha(key, kind, r, right, key)[:15], 16)) % n_left
+        else:
+            right = (right + int(sha(key, kind, r, left, key)[:15], 16)) % n_right
+    return left, right
+
+
+def digits(kind, d):
+    a = len(d) // 2
+    left, right = numbers(kind, int(d[:a]), int(d[a:]), 10**a, 10 ** (len(d) - a))
+    return f"{left:0{a}d}{right:0{len(d) - a}d}"
+
+
+def letters(kind, text, key="test key"):
+    def shift(half, r, other):
+        stream = "".join(sha(key, kind, r, other, key, j) for j in range((len(half) + 31) // 32))
+        out = ""
+        for i, c in enumerate(half):
+            base, n = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26)
+            out += chr(base + (ord(c) - base + int(stream[2 * i : 2 * i + 2], 16)) % n) if c.isalnum() else c
+        return out
+
+    a = len(text) // 2
+    left, right = text[:a], text[a:]
+    for r in range(1, ROUNDS + 1):
+        if r % 2:
+            left = shift(left, r, right)
+        else:
+            right = shift(right, r, left)
+    return left + right
+
+
+def luhn_of(body):
+    return next(c for c in "0123456789" if luhn(body + c))
+
+
+def test_against_brute_force(docs):
+    local, token = "Jane.d-oe_7" * 9, "Ab9_z/" * 40
+    day = date(1900, 3, 1) + timedelta(sum(x * y for x, y in zip(numbers("date", *divmod((date(1987, 6, 5) - date(1900, 3, 1)).days, 270), 270, 270), (270, 1))))
+    ip = [x for half in numbers("ip", 10 * 256 + 1, 2 * 256 + 3, 65536, 65536) for x in divmod(half, 256)]
+    area, rest = numbers("ssn", 700 - 2, 44 * 9999 + 1233, 898, 99 * 9999)
+    ten = digits("phone", "55559729")
+    north = f"7{ten[:2]}", f"5{ten[2:4]}", ten[4:]
+    world = digits("phone", "2079460958")
+    body = "4" + digits("card", "94433949042960")
+    got = [r.text for r in run(docs, f"{local}@x.org", f"PASSWORD: {token}", "api_key=ab12cd34", "1987/06/05", "10.1.2.3", "700-45-1234", "(755) 555-9729 755 555 9729 +17555559729", "+44 20 7946 0958 or +442079460958", "4944339490429605")]
+    assert got == [
+        f"{letters('email', local)}@x.org", f"PASSWORD: {letters('secret', token)}", f"api_key={letters('secret', 'ab12cd34')}", f"{day:%Y/%m/%d}", ".".join(map(str, ip)),
+        f"{area + (2 if area >= 665 else 1):03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}", f"({north[0]}) {north[1]}-{north[2]} {' '.join(north)} +1{''.join(north)}",
+        f"+44 {world[:2]} {world[2:6]} {world[6:]} or +44{world}", body + luhn_of(body),
+    ]
+
+
+def test_small_domains_map_onto_themselves(docs):
+    mails = [f"{a}{d}@q.org" for a in "abcdefghijklmnopqrstuvwxyz" for d in range(10)]  # hexadecimal and other texts alike
+    phones = [f"+1755555{k:04d}" for k in range(0, 10_000, 7)]
+    spaced = [f"755 555 {k:04d}" for k in range(0, 10_000, 7)]
+    m, p, s = run(docs, " ".join(mails), " ".join(phones), "; ".join(spaced))
+    assert sorted(m.text.split()) == sorted(mails) and m.n_email == 260
+    assert len(set(p.text.split())) == len(phones) == p.n_phone and [x[2:] for x in p.text.split()] == [x.replace(" ", "") for x in s.text.split("; ")]
+
+
+def test_no_number_of_the_plan(docs):
+    for t in ("+11555559729", "+17551559729", "1 055 555 9729"):
+        assert run(docs, t)[0].text == t
+
+
+def test_case_and_length(docs):
+    long = "x9" * 500
+    rows = run(docs, f"PASSWORD={long}", f"Token: {long}", f"{long}@a.org", f'Secret = "{long}"')
+    assert [r.n_private for r in rows] == [1] * 4 and not any(long in r.text for r in rows)
+    assert rows[0].text.split("=")[1] == rows[1].text.split(": ")[1] == rows[3].text.split('"')[1]
