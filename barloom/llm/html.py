@@ -4,13 +4,18 @@ A page is read once from start to end. Text between two block-level tags (or lin
 block. A block has its number of words and its link density, those of the blocks before and
 behind it, and what stands around it: whether it is inside an ``article`` or ``main``, whether
 the page has one, whether an element around it is a menu, header, footer, sidebar, form, notice,
-advert or comment section by its tag, role, class or id, and whether it is a heading. A
-decision tree (Gini, grown until pure) over these, trained on the small labelled table below,
-says which blocks are the main text.
+advert or comment section by its tag, role, class, id or being hidden, and whether it is a heading.
+A decision tree (Gini, grown until pure) over these, trained on the small labelled table below,
+says which blocks are the main text: outside articles by words and links of the block and its
+neighbours, inside them runs of links are menus too.
+
+A marked inline element, such as a span of class ``advert``, is a block of its own and does not cut
+the block around it; custom elements are read by the words of their names. Code is not read for marks.
 
 Defined results: null and empty pages give the empty text; comments, scripts, styles and other
 raw elements that are never closed last to the end of the page; a ``<`` that opens no tag is
-text; rows that repeat a page_id are pages of their own; other columns are ignored.
+text; a link that is never closed ends with the block around it; rows that repeat a page_id are
+pages of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +41,12 @@ HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 # fixed values: words of class and id names that mark what is not the article
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header footer masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip search form hidden copyright legal disclaimer tags".split()
+    "ad ads adv adsbygoogle advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header footer masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip search form hidden copyright legal disclaimer tags".split()
 )
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -60,17 +65,32 @@ LABELLED = """
 1 1 0 0 60 0.0  1 0.0  2 0.0 1
 1 1 0 0  1 0.0  2 0.0 40 0.0 1
 1 1 0 0 40 0.0 12 1.0 30 0.0 1
-1 1 0 0  4 1.0  3 1.0 25 0.1 1
+1 1 0 0  4 1.0  3 1.0 25 0.1 0
 1 1 0 0 25 0.2 80 0.3  0 0.0 1
 1 1 0 1 30 0.0  3 0.0 30 0.0 1
 1 1 0 0  9 0.0 14 0.0  7 0.0 1
 1 1 0 0  0 0.0  1 0.0  1 1.0 1
 1 1 0 0 12 0.5  4 0.0  6 0.8 1
-1 1 0 0  3 0.0  2 1.0  2 1.0 1
-1 1 0 0  6 1.0  1 1.0  0 0.0 1
+1 1 0 0  3 0.0  2 1.0  2 1.0 0
+1 1 0 0  6 1.0  1 1.0  0 0.0 0
 1 1 0 1  2 1.0  2 0.0  3 0.5 1
 1 1 0 0 44 0.0 20 0.4  9 0.6 1
 1 1 0 0 20 0.0  5 0.9 14 0.9 1
+1 1 0 0 50 0.0  6 1.0  5 1.0 0
+1 1 0 0  5 0.0  4 1.0 40 0.0 1
+1 1 0 0  0 0.0  4 1.0 30 0.0 1
+1 1 0 0 12 0.2  2 1.0  3 0.3 1
+1 1 0 0  3 0.0  6 1.0  0 0.0 1
+1 1 0 0 60 0.0 10 1.0  9 1.0 0
+1 1 0 0  2 1.0  2 1.0 60 0.0 0
+1 1 0 0  9 1.0  8 1.0  0 0.0 0
+1 1 0 0  2 0.0  1 1.0  1 1.0 0
+1 1 0 0  6 1.0  9 1.0  8 1.0 0
+1 1 0 0 50 0.0  7 1.0 40 0.0 1
+1 1 0 0 30 0.0  2 1.0  0 0.0 1
+1 1 0 0  5 1.0 30 0.1 45 0.0 1
+1 1 0 0  2 1.0  3 0.0 20 0.0 1
+1 1 0 0  9 1.0 45 0.0  3 1.0 1
 1 1 0 0  1 0.0  1 0.0  1 0.0 1
 1 1 0 0 90 0.3  3 0.3  4 0.4 1
 1 1 0 0  2 0.9 70 0.2  5 1.0 1
@@ -175,53 +195,80 @@ def _aside(tag: str, attrs: str, inside: bool) -> bool:
 class _Page:
     def __init__(self):
         self.blocks: list[list] = []  # text, words, linked words, in_article, aside, heading
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, aside, heading of what is inside it
+        self.stack: list[tuple[str, bool, bool, bool, tuple | None]] = []  # tag; article, aside, heading of what is inside it; what an inline element interrupts
         self.parts: list[str] = []
-        self.link = 0
+        self.link = -1  # depth at which a link was opened
         self.linked = 0
         self.has_article = False
 
+    def inside(self) -> tuple[bool, bool, bool]:
+        return self.stack[-1][1:4] if self.stack else (False, False, False)
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                _, article, aside, heading = self.stack[-1] if self.stack else ("", False, False, False)
-                self.blocks.append([text, text.count(" ") + 1, self.linked, article, aside, heading])
+                self.blocks.append([text, text.count(" ") + 1, self.linked, *self.inside()])
         self.linked = 0
 
     def text(self, s: str) -> None:
         if s:
             self.parts.append(s)
-            if self.link:
+            if self.link >= 0:
                 self.linked += len(s.split())
 
+    def anchor(self, end: bool) -> None:
+        self.link = -1 if end else len(self.stack)
+
+    def inline(self, tag: str, attrs: str) -> None:
+        """An inline or custom element: only what is marked has a place on the stack."""
+        article, aside, heading = self.inside()
+        words = MARKS.intersection(tag.split("-")) if "-" in tag else ()
+        if (words or attrs and _aside(tag, attrs, article)) and not any(x[0] == "pre" for x in self.stack):
+            self.stack.append((tag, article, True, heading, (self.parts, self.linked)))
+            self.parts, self.linked = [], 0
+
     def open(self, tag: str, attrs: str) -> None:
-        _, article, aside, heading = self.stack[-1] if self.stack else ("", False, False, False)
+        self.flush()
+        article, _, _ = self.inside()
         article_here = tag in ("article", "main") or "role" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I))
         self.has_article |= article_here
         own = _aside(tag, attrs, article)
         if tag in VOID:
             return
         if tag in ("p", *HEADING):  # paragraphs end where the next begins
-            self.pop({"p", *HEADING}, 1)
-            _, article, aside, heading = self.stack[-1] if self.stack else ("", False, False, False)
+            self.end({"p", *HEADING}, 1)
         elif tag == "li":
-            self.pop({"p", "li"}, 2)
-        self.stack.append((tag, article or article_here, aside or own, heading or tag in HEADING))
+            self.end({"p", "li"}, 2)
+        article, aside, heading = self.inside()
+        self.stack.append((tag, article or article_here, aside or own, heading or tag in HEADING, None))
 
-    def pop(self, tags: set, depth: int) -> None:
+    def end(self, tags: set, depth: int) -> None:
         while depth and self.stack and self.stack[-1][0] in tags:
-            self.stack.pop()
+            self.unwind(len(self.stack) - 1)
             depth -= 1
 
+    def unwind(self, depth: int) -> None:
+        """Close all elements beyond ``depth``."""
+        while len(self.stack) > depth:
+            self.flush()
+            before = self.stack.pop()[4]
+            if before is not None:
+                self.parts, self.linked = before
+        if self.link > depth:
+            self.link = -1
+
     def close(self, tag: str) -> None:
+        block = tag in BLOCK
+        if block:
+            self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.unwind(i)
                 return
-            if self.stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                return  # a stray end tag does not leave the article
+            if self.stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html") or not block and self.stack[i][4] is None:
+                return  # a stray end tag does not leave the article, and that of an inline element no block
 
 
 def read_blocks(page: str) -> _Page:
@@ -233,16 +280,15 @@ def read_blocks(page: str) -> _Page:
         if not tag:
             continue
         if tag == "a":
-            p.link = 0 if m["end"] else 1
-            continue
-        if tag not in BLOCK:
-            continue
-        p.flush()
+            p.anchor(bool(m["end"]))
         if m["end"]:
             p.close(tag)
-        else:
+        elif tag in BLOCK:
             p.open(tag, m["attrs"] or "")
+        else:
+            p.inline(tag, m["attrs"] or "")
     p.text(page[at:])
+    p.unwind(0)
     p.flush()
     return p
 
