@@ -2,18 +2,20 @@
 
 Counting. Each task counts the words and word pairs of its training texts by fingerprint and
 emits them as packed blocks, one for each shard, so a frequent word costs a task one entry.
-Word shards are ranges of the fingerprint and pair shards a hash of the pair: neither is skewed.
+Word shards are ranges of the fingerprint and pair shards those of the pair's: neither is skewed.
+There is a shard for every ``SHARD_BYTES`` of text, so that each is merged in bounded memory.
 
 Storage. Each shard's task writes sorted arrays (fingerprints and counts) into the shared
 folder: pairs, words, and for each word what it does as a context (total, and how many pairs
 were seen once, twice, more often) and how many contexts it follows. Nothing is pruned, so the
-model grows with the text. Only global sums (counts of counts) reach the driver.
+model grows with the text. Counts of pairs take two bytes, and those beyond stand in an array of
+their own. Only global sums (counts of counts) reach the driver.
 
 Scoring. Workers map the arrays into memory (a store without local paths is copied to an
 unlinked temporary file first) and look up the distinct words and pairs of a slice of texts.
 
-Words are 64-bit fingerprints; in pairs both words keep the top 32 bits, which merges about one
-word in a thousand at five million distinct words. Texts start with a context of their own and
+Words are 64-bit fingerprints, pairs are counted by both of them whole and stored by a 64-bit
+fingerprint of the two. Texts start with a context of their own and
 end with an end token. The lowest order is the Kneser-Ney continuation probability,
 interpolated with a uniform share over the training vocabulary and one unknown token.
 
@@ -40,7 +42,9 @@ from .textvec import SPACED, Slice, mix, slices
 
 END, START = np.uint64(0xE4D0E4D0E4D0E4D0), np.uint64(0x57A7057A7057A705)
 HIGH = np.uint64(32)
-FLUSH = 3_000_000
+UPPER, LOWER = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+FLUSH, SHARD_BYTES = 2_000_000, 32 << 20
+MANY = 65535
 
 BLOCKS = "kind int, shard int, blob binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -81,9 +85,30 @@ def add_up(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
     return keys[first], [np.add.reduceat(c[by], first) for c in columns]
 
 
-def merge(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+def add_up_pairs(keys: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of (keys, rest) with their sums. Few pairs share a key: only those are sorted by both."""
+    if not len(keys):
+        return keys, rest, n
+    by = np.argsort(keys, kind="stable")
+    keys, rest = keys[by], rest[by]
+    same = keys[1:] == keys[:-1]
+    mixed = np.flatnonzero(same & (rest[1:] != rest[:-1]))
+    if len(mixed):
+        group = np.concatenate([[0], np.cumsum(~same)])
+        some = np.flatnonzero(np.isin(group, group[mixed]))
+        again = some[np.lexsort((rest[some], keys[some]))]
+        by[some], rest[some] = by[again], rest[again]
+    first = np.flatnonzero(np.concatenate([[True], ~same | (rest[1:] != rest[:-1])]))
+    return keys[first], rest[first], np.add.reduceat(n[by], first)
+
+
+def merge(blobs: list[bytes], pairs: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     both = [unpack(b) for b in blobs]
-    return add_up(np.concatenate([k for k, _ in both]), [np.concatenate(c) for c in zip(*(c for _, c in both))])
+    keys, columns = np.concatenate([k for k, _ in both]), [np.concatenate(c) for c in zip(*(c for _, c in both))]
+    if not pairs:
+        return add_up(keys, columns)
+    keys, *columns = add_up_pairs(keys, *columns)
+    return keys, columns
 
 
 def word_shard(top: np.ndarray, shards: int) -> np.ndarray:
@@ -91,8 +116,22 @@ def word_shard(top: np.ndarray, shards: int) -> np.ndarray:
     return ((top.astype(np.uint64) * np.uint64(shards)) >> HIGH).astype(np.int64)
 
 
-def pair_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return (((mix(pairs) >> HIGH) * np.uint64(shards)) >> HIGH).astype(np.int64)
+def pair_keys(ctx: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words as two numbers: their upper halves, by which pairs are sorted, and their lower halves."""
+    return (ctx & UPPER) | (tok >> HIGH), (ctx << HIGH) | (tok & LOWER)
+
+
+def pair_words(keys: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys & UPPER) | (rest >> HIGH), (keys << HIGH) | (rest & LOWER)
+
+
+def pair_prints(keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """One fingerprint of a pair."""
+    return mix(mix(keys) * np.uint64(0xD6E8FEB86659FD93) + rest)
+
+
+def pair_shard(prints: np.ndarray, shards: int) -> np.ndarray:
+    return word_shard(prints >> HIGH, shards)
 
 
 def _cut(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: np.ndarray, shards: int) -> Iterator[tuple]:
@@ -140,48 +179,55 @@ def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, ctx, first
 
 
-def pair_keys(ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    return (ctx & np.uint64(0xFFFFFFFF00000000)) | (tok >> HIGH)
+class _Words:
+    """Counts of fingerprints."""
 
-
-class _Counter:
     def __init__(self):
-        self.keys, self.n, self.size = [], [], 0
-
-    def add(self, values: np.ndarray) -> None:
-        k, n = np.unique(values, return_counts=True)
-        self.keys.append(k)
-        self.n.append(n.astype(np.uint64))
-        self.size += len(k)
-        if len(self.keys) > 12:
+        self.parts, self.size = [], 0
+
+    def add(self, *values: np.ndarray) -> None:
+        self.parts.append(self.sums(*values, np.ones(len(values[0]), np.uint64)))
+        self.size += len(self.parts[-1][0])
+        if len(self.parts) > 12:
             self.squeeze()
 
+    def sums(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        keys, (n,) = add_up(keys, [n])
+        return keys, n
+
     def squeeze(self) -> None:
-        k, (n,) = add_up(np.concatenate(self.keys), [np.concatenate(self.n)])
-        self.keys, self.n, self.size = [k], [n], len(k)
+        self.parts = [self.sums(*map(np.concatenate, zip(*self.parts)))]
+        self.size = len(self.parts[0][0])
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
+    def take(self) -> tuple[np.ndarray, ...]:
         self.squeeze()
-        k, n = self.keys[0], self.n[0]
-        self.__init__()
-        return k, n
+        out = self.parts[0]
+        self.parts, self.size = [], 0
+        return out
+
+
+class _Pairs(_Words):
+    """Counts of pairs by both of their numbers."""
+
+    def sums(self, keys: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        return add_up_pairs(keys, rest, n)
 
 
 def _count(batches, shards: int):
-    words, pairs = _Counter(), _Counter()
+    words, pairs = _Words(), _Pairs()
 
     def flush():
         if pairs.size:
             k, n = words.take()
             yield from _rows(_cut(0, k, [n], word_shard(k >> HIGH, shards), shards))
-            k, n = pairs.take()
-            yield from _rows(_cut(1, k, [n], pair_shard(k, shards), shards))
+            k, rest, n = pairs.take()
+            yield from _rows(_cut(1, k, [rest, n], pair_shard(pair_prints(k, rest), shards), shards))
 
     for batch in batches:
         for s in slices(batch.column(0), SPACED):
             tok, ctx, _ = tokens(s)
             words.add(tok)
-            pairs.add(pair_keys(ctx, tok))
+            pairs.add(*pair_keys(ctx, tok))
             if pairs.size > FLUSH:
                 pairs.squeeze()
                 if pairs.size > FLUSH * 2 // 3:
@@ -240,7 +286,7 @@ def _by_shard(batches) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
                 now, blobs, done = (kind, shard), [], []
             blobs.append(blob)
             if len(blobs) == 64:  # each block is merged once here and once at the end
-                k, c = merge(blobs)
+                k, c = merge(blobs, kind == 1)
                 done.append(pack(k, *c))
                 blobs = []
     if blobs or done:
@@ -253,16 +299,22 @@ def _pairs(batches, folder: str, shards: int):
         if kind == 0:
             yield from _rows((0, shard, b) for b in blobs)
             continue
-        keys, (n,) = merge(blobs)
-        write_array(folder, f"pair-{shard}.key", keys)
-        write_array(folder, f"pair-{shard}.n", np.minimum(n, 2**32 - 1).astype(np.uint32))
-        top = keys >> HIGH
+        keys, (rest, n) = merge(blobs, True)
+        prints = pair_prints(keys, rest)
+        by = np.argsort(prints)
+        write_array(folder, f"pair-{shard}.key", prints[by])
+        write_array(folder, f"pair-{shard}.n", np.minimum(n[by], MANY).astype(np.uint16))
+        many = by[n[by] >= MANY]
+        if len(many):
+            write_array(folder, f"many-{shard}.key", prints[many])
+            write_array(folder, f"many-{shard}.n", n[many])
+        ctx, tok = pair_words(keys, rest)
         ones = [(n == k).astype(np.uint64) for k in (1, 2)] + [(n > 2).astype(np.uint64)]
-        ctx, sums = add_up(top, [n, *ones])
-        out = list(_cut(2, ctx.astype(np.uint32), [*sums, np.zeros(len(ctx), np.uint64)], word_shard(ctx, shards), shards))
-        low, (follows,) = add_up(keys & np.uint64(0xFFFFFFFF), [np.ones(len(keys), np.uint64)])
+        ctx, sums = add_up(ctx, [n, *ones])
+        out = list(_cut(2, ctx, [*sums, np.zeros(len(ctx), np.uint64)], word_shard(ctx >> HIGH, shards), shards))
+        low, (follows,) = add_up(tok, [np.ones(len(tok), np.uint64)])
         zero = np.zeros(len(low), np.uint64)
-        out += _cut(2, low.astype(np.uint32), [zero, zero, zero, zero, follows], word_shard(low, shards), shards)
+        out += _cut(2, low, [zero, zero, zero, zero, follows], word_shard(low >> HIGH, shards), shards)
         counts = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
         out.append((9, shard, counts.tobytes()))
         yield from _rows(out)
@@ -282,7 +334,7 @@ def _words(batches, folder: str):
         else:
             write_array(folder, f"ctx-{shard}.key", keys)
             write_array(folder, f"ctx-{shard}.n", cols[0])
-            write_array(folder, f"ctx-{shard}.of", np.stack([np.minimum(c, 2**32 - 1).astype(np.uint32) for c in cols[1:]], axis=1))
+            write_array(folder, f"ctx-{shard}.of", np.stack(cols[1:], axis=1))
             f = cols[4]
             yield from _rows([(7, shard, np.array([*((f == k).sum() for k in (1, 2, 3, 4)), f.sum(), (f > 2).sum()], np.int64).tobytes())])
 
@@ -328,12 +380,17 @@ class Model:
     def words(self, w: np.ndarray) -> np.ndarray:
         return self._find("word", "<u8", w, word_shard(w >> HIGH, self.shards), {"n": ("<u8", 1)})[0]
 
-    def contexts(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of 32-bit words: total as a context; pairs seen once, twice, more often, and contexts they follow."""
-        return tuple(self._find("ctx", "<u4", top, word_shard(top, self.shards), {"n": ("<u8", 1), "of": ("<u4", 4)}))
+    def contexts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words: total as a context; pairs seen once, twice, more often, and contexts they follow."""
+        return tuple(self._find("ctx", "<u8", w, word_shard(w >> HIGH, self.shards), {"n": ("<u8", 1), "of": ("<u8", 4)}))
 
-    def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
-        return self._find("pair", "<u8", pairs, pair_shard(pairs, self.shards), {"n": ("<u4", 1)})[0]
+    def pair_counts(self, prints: np.ndarray) -> np.ndarray:
+        shard = pair_shard(prints, self.shards)
+        n = self._find("pair", "<u8", prints, shard, {"n": ("<u2", 1)})[0].astype(np.uint64)
+        many = np.flatnonzero(n == MANY)
+        if len(many):
+            n[many] = self._find("many", "<u8", prints[many], shard[many], {"n": ("<u8", 1)})[0]
+        return n
 
     def log10(self, tok: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's training count and log10 probability after its context."""
@@ -341,14 +398,14 @@ class Model:
         count = self.words(words).astype(np.float64)[w_at]
         if not self.pairs:
             return count, np.zeros(len(tok))
-        tops, t_at = np.unique(np.concatenate([tok >> HIGH, ctx >> HIGH]).astype(np.uint32), return_inverse=True)
-        total, of = self.contexts(tops)
+        both, t_at = np.unique(np.concatenate([tok, ctx]), return_inverse=True)
+        total, of = self.contexts(both)
         d = np.array([0, *self.word_d])
         f = of[:, 3].astype(np.float64)
         lower = (f - d[np.minimum(f, 3).astype(int)]) / self.pairs + self.rest / (self.distinct + 1)
         gamma = np.where(total > 0, of[:, :3].astype(np.float64) @ np.array(self.pair_d) / np.maximum(total, 1), 1.0)
-        keys, p_at = np.unique(pair_keys(ctx, tok), return_inverse=True)
-        n = self.pair_counts(keys).astype(np.float64)
+        prints, p_at = np.unique(pair_prints(*pair_keys(ctx, tok)), return_inverse=True)
+        n = self.pair_counts(prints).astype(np.float64)
         n = n - np.array([0, *self.pair_d])[np.minimum(n, 3).astype(int)]
         h = t_at[len(tok) :]
         p = n[p_at] / np.maximum(total[h], 1) + gamma[h] * lower[t_at[: len(tok)]]
@@ -358,7 +415,8 @@ class Model:
 def train(texts: DataFrame) -> Model:
     """Count ``texts`` (one column) and write the model's arrays into the shared folder."""
     spark = texts.sparkSession
-    shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     folder = new_path(spark, "kneser")
     split = lambda df: df.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard")
     blocks = map_batches(texts, lambda b: _count(b, shards), BLOCKS)

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from barloom.llm.kneser import add_up, discounts, language_model_scores, pack, unpack
+from barloom.llm.kneser import add_up, add_up_pairs, discounts, language_model_scores, pack, pair_keys, pair_words, train, unpack
 
 low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -68,6 +69,52 @@ def test_blocks():
     assert a.tolist() == [1, 3] and b.tolist() == [1, 5]
 
 
+def test_pairs_by_both_words_whole():
+    """Words that share their upper halves stay apart, in any order of arrival."""
+    r = np.random.default_rng(1)
+    words = np.concatenate([r.integers(0, 2**64, 20, dtype=np.uint64), (np.uint64(7) << np.uint64(32)) + np.arange(20, dtype=np.uint64)])
+    ctx, tok = r.choice(words, 30_000), r.choice(words, 30_000)
+    assert all((x == y).all() for x, y in zip(pair_words(*pair_keys(ctx, tok)), (ctx, tok)))
+    keys, rest, n = add_up_pairs(*pair_keys(ctx, tok), np.ones(len(ctx), np.uint64))
+    got = dict(zip(zip(*(x.tolist() for x in pair_words(keys, rest))), n.tolist()))
+    assert got == Counter(zip(ctx.tolist(), tok.tolist())) and len(got) == len(n)
+
+
+def test_counts_beyond_two_bytes(docs):
+    texts = ["a b " * 70_000, "a c a b", "b a c"]
+    rows = {r.doc_id: r for r in language_model_scores(docs(texts)).collect()}
+    for i, (_, _, total, base, score) in brute(list(enumerate(texts))).items():
+        assert rows[i].train_tokens == total and rows[i].score == pytest.approx(score, rel=1e-9) and rows[i].base_score == pytest.approx(base, rel=1e-9)
+
+
+def test_probabilities_sum_to_one(docs):
+    import pyarrow as pa
+
+    from barloom.llm.kneser import END
+    from barloom.llm.textvec import SPACED, slices
+
+    texts = _texts()
+    model = train(docs(texts).select("text"))
+    words = sorted({w for t in texts for w in low(t).split()})
+    print_of = np.concatenate([s.hashes() for s in slices(pa.array(words), SPACED)])
+    every = np.concatenate([print_of, [END, np.uint64(12345)]])  # all words, the end, and one unknown
+    assert len(every) == model.distinct + 1
+    for h in (print_of[0], print_of[7], np.uint64(999)):
+        _, p = model.log10(every, np.full(len(every), h))
+        assert (10**p).sum() == pytest.approx(1)
+
+
+def test_held_out_perplexity(spark):
+    """Lower than that of the base on held-out documents of the tables."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    rows = [r for r in language_model_scores(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    model, base = (10 ** (-sum(r[c] for r in rows) / n) for c in ("score", "base_score"))
+    assert len(rows) > 10 and model < 0.8 * base, (model, base)
+
+
 def test_odd(odd, docs):
     rows = language_model_scores(odd).collect()
     assert len(rows) == 9 and all(math.isfinite(r.score) for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
