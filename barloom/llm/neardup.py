@@ -13,12 +13,12 @@
 5. What is left is confirmed on the full sets of shingles of the whole texts.
 6. Components of the confirmed links follow, first from ``FIRST`` bands, then from all of
    them for pairs that still lie in different components.
-7. In a bucket whose members lie in several components, all members outside its largest one
-   are estimated against all others of another component, in blocks inside one row (a pair
-   only in the first band that its two documents share). What passes is a document and a
-   component to try it against: blocks of such documents meet blocks of the component's
-   members, and their full sets are intersected at once. So no link that changes a component
-   is lost, and no list of all pairs is ever made.
+7. In a bucket whose members lie in several components, blocks of members meet by their
+   registers: two members of different components are estimated in the first band that they
+   share. Only pairs of blocks with such a pair that passes come back with texts, which stream
+   past the block's sets; of two components one confirmed link for each pair of blocks is
+   enough. So no link that changes a component is lost, no list of pairs of documents is made,
+   and a text travels once for each block that it may be linked with.
 
 Defined results: null text or a text without words has an empty set and is linked with
 nothing; a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
@@ -186,63 +186,74 @@ def _confirm(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _fits(one: tuple, n: np.ndarray, k: np.ndarray, place: int, low: float) -> np.ndarray:
+    """Places of the sets (sizes and registers) that may be as similar as ``low`` to one, and that share no band before ``place``."""
+    size, own = one
+    rest = np.flatnonzero(np.minimum(n, size) >= low * np.maximum(n, size))
+    same = own == k[rest]
+    ok = same.sum(axis=1) >= (low - 0.1) * REGISTERS  # what an estimate of ``low`` needs at least
+    ok[ok] = ~same[ok, : BAND * place].reshape(int(ok.sum()), place, BAND).all(axis=2).any(axis=1)
+    rest = rest[ok]
+    if not len(rest):
+        return rest
+    more, less = (own > k[rest]).sum(axis=1), (own < k[rest]).sum(axis=1)
+    return rest[likelihood(np.full(len(rest), float(size)), n[rest], more, less) >= low]
+
+
 def _across(batches, low: float):
-    """Of two blocks of a bucket: (document, component) of which some pair passes the likelihood."""
+    """The pairs of blocks of a bucket in which some pair of different components passes the likelihood."""
     for batch in batches:
-        out = set()
+        out = []
         for i in range(batch.num_rows):  # row by row: a block is large
-            place, left, right = (c[i].as_py() for c in batch.columns)
+            band, place, l_part, r_part, left, right = (c[i].as_py() for c in batch.columns)
             k = np.frombuffer(b"".join(x["registers"] for x in right), np.uint16).reshape(-1, REGISTERS)
             comp = np.array([x["comp"] for x in right])
             n = np.array([x["n_shingles"] for x in right], float)
             for x in left:
-                if x["comp"] == x["main"]:
-                    continue
-                rest = np.flatnonzero((comp != x["comp"]) & (np.minimum(n, x["n_shingles"]) >= low * np.maximum(n, x["n_shingles"])))
-                own = np.frombuffer(x["registers"], np.uint16)
-                same = own == k[rest]
-                # what an estimate of ``low`` needs at least, and no band before this one in common
-                ok = same.sum(axis=1) >= (low - 0.1) * REGISTERS
-                ok[ok] = ~same[ok, : BAND * place].reshape(int(ok.sum()), place, BAND).all(axis=2).any(axis=1)
-                rest = rest[ok]
-                if not len(rest):
-                    continue
-                more, less = (own > k[rest]).sum(axis=1), (own < k[rest]).sum(axis=1)
-                fit = likelihood(np.full(len(rest), float(x["n_shingles"])), n[rest], more, less) >= low
-                out.update((x["doc_id"], c) for c in set(comp[rest[fit]].tolist()))
-        out = sorted(out)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["x", "comp"])
-
-
-def _sets(block: list, width: int) -> list[np.ndarray]:
-    return [u for _, u in shingle_sets(pa.array([x["text"] for x in block], pa.string()), width)]
-
-
-def _intersect(batches, width: int, percent: int):
-    """Of a block of documents and a block of a component's members: one confirmed link each document."""
+                rest = np.flatnonzero(comp != x["comp"])
+                if len(rest) and len(_fits((x["n_shingles"], np.frombuffer(x["registers"], np.uint16)), n[rest], k[rest], place, low)):
+                    out.append((band, place, l_part, r_part))
+                    break
+        cols = list(zip(*out)) or [(), (), (), ()]
+        types = (pa.int64(), pa.int8(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["band", "place", "l_part", "r_part"])
+
+
+def _meet(batches, low: float, width: int, percent: int):
+    """Rows of a pair of blocks in order: the left block, then the right one. Passes on one confirmed link for two components."""
+    pair, left, done = None, [], set()
     for batch in batches:
         a, b = [], []
-        for row in range(batch.num_rows):  # row by row: a block is large
-            left, right = (c[row].as_py() for c in batch.columns)
-            own, other = _sets(left, width), _sets(right, width)
-            vocab = np.unique(np.concatenate(own))
-            has = np.zeros((len(vocab) + 1, len(own)), bool)
-            for i, u in enumerate(own):
-                has[np.searchsorted(vocab, u), i] = True
-            size = np.array([len(u) for u in own])
-            found = np.zeros(len(own), bool)
-            for v, y in zip(other, right):
-                at = np.searchsorted(vocab, v)
-                at[vocab[np.minimum(at, len(vocab) - 1)] != v] = len(vocab)
-                both = has[at].sum(axis=0)
-                for i in np.flatnonzero(~found & (size > 0) & (100 * both >= percent * (size + len(v) - both))).tolist():
-                    if left[i]["doc_id"] != y["doc_id"]:
-                        found[i] = True
-                        a.append(min(left[i]["doc_id"], y["doc_id"]))
-                        b.append(max(left[i]["doc_id"], y["doc_id"]))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("band", "l_part", "r_part", "place", "side", "doc_id", "comp", "n_shingles", "registers")))
+        for i, (band, l_part, r_part, place, side, doc_id, comp, size, reg) in enumerate(rows):
+            if pair != (band, l_part, r_part):
+                pair, left, done = (band, l_part, r_part), [], set()
+            reg, text = np.frombuffer(reg, np.uint16), batch.column(batch.num_columns - 1)
+            if side == 0:
+                left.append([doc_id, comp, size, reg, text[i].as_py(), None])
+                continue
+            some = [x for x in left if x[1] != comp and x[0] != doc_id and (x[1], comp) not in done]
+            if not some:
+                continue
+            fit = _fits((size, reg), np.array([x[2] for x in some], float), np.stack([x[3] for x in some]), place, low)
+            u = _set(text[i].as_py(), width) if len(fit) else None
+            for j in fit.tolist():
+                x = some[j]
+                if x[5] is None:
+                    x[5] = _set(x[4], width)
+                v = x[5]
+                both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) and len(v) else 0
+                if (x[1], comp) not in done and both and 100 * both >= percent * (len(u) + len(v) - both):
+                    done |= {(x[1], comp), (comp, x[1])}
+                    a.append(min(x[0], doc_id))
+                    b.append(max(x[0], doc_id))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _set(text: str | None, width: int) -> np.ndarray:
+    return next(u for _, u in shingle_sets(pa.array([text], pa.string()), width))
+
+
 def _stars(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Every pair (a, b) as rows of b's facts under hub a, behind one row of a's own; large stars in chunks."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
@@ -270,19 +281,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketch = stash(map_batches(docs, lambda b: _sketches(b, width), SKETCH), "sketch")
     known = sketch.filter("doc_id is not null and n_shingles > 0")
     keys = ["key_a", "key_b", "n_shingles"]
-    classes = stash(known.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")  # written, so that Spark can split joins on the hot ones
-    reps = known.join(classes, keys).filter("doc_id = rep").select("doc_id", "n_shingles", "registers")
+    classes = stash(known.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")  # written, so that Spark can split joins on the hot ones
+    reps = facts = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "registers")
     bands = map_batches(reps.select("doc_id", "registers"), _bands, "band long, place byte, doc_id long")
     stars = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     full = stash(bands.join(stars, "band"), "bands")
     pair = full.filter("doc_id <> hub").select("place", F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    texts = stash(_with_bloom(docs, full.select("doc_id").distinct()), "texts")
-    facts = known.select("doc_id", "n_shingles", "registers")
-    of_doc = known.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep").distinct()
     # rows that repeat a doc_id may lie in several classes: the id is one node
-    ties = stash(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("high")), "reps")
+    of_doc = known.select("doc_id", *keys).join(classes.drop("registers"), keys).select("doc_id", "rep")
+    ties = stash(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("high"), F.count("*").alias("n")), "reps")
     twice = ties.filter("rep <> high").select("doc_id", F.col("rep").alias("a"))
-    links = of_doc.join(twice, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    links = of_doc.join(twice, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    texts = _with_bloom(docs, full.select("doc_id").distinct())
+    texts = stash(texts if ties.filter("n > 1").isEmpty() else texts.distinct(), "texts")
     links = links.unionByName(_confirmed(pair.filter(F.col("place") < FIRST).select("a", "b").distinct(), facts, texts, low, width, percent))
     label = components(links)
     left, right = (label.select(F.col("id").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
@@ -305,32 +316,26 @@ def _confirmed(pairs: DataFrame, facts: DataFrame, texts: DataFrame, low: float,
     return stash(map_batches(_stars(maybe, texts), lambda b: _confirm(b, width, percent), "a long, b long").distinct(), "links")
 
 
-def _blocks(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """(comp, list of (doc_id, text)) with about ``BLOCK`` of the documents of (comp, doc_id) in each list, by a hash of doc_id."""
-    size = stash(rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "sizes")  # written, so that Spark can split the join
-    placed = rows.join(size, "comp").select("comp", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
-    return placed.join(texts, "doc_id").groupBy("comp", "part").agg(F.collect_list(F.struct("doc_id", "text")).alias(name)).drop("part")
-
-
 def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFrame, low: float, width: int, percent: int) -> DataFrame:
     """Links between components that share a bucket (step 7)."""
     placed = full.join(label, full["doc_id"] == label["id"], "left").select("band", "place", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("size")).filter("comps > 1")
-    detail = placed.join(mixed, "band").join(facts, "doc_id")
-    item = F.struct("doc_id", "comp", "main", "n_shingles", "registers")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).alias("part")
-    block = detail.groupBy("band", "place", part).agg(F.collect_list(item).alias("items"), F.max(F.col("comp") != F.col("main")).alias("open"))
-    left = block.filter("open").select("band", F.col("items").alias("left"))
-    both = left.join(block.select("band", "place", F.col("items").alias("right")), "band").select("place", "left", "right")
-    tries = stash(map_batches(both, lambda b: _across(b, low), "x long, comp long").distinct(), "tries")
-    if tries.isEmpty():
-        return tries.select(F.col("x").alias("a"), F.col("comp").alias("b"))
-    xs = tries.select("comp", F.col("x").alias("doc_id"))
-    goal = tries.select("comp").distinct()
-    members = goal.join(label.select(F.col("comp").alias("c"), "id"), F.col("comp") == F.col("c"), "left").select("comp", F.coalesce("id", "comp").alias("doc_id"))
-    meet = _blocks(xs, texts, "left").join(_blocks(stash(members, "members"), texts, "right"), "comp").select("left", "right")
-    return stash(map_batches(meet, lambda b: _intersect(b, width, percent), "a long, b long").distinct(), "links")
+    detail = stash(placed.join(mixed, "band").join(facts, "doc_id").select("band", "place", part, "doc_id", "comp", "n_shingles", "registers", (F.col("comp") != F.col("main")).alias("apart")), "mixed")
+    block = detail.groupBy("band", "place", "part").agg(F.collect_list(F.struct("doc_id", "comp", "n_shingles", "registers")).alias("items"), F.max("apart").alias("open"))
+    left = block.select("band", "place", F.col("part").alias("l_part"), F.col("items").alias("left"), F.col("open").alias("l_open"))
+    right = block.select("band", F.col("part").alias("r_part"), F.col("items").alias("right"), F.col("open").alias("r_open"))
+    both = left.join(right, "band").filter("l_part <= r_part and (l_open or r_open)").select("band", "place", "l_part", "r_part", "left", "right")
+    pairs = stash(map_batches(both, lambda b: _across(b, low), "band long, place byte, l_part long, r_part long"), "tries")
+    if pairs.isEmpty():
+        return pairs.select(F.col("band").alias("a"), F.col("l_part").alias("b"))
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("part")) for k, c in enumerate(("l_part", "r_part"))])).alias("x")
+    rows = pairs.select("band", "l_part", "r_part", ends).select("band", "l_part", "r_part", "x.side", "x.part")
+    rows = rows.join(detail.drop("apart"), ["band", "part"]).join(texts, "doc_id")
+    rows = rows.select("band", "l_part", "r_part", "place", "side", "doc_id", "comp", "n_shingles", "registers", "text")
+    rows = rows.repartition("band", "l_part", "r_part").sortWithinPartitions("band", "l_part", "r_part", "side")
+    return stash(map_batches(rows, lambda b: _meet(b, low, width, percent), "a long, b long").distinct(), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
