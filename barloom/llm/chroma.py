@@ -7,23 +7,25 @@
    filter's value is put in one of four classes, Gray-coded in two bits. Sixteen filters make
    a packed 32-bit integer for each place of a window of ``WINDOW`` frames.
 3. Recordings with the same fingerprint form a class with its smallest id as representative.
-4. Queries are taken in blocks of ``BLOCK`` classes (a bound on what is broadcast), each of which
-   is one pass over all classes. The upper and the lower ``KEY_BITS`` bits of the integers are
-   looked up in the block; what they hit votes for (query, offset) in a histogram. Places with ``VOTES`` votes are compared over
+4. Queries are taken in blocks of about ``BLOCK_BYTES`` of fingerprints (a bound on what reaches the
+   driver and is broadcast), each of which is one pass over all classes. The upper, middle and lower
+   ``KEY_BITS`` bits of the integers, but for that of silence, are looked up in the block; what they
+   hit votes for (query, offset) in a histogram, ``CHUNK`` hits at a time. Places with ``VOTES`` votes are compared over
    the whole overlap, which must be ``OVERLAP`` of the shorter recording, and at most ``ERRORS``
    of the bits may differ. A hot value costs votes in
    a worker, never rows.
 
 ``render`` makes the test recordings: a vector's numbers as notes of a melody.
 
-Defined results: null, empty, unreadable or too short media have no fingerprint, are a class of
-their own each and match nothing; a null rec_id is no representative and stays without a class; rows that
+Defined results: null, empty, unreadable (broken headers too) or too short media have no fingerprint, are a class of
+their own each and match nothing; silent recordings have a fingerprint and a class, but no votes, so they match nothing; a null rec_id is no representative and stays without a class; rows that
 repeat a rec_id are members of each of their classes; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 
 import numpy as np
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from .stash import map_batches, stash
 
 RATE, FRAME, HOP, WINDOW = 4000, 1024, 256, 12
-VOTES, OVERLAP, ERRORS, BLOCK = 3, 0.5, 0.25, 20_000
-KEY_BITS = 20
+VOTES, OVERLAP, ERRORS, BLOCK_BYTES, CHUNK = 3, 0.5, 0.25, 4 << 20, 1 << 22
+KEY_BITS, SHIFTS = 20, (12, 6, 0)
 
 _FREQ = np.fft.rfftfreq(FRAME, 1 / RATE)
 _USED = np.flatnonzero((_FREQ >= 100) & (_FREQ <= 1900))
@@ -71,7 +73,7 @@ def read_wav(data: bytes | None) -> np.ndarray | None:
             x = x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1)
             n = int(len(x) * RATE / w.getframerate())
             return np.interp(np.arange(n) * w.getframerate() / RATE, np.arange(len(x)), x).astype(np.float32) if n else None
-    except (wave.Error, EOFError, ValueError):
+    except (wave.Error, EOFError, ValueError, ArithmeticError, struct.error):
         return None
 
 
@@ -141,10 +143,15 @@ def _prints(batches, decode):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype("<u4").tobytes() if len(f) else None for f in out], pa.binary())], ["rec_id", "print"])
 
 
-def lookup_keys(p: np.ndarray) -> np.ndarray:
-    """The upper and, marked by a bit of their own, the lower bits of packed integers."""
-    low = np.uint32((1 << KEY_BITS) - 1)
-    return np.concatenate([p >> np.uint32(32 - KEY_BITS), (p & low) | np.uint32(1 << KEY_BITS)])
+#: what a window without energy gives
+SILENT = fingerprint(np.zeros(FRAME + (WINDOW - 1) * HOP, np.float32))[0]
+
+
+def lookup_keys(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of packed integers, marked by which part they are, and their places; silence has none."""
+    at = np.flatnonzero(p != SILENT)
+    part = [((p[at] >> np.uint32(s)) & np.uint32((1 << KEY_BITS) - 1)) | np.uint32(i << KEY_BITS) for i, s in enumerate(SHIFTS)]
+    return np.concatenate(part), np.tile(at, len(SHIFTS))
 
 
 class Block:
@@ -153,24 +160,35 @@ class Block:
     def __init__(self, ids: list[int], prints: list[bytes]):
         self.ids = ids
         self.prints = [np.frombuffer(p, "<u4") for p in prints]
-        length = self.length = np.array([len(p) for p in self.prints])
-        values = np.concatenate(self.prints)
-        which, place = np.repeat(np.arange(len(ids)), length), np.concatenate([np.arange(n) for n in length])
-        keys = lookup_keys(values)
-        by = np.argsort(keys, kind="stable")
-        self.keys = keys[by]
-        self.which, self.place = np.tile(which, 2)[by].astype(np.int64), np.tile(place, 2)[by].astype(np.int64)
+        self.length = np.array([len(p) for p in self.prints])
+        keys, places = zip(*map(lookup_keys, self.prints))
+        self.keys, place = np.concatenate(keys), np.concatenate(places)
+        which = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+        by = np.argsort(self.keys, kind="stable")
+        self.keys, self.which, self.place = self.keys[by], which[by].astype(np.int64), place[by].astype(np.int64)
+
+    def votes(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hits by (query, offset), packed; they are spread out at most ``CHUNK`` (or those of one place) at a time."""
+        keys, places = lookup_keys(p)
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        n = hi - lo
+        upto = np.cumsum(n)
+        pairs, votes, i = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK, "right")))
+            m = n[i:j]
+            at = np.repeat(lo[i:j] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            offset = np.repeat(places[i:j], m) - self.place[at]
+            more, k = np.unique((self.which[at] << np.int64(32)) + offset + (1 << 31), return_counts=True)
+            if len(pairs):
+                more, back = np.unique(np.concatenate([pairs, more]), return_inverse=True)
+                k = np.bincount(back, np.concatenate([votes, k])).astype(np.int64)
+            pairs, votes, i = more, k, j
+        return pairs, votes
 
     def matches(self, p: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query, offset, votes, share of different bits) of the best offset of each query that aligns."""
-        keys = lookup_keys(p)
-        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        n = hi - lo
-        if not n.sum():
-            return []
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        offset = np.repeat(np.tile(np.arange(len(p)), 2), n) - self.place[at]
-        pairs, votes = np.unique((self.which[at] << np.int64(32)) + offset + (1 << 31), return_counts=True)
+        pairs, votes = self.votes(p)
         pairs, votes = pairs[votes >= VOTES], votes[votes >= VOTES]
         which, off = pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)
         own_n = self.length[which]
@@ -196,7 +214,7 @@ def _align(batches, block: Block):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["class_id", "query_class", "offset", "votes", "bit_error"])
 
 
-def align_recordings(media: DataFrame, is_query: Column, decode=read_wav, block: int = BLOCK) -> DataFrame:
+def align_recordings(media: DataFrame, is_query: Column, decode=read_wav, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows ``member`` (rec_id and its class_id) and rows ``pair`` (a class and a query's class that align).
 
     ``media`` has rec_id and media; ``is_query`` says which rows are queries. ``offset`` is the
@@ -208,16 +226,17 @@ def align_recordings(media: DataFrame, is_query: Column, decode=read_wav, block:
     prints = stash(prints.withColumn("q", F.coalesce(is_query, F.lit(False))).withColumn("key", F.sha2("print", 256)), "prints")
     known = prints.filter("print is not null and rec_id is not null")
     classes = stash(known.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max("q").alias("q"), F.first("print").alias("print")), "classes")
-    n = classes.filter("q").count()
-    parts = -(-n // block) if n > block else 1
+    size = classes.filter("q").agg(F.coalesce(F.sum(F.octet_length("print")), F.lit(0))).first()[0]
+    parts = -(-size // block_bytes)
     pairs = None
     for k in range(parts):
-        own = classes.filter("q") if parts == 1 else classes.filter(F.col("q") & (F.pmod(F.xxhash64("key"), F.lit(2 * parts)) % parts == k))
+        own = classes.filter(F.col("q") & (F.pmod(F.xxhash64("key"), F.lit(parts)) == k))
         rows = sorted((r["class_id"], bytes(r["print"])) for r in own.select("class_id", "print").collect())  # about one block
         if not rows:
             continue
         sent = spark.sparkContext.broadcast(Block([i for i, _ in rows], [p for _, p in rows]))
         found = map_batches(classes.select("class_id", "print"), lambda b, s=sent: _align(b, s.value), "class_id long, query_class long, offset long, votes long, bit_error double")
+        found = found if parts == 1 else stash(found, "aligned")
         pairs = found if pairs is None else pairs.unionByName(found)
     of = prints.join(classes.select("key", "class_id"), "key", "left")
     member = of.select(F.lit("member").alias("row"), "rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
