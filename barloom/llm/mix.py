@@ -18,7 +18,10 @@ slots, one block each, in shards of ``SHARD`` slots.
    block stays last.
 5. Slots join the blocks' fragments of documents by (source, block).
 
-The table of sources is broadcast while it is small. All draws are hashes of the seed and of places, so reruns agree.
+Draws find their source, and what is over finds what lacks, by sorting both into cells of one line:
+each cell is one running window, so nothing is paired and no list of sources is sent. Running sums along
+shards have two levels. The table of sources itself (one row for each) is summed up in one task and is
+broadcast up to ``SENT`` rows. All draws are hashes of the seed and of places, so reruns agree.
 
 Defined results: null text has no words; a null source is a source of its own, ordered last;
 null doc_ids and rows that repeat a doc_id are documents of their own (equal rows are ordered
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .stash import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-SHARD, ROUNDS, BUCKETS, SENT = 1024, 24, 4096, 10_000
+SHARD, ROUNDS, BUCKETS, SENT, CELL, SPAN, TASK = 1024, 24, 4096, 10_000, 1 << 18, 4096, 1 << 14
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -50,8 +53,7 @@ def targets(sources: DataFrame, weights: list[float], share: float, limit: float
     rows = sources.withColumn("place", place).withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(limit)))
     rows = rows.withColumn("ratio", F.col("cap") / F.col("w"))
     before = every.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
-    after = every.orderBy("ratio", "place").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    rows = rows.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     # the first source, by ratio, that its share leaves below its cap sets the level of all behind it
     level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(every)
     rows = rows.withColumn("level", level["level"])
@@ -103,37 +105,69 @@ def plan(sources: DataFrame, weights: list[float], share: float, limit: float, b
     return rows.withColumn("last", F.col("rest") - F.floor(F.col("rest") / block) * block)
 
 
+def _running(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over the rows ahead in ``order``, inside spans of it and over the spans."""
+    rows = rows.withColumn("span", F.floor(F.col(order) / SPAN))
+    spans = rows.groupBy(*keys, "span").agg(F.sum(value).alias("part"))
+    ahead = lambda *by: Window.partitionBy(*(by or [F.lit(0)]))
+    total = F.sum("part").over(ahead(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(*keys, "span", F.coalesce(total, F.lit(0)).alias("base"))
+    inner = F.sum(value).over(ahead(*keys, "span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("inner", F.coalesce(inner, F.lit(0))).join(spans, [*keys, "span"])
+    return rows.withColumn("before", F.col("base") + F.col("inner")).drop("span", "inner", "base")
+
+
+def _cells(rows: DataFrame, lo: str, width: Column | int, last: Column) -> DataFrame:
+    """A row for each cell that an interval from ``lo`` up to the cell ``last`` meets: cell, and ``at``, where the interval begins in it."""
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / width), last)))
+    return rows.withColumn("at", F.greatest(F.col(lo), F.col("cell") * width))
+
+
+def _drawn(sources: DataFrame, total: int, seed: int) -> DataFrame:
+    """shard, place, n: the multinomial counts of sources in each shard."""
+    spark = sources.sparkSession
+    n_cells = -(-total // CELL)
+    width = 1.0 / n_cells
+    every = Window.partitionBy(F.lit(0)).orderBy("place")  # one row for each source
+    upto = F.sum("need").over(every.rowsBetween(Window.unboundedPreceding, 0))
+    edges = sources.filter("need > 0").withColumns({"lo": (upto - F.col("need")) / F.lit(float(total)), "hi": upto / F.lit(float(total))})
+    edges = _cells(edges.select("place", "lo", "hi"), "lo", F.lit(width), F.floor(F.col("hi") / width))
+    edges = edges.select("cell", "at", F.lit(0).alias("draw"), "place", F.lit(None).cast("long").alias("shard"))
+    draws = spark.range(total).select(_uniform(F.col("id"), F.lit(seed)).alias("at"), F.floor(F.col("id") / SHARD).alias("shard"))
+    draws = draws.select(F.floor(F.col("at") / width).alias("cell"), "at", F.lit(1).alias("draw"), F.lit(None).cast("int").alias("place"), "shard")
+    line = Window.partitionBy("cell").orderBy("at", "draw", "place").rowsBetween(Window.unboundedPreceding, 0)
+    pick = edges.unionByName(draws).select("shard", "draw", F.last("place", ignorenulls=True).over(line).alias("place")).filter("draw = 1")
+    return pick.groupBy("shard", "place").agg(F.count("*").alias("n"))
+
+
 def slots(sources: DataFrame, seed: int) -> DataFrame:
     """One row for each slot of the mix: shard, source, epoch, block and tokens taken from the block's start."""
-    spark = sources.sparkSession
     total = sources.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
-    every = Window.partitionBy(F.lit(0)).orderBy("place")  # one row for each source
-    cut = sources.withColumn("hi", F.sum("need").over(every.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(max(total, 1))))
-    edges = cut.agg(F.sort_array(F.collect_list(F.struct("hi", "place"))).alias("edges"))
-    draws = spark.range(total).withColumn("u", _uniform(F.col("id"), F.lit(seed))).withColumn("shard", F.floor(F.col("id") / SHARD))
-    pick = F.element_at(F.filter("edges", lambda e: e["hi"] > F.col("u")), 1)["place"]
-    pick = F.coalesce(pick, F.element_at("edges", -1)["place"])
-    drawn = draws.crossJoin(F.broadcast(edges)).select("shard", pick.alias("place")).groupBy("shard", "place").agg(F.count("*").alias("n"))
-    drawn = drawn.join(sources.select("place", "need"), "place")
-    along = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = stash(drawn.withColumn("upto", F.sum("n").over(along)), "draws")
-    fit = F.greatest(F.least("n", F.col("need") - (F.col("upto") - F.col("n"))), F.lit(0))
+    drawn = _drawn(sources, max(total, 1), seed)
+    facts = _sent(sources)
+    drawn = stash(_running(stash(drawn, "counts"), ["place"], "shard", "n").join(facts.select("place", "need"), "place"), "draws")
+    fit = F.greatest(F.least("n", F.col("need") - F.col("before")), F.lit(0))
     drawn = drawn.withColumn("fit", fit)
-    own = drawn.filter("fit > 0").select("shard", "place", (F.col("upto") - F.col("n")).alias("from"), F.col("fit").alias("n"))
+    own = drawn.filter("fit > 0").select("shard", "place", F.col("before").alias("from"), F.col("fit").alias("n"))
     # what is over, in order of shards, against what lacks, in order of sources: two tilings of one line
-    by_shard = drawn.groupBy("shard").agg(F.sum(F.col("n") - F.col("fit")).alias("over")).filter("over > 0")
-    line = Window.partitionBy(F.lit(0))
-    over = by_shard.withColumn("o1", F.sum("over").over(line.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))).withColumn("o0", F.col("o1") - F.col("over"))
+    by_shard = stash(drawn.groupBy("shard").agg(F.sum(F.col("n") - F.col("fit")).alias("over")).filter("over > 0"), "over")
+    over = _running(by_shard, [], "shard", "over").select("shard", F.col("before").alias("lo"), (F.col("before") + F.col("over")).alias("hi"))
     got = drawn.groupBy("place").agg(F.sum("fit").alias("got"))
     lack = sources.join(got, "place", "left").select("place", F.coalesce("got", F.lit(0)).alias("got"), (F.col("need") - F.coalesce("got", F.lit(0))).alias("lack")).filter("lack > 0")
-    lack = lack.withColumn("l1", F.sum("lack").over(line.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))).withColumn("l0", F.col("l1") - F.col("lack"))
-    lacks = lack.agg(F.collect_list(F.struct("place", "got", "l0", "l1")).alias("lacks"))
-    filled = over.crossJoin(F.broadcast(lacks)).select("shard", "o0", "o1", F.explode("lacks").alias("x")).filter((F.col("o0") < F.col("x.l1")) & (F.col("x.l0") < F.col("o1")))
-    start = F.greatest("o0", F.col("x.l0"))
-    filled = filled.select("shard", F.col("x.place").alias("place"), (F.col("x.got") + start - F.col("x.l0")).alias("from"), (F.least("o1", F.col("x.l1")) - start).alias("n"))
-    runs = own.unionByName(filled)
-    k = F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("k")
-    out = runs.select("shard", "place", k).join(_sent(sources), "place")
+    upto = F.sum("lack").over(Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))  # one row for each source
+    lack = lack.select("place", "got", (upto - F.col("lack")).alias("lo"), upto.alias("hi"))
+    goal = F.struct("place", "got", "lo").alias("goal")
+    met = lambda rows: _cells(rows, "lo", CELL, F.floor((F.col("hi") - 1) / CELL)).withColumn("stop", F.least("hi", (F.col("cell") + 1) * CELL))
+    cuts = met(over).select("cell", "at", "stop", "shard", F.lit(None).cast("struct<place:int,got:bigint,lo:bigint>").alias("goal"))
+    cuts = cuts.unionByName(met(lack).select("cell", "at", "stop", F.lit(None).cast("long").alias("shard"), goal))
+    line = Window.partitionBy("cell").orderBy("at", F.col("shard").isNull())
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.coalesce(F.lead("at").over(line), F.max("stop").over(Window.partitionBy("cell")))
+    cuts = cuts.select("at", end.alias("end"), F.last("shard", ignorenulls=True).over(so_far).alias("shard"), F.last("goal", ignorenulls=True).over(so_far).alias("goal"))
+    filled = cuts.filter("end > at").select("shard", F.col("goal.place").alias("place"), (F.col("goal.got") + F.col("at") - F.col("goal.lo")).alias("from"), (F.col("end") - F.col("at")).alias("n"))
+    runs = own.unionByName(filled).join(facts, "place")
+    runs = runs.repartition(max(1, min(100_000, -(-total // TASK))), "shard")  # a row becomes up to a shard of slots
+    out = runs.withColumn("k", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)))
     out = out.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("at", F.col("k") - F.col("epoch") * F.col("blocks"))
     key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), F.col("epoch"))
     out = out.withColumn("block", F.when(F.col("at") < F.col("full"), permuted(F.col("at"), F.col("full"), key)).otherwise(F.col("at")))

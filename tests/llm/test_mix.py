@@ -1,6 +1,12 @@
+import math
+import struct
+from collections import Counter, defaultdict
+
 import pytest
+import xxhash
 
-from barloom.llm.mix import mix, mixed_blocks, permuted, slots
+from barloom.llm import mix as module
+from barloom.llm.mix import BUCKETS, ROUNDS, mix, mixed_blocks, permuted, slots
 
 
 def water(sizes, weights, share, limit):
@@ -68,3 +74,83 @@ def test_odd(odd, docs):
     assert len(rows) == 9 and {r["size"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
     assert mix(docs([])).collect() == []
     assert [r["taken"] for r in mix(docs([None, ""])).collect()] == [0, 0]
+
+
+# ---- the whole mix over Python's integers
+
+
+def h(*parts, seed=42):
+    """xxhash64 of columns: strings as they are, (value, 4) as an int, others as longs."""
+    for x in parts:
+        data = x.encode() if isinstance(x, str) else struct.pack("<i", x[0]) if isinstance(x, tuple) else struct.pack("<q", x)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def shuffled(v, n, key):
+    for r in range(1, ROUNDS + 1):
+        other = (h(key, (r, 4)) % n - v) % n
+        if h(key, (r, 4), max(v, other)) & 1:
+            v = other
+    return v
+
+
+def brute(rows, block, shard_size, seed=17):
+    """Words taken of each doc_id, from (doc_id, source, size): streams, draws along shards, what is over to what lacks, permuted blocks."""
+    streams = defaultdict(list)
+    for i, s, n in rows:
+        streams[s].append((h(i, (5, 4)) % BUCKETS, i, n))
+    names = sorted(streams)
+    sizes = [sum(n for *_, n in streams[s]) for s in names]
+    quota = [math.floor(t + 1e-6) for t in water(sizes, [[3, 1, 2][k % 3] for k in range(len(names))], 1.5, 2)]
+    blocks, need = [], []
+    for n, t in zip(sizes, quota):
+        blocks.append(-(-n // block))
+        need.append(t // n * blocks[-1] + -(-(t % n) // block) if n else 0)
+    total = sum(need)
+    upto = [sum(need[: k + 1]) / total for k in range(len(need))]
+    drawn = Counter()
+    for i in range(total):
+        u = ((h(i, (seed, 4)) % (1 << 64)) >> 11) / 2**53
+        drawn[i // shard_size, next(k for k, e in enumerate(upto) if e > u)] += 1
+    have = [0] * len(names)
+    for (_, k), n in sorted(drawn.items()):
+        have[k] = min(need[k], have[k] + n)
+    assert any(a < b for a, b in zip(have, need)), "the fixture has nothing to fill"
+    taken = Counter()
+    for k, s in enumerate(names):  # which shard a slot is in does not change what it takes
+        pieces, first = [], 0
+        for _, i, n in sorted(streams[s]):
+            pieces.append((first, first + n, i))
+            first += n
+        full = sizes[k] // block
+        for slot in range(need[k]):
+            epoch, at = divmod(slot, blocks[k])
+            b = shuffled(at, full, h((seed, 4), s, epoch)) if at < full else at
+            tokens = min(block, sizes[k] - b * block)
+            if slot == need[k] - 1 and (quota[k] % sizes[k]) % block:
+                tokens = (quota[k] % sizes[k]) % block
+            for lo, hi, i in pieces:
+                taken[i] += max(0, min(hi, b * block + tokens) - max(lo, b * block))
+    return taken
+
+
+def test_taken_against_brute_force(docs, monkeypatch):
+    """Small shards, cells and spans: many windows, the same words."""
+    for name, value in (("SHARD", 16), ("CELL", 32), ("SPAN", 4), ("TASK", 50)):
+        monkeypatch.setattr(module, name, value)
+    sizes = [(k * 7919) % 41 for k in range(300)]
+    source = ["hot" if k % 3 else f"s{k % 7}" for k in range(300)]
+    rows = mix(docs(["w " * n for n in sizes], source), block=8).collect()
+    want = brute(list(zip(range(300), source, sizes)), 8, 16)
+    assert {r["doc_id"]: r["taken"] for r in rows} == {i: want[i] for i in range(300)}
+
+
+def test_shards_are_full(docs, monkeypatch):
+    """Every shard but the last has its number of slots, and shards and sources fit the draws as far as needs allow."""
+    for name, value in (("SHARD", 16), ("CELL", 32), ("SPAN", 4)):
+        monkeypatch.setattr(module, name, value)
+    drawn, _, sources, _ = mixed_blocks(docs(["x " * (20 + k % 9) for k in range(200)], [f"s{k % 5}" for k in range(200)]), block=8)
+    per = Counter(r["shard"] for r in drawn.collect())
+    total = sum(r["need"] for r in sources.collect())
+    assert sorted(per) == list(range(-(-total // 16))) and all(n == 16 for s, n in per.items() if s < total // 16)
