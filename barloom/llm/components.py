@@ -2,6 +2,9 @@
 
 Every round is written to the shared folder; nothing but a count of changes reaches the
 driver. Rounds grow with the logarithm of the longest chain.
+
+Defined results: repeated links and links of an id with itself change nothing; links with a null
+link nothing; no links give an empty table.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from .stash import stash
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in ``links`` (a, b): comp is the smallest id reachable."""
+    links = links.filter("a is not null and b is not null")
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     both = stash(both.distinct(), "edges")
     if both.isEmpty():

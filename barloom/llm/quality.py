@@ -7,7 +7,7 @@ fitted on labelled texts that are in neither dictionary and weighted to the labe
 shares, turns them into a probability.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled texts of either label,
-in the order of a hash of doc_id, none above ``SAMPLE_BYTES`` bytes. Every text is scored whole.
+in the order of a hash of doc_id, none above ``SAMPLE_BYTES`` bytes, and one (the smallest) of rows that repeat a doc_id. Every text is scored whole.
 
 Defined results: null and empty texts score 0; labels other than 0 and 1, and doc_ids with
 two different labels, teach nothing; a null doc_id is never held out; if a label has fewer
@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) -> Mo
     picks = [one.filter(F.col("q") == q).orderBy(*order).limit(SAMPLE) for q in (0, 1)]
     picked = picks[0].unionByName(picks[1]).select(F.col("doc_id").alias("id"), "q")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "q", F.encode("text", "UTF-8").alias("t")).collect()
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "q", "text").groupBy("doc_id", "q").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "q", F.encode("text", "UTF-8").alias("t")).collect()  # one text of each picked doc_id
     rows.sort(key=lambda r: (hash((r["doc_id"] * 0x9E3779B97F4A7C15) % 2**61), r["doc_id"], bytes(r["t"])))
     texts_of = {q: [bytes(r["t"]) for r in rows if r["q"] == q] for q in (0, 1)}
     if min(map(len, texts_of.values())) < LEAST:

@@ -12,7 +12,7 @@ turn is a call of the tool ``reply`` with the text as its prompt, and the assist
 follows it directly is its result.
 
 Defined results: null conversations, identifiers and turns link with nothing; of calls that repeat
-an identifier the first (by turn, place) takes the result and the others are marked
+an identifier the first (by turn, place, name and arguments; one of equal rows) takes the result and the others are marked
 ``repeated identifier``; of several results the first counts and ``n_results`` tells how many
 there are; results without a call are rows of their own; arguments that are no JSON object are
 ``not an object``; a call in a cycle, or behind one, has no level and is marked ``cycle``; a
@@ -32,6 +32,7 @@ REPLY = [("reply", "prompt", "string", True)]
 TOOL = "name string, parameter string, type string, required boolean"
 
 MESSAGE = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant>>,tool_call_id:string,content:string>"
+COPIES = 4096  # of equal rows, numbered in one array
 CALLS = ("conv_id", "call_id", "turn", "place", "name", "arguments")
 
 
@@ -80,7 +81,7 @@ def _errors(calls: DataFrame, tools: DataFrame, opaque: tuple[str, ...]) -> Data
     wrong = F.transform(F.filter("kinds", lambda e: F.exists("params", lambda p: known(p, e) & ~fits(p, e))), lambda e: F.concat(F.lit("type of "), e["key"]))
     errors = F.when(F.col("tool").isNull(), F.array(F.lit("unknown tool"))).when(F.col("given").isNull(), F.array(F.lit("not an object"))).otherwise(F.array_sort(F.concat(missing, extra, wrong)))
     refs = F.transform(F.filter(F.map_entries("given"), lambda e: F.coalesce(refers(e["value"]), F.lit(False))), lambda e: e["value"].cast("string"))
-    refs = F.array_distinct(F.transform(refs, lambda v: F.substring(v, 2, 1_000_000)))
+    refs = F.array_distinct(F.transform(refs, lambda v: v.substr(F.lit(2), F.length(v))))
     return rows.withColumn("errors", errors).withColumn("refs", F.coalesce(refs, F.array().cast("array<string>"))).drop("given", "params", "tool", "kinds")
 
 
@@ -110,12 +111,15 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame, opaque: tuple[str, ...] = ("reply",)) -> DataFrame:
     """Calls with their results, levels, errors and canonical JSON; results without a call behind them."""
-    calls = _errors(calls.select(*CALLS), tools, opaque)
-    key = ["conv_id", "call_id"]
-    first = calls.groupBy(*key).agg(F.min(F.struct("turn", "place")).alias("first"))
+    key, order = ["conv_id", "call_id"], F.struct("turn", "place", "name", "arguments", "copy")
+    copies = calls.groupBy(*CALLS).agg(F.count("*").alias("copies"))  # equal rows are told apart by a number
+    copies = copies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("lot"))
+    copies = copies.select(*CALLS, F.explode(F.sequence(F.col("lot") * COPIES + 1, F.least("copies", (F.col("lot") + 1) * COPIES))).alias("copy"))
+    calls = _errors(copies, tools, opaque)
+    first = calls.groupBy(*key).agg(F.min(order).alias("first"))
     sums = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     rows = calls.join(first, key, "left").join(sums, key, "left").join(_levels(calls), key, "left")
-    again = F.coalesce(F.struct("turn", "place") != F.col("first"), F.lit(False))
+    again = F.col("first").isNotNull() & ~order.eqNullSafe(F.col("first"))
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     level = F.when(known, F.col("level")).otherwise(F.lit(0))
     marks = [(again, "repeated identifier"), (~known, "no identifier"), (known & F.col("level").isNull(), "cycle"), (F.coalesce("lost", F.lit(False)), "unknown reference")]

@@ -41,7 +41,7 @@ def test_links_levels_and_errors(spark):
 @pytest.mark.parametrize("value", [{"b": [1, {"z": None, "a": True}], "a": "é\n\"/"}, {}, {"n": 12345678901234567890}])
 def test_canonical_json(spark, value):
     one, two = json.dumps(value), json.dumps(dict(reversed(value.items())), indent=2)
-    rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"add","arguments":%s}]}' % t) for t in (one, two)]
+    rows = [(k, 0, "assistant", '{"tool_calls":[{"id":"a","name":"add","arguments":%s}]}' % t) for k, t in enumerate((one, two))]
     texts = {r.json for r in link_calls(*message_traffic(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), spark.createDataFrame(ADD, TOOL)).collect()}
     assert len(texts) == 1 and json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")) in texts.pop()
 
@@ -54,3 +54,15 @@ def test_plain_conversations(spark):
     assert len(out) == 7 and got[1, "turn-1"].valid and got[1, "turn-1"].result_turn == 2 and json.loads(got[1, "turn-1"].json)["arguments"] == {"prompt": "$5"}
     assert got[1, "turn-3"].errors == "type of prompt" and got[1, "turn-4"].errors == "no call" and got[None, "turn-0"].errors == "no identifier"
     assert conversation_calls(df.limit(0)).collect() == []
+
+
+def test_of_equal_calls_one_takes_the_result(spark, monkeypatch):
+    from barloom.llm import toolcalls
+
+    monkeypatch.setattr(toolcalls, "COPIES", 2)
+    calls = [("c", "x", 0, 0, "reply", '{"prompt":"a"}')] * 5 + [("c", "x", 0, 0, "reply", '{"prompt":"b"}'), ("c", "y", 1, 0, "reply", '{"prompt":"b"}'), (None, "x", 0, 0, "reply", '{"prompt":"b"}')]
+    calls = spark.createDataFrame(calls, "conv_id string, call_id string, turn long, place int, name string, arguments string")
+    results = spark.createDataFrame([("c", "x", 1, "done"), ("c", "y", 2, "too")], "conv_id string, call_id string, turn long, content string")
+    rows = toolcalls.link_calls(calls, results, spark.createDataFrame(toolcalls.REPLY, toolcalls.TOOL)).collect()
+    assert sorted((r.call_id, r.n_results, r.errors) for r in rows if r.conv_id) == [("x", 0, "repeated identifier")] * 5 + [("x", 1, ""), ("y", 1, "")]
+    assert [(r.n_results, r.errors) for r in rows if r.conv_id is None] == [(0, "no identifier")]
