@@ -103,7 +103,7 @@ def add_up_pairs(keys: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.
 
 
 def merge(blobs: list[bytes], pairs: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
-    both = [unpack(b) for b in blobs]
+    both = [(unpack_pairs if pairs else unpack)(b) for b in blobs]
     keys, columns = np.concatenate([k for k, _ in both]), [np.concatenate(c) for c in zip(*(c for _, c in both))]
     if not pairs:
         return add_up(keys, columns)
@@ -134,7 +134,23 @@ def pair_shard(prints: np.ndarray, shards: int) -> np.ndarray:
     return word_shard(prints >> HIGH, shards)
 
 
-def _cut(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: np.ndarray, shards: int) -> Iterator[tuple]:
+def pack_pairs(keys: np.ndarray, rest: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs by places in a list of the block's own words: a word stands there once and whole."""
+    ctx, tok = pair_words(keys, rest)
+    words = np.unique(np.concatenate([ctx, tok]))
+    head = pack(words)
+    return len(head).to_bytes(8, "little") + head + pack(np.searchsorted(words, ctx).astype(np.uint32), np.searchsorted(words, tok), n)
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    cut = 8 + int.from_bytes(blob[:8], "little")
+    words, _ = unpack(blob[8:cut])
+    ctx, (tok, n) = unpack(blob[cut:])
+    keys, rest = pair_keys(words[ctx], words[tok])
+    return keys, [rest, n]
+
+
+def _cut(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: np.ndarray, shards: int, pack=pack) -> Iterator[tuple]:
     by = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[by], np.arange(shards + 1))
     for k in range(shards):
@@ -221,7 +237,7 @@ def _count(batches, shards: int):
             k, n = words.take()
             yield from _rows(_cut(0, k, [n], word_shard(k >> HIGH, shards), shards))
             k, rest, n = pairs.take()
-            yield from _rows(_cut(1, k, [rest, n], pair_shard(pair_prints(k, rest), shards), shards))
+            yield from _rows(_cut(1, k, [rest, n], pair_shard(pair_prints(k, rest), shards), shards, pack_pairs))
 
     for batch in batches:
         for s in slices(batch.column(0), SPACED):
@@ -287,7 +303,7 @@ def _by_shard(batches) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
             blobs.append(blob)
             if len(blobs) == 64:  # each block is merged once here and once at the end
                 k, c = merge(blobs, kind == 1)
-                done.append(pack(k, *c))
+                done.append((pack_pairs if kind == 1 else pack)(k, *c))
                 blobs = []
     if blobs or done:
         yield now, done + blobs

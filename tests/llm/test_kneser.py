@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from barloom.llm.kneser import add_up, add_up_pairs, discounts, language_model_scores, pack, pair_keys, pair_words, train, unpack
+from barloom.llm.kneser import add_up, add_up_pairs, discounts, language_model_scores, pack, pack_pairs, pair_keys, pair_words, train, unpack, unpack_pairs
 
 low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -78,6 +78,8 @@ def test_pairs_by_both_words_whole():
     keys, rest, n = add_up_pairs(*pair_keys(ctx, tok), np.ones(len(ctx), np.uint64))
     got = dict(zip(zip(*(x.tolist() for x in pair_words(keys, rest))), n.tolist()))
     assert got == Counter(zip(ctx.tolist(), tok.tolist())) and len(got) == len(n)
+    again, (more, m) = unpack_pairs(pack_pairs(keys, rest, n))
+    assert (again == keys).all() and (more == rest).all() and (m == n).all()
 
 
 def test_counts_beyond_two_bytes(docs):
