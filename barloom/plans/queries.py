@@ -168,7 +168,7 @@ Q["k_shock_resilience"] = Query(lambda s, d: analytics.shock_resilience(features
 Q["k_volume_resilience"] = Query(lambda s, d: analytics.volume_resilience(hourly(s, d)), "contract_id", "liquidity_resilience", "SELECT contract_id, 1 - count(*) FILTER (WHERE CASE WHEN s > 0 THEN (volume - m) / s ELSE 0 END < -1) / count(*) AS liquidity_resilience FROM (SELECT *, avg(CAST(volume AS DOUBLE)) OVER (PARTITION BY contract_id) AS m, stddev_samp(volume) OVER (PARTITION BY contract_id) AS s FROM hr) GROUP BY 1")
 Q["k_contract_analysis"] = Query(
     lambda s, d: analytics.contract_analysis(table(s, d)), "contract_id volume_surge_count volatility_surge_count surge_count shocks",
-    "avg_spread avg_spread_pct avg_volume volatility depth_resilience spread_collapse_log spread_p50 recovery_rate", S.ANALYSIS,
+    "avg_spread avg_spread_pct avg_volume volatility depth_resilience spread_collapse_log spread_p10 spread_p25 spread_p50 spread_p75 spread_p90 median_recovery mean_recovery recovery_rate", S.ANALYSIS,
 )
 Q["k_category_aggregates"] = Query(lambda s, d: analytics.category_aggregates(table(s, d)), "category n_contracts total_volume", "mean_spread median_spread mean_volume mean_volatility", "SELECT category, count(DISTINCT contract_id) AS n_contracts, CAST(sum(volume) AS BIGINT) AS total_volume, avg(spread) AS mean_spread, quantile_cont(spread, 0.5) AS median_spread, avg(volume) AS mean_volume, avg(volatility_short) AS mean_volatility FROM f GROUP BY 1")
 Q["l_align_linear"] = Query(_aligned, "contract_id category metric grid_min n", "value", S.ALIGN)
@@ -187,14 +187,14 @@ Q["n_zscore_rolling"] = Query(lambda s, d: hourly(s, d).withColumn("volume_norm"
 Q["n_percentile"] = Query(lambda s, d: normalise.normalise_columns(hourly(s, d), ["volume"]), _F, "volume_norm", "SELECT contract_id, ts, (rank() OVER (PARTITION BY contract_id ORDER BY volume) + (count(*) OVER (PARTITION BY contract_id, volume) - 1) / 2.0) / count(*) OVER (PARTITION BY contract_id) AS volume_norm FROM hr")
 Q["n_minmax"] = Query(lambda s, d: normalise.normalise_columns(hourly(s, d), ["volume"], {"volume": "minmax"}), _F, "volume_norm", "SELECT contract_id, ts, CASE WHEN max(volume) OVER w > min(volume) OVER w THEN (volume - min(volume) OVER w) / (max(volume) OVER w - min(volume) OVER w) ELSE 0.5 END AS volume_norm FROM hr WINDOW w AS (PARTITION BY contract_id)")
 Q["n_robust"] = Query(lambda s, d: normalise.normalise_columns(bars(s, d), ["volume"], "robust"), _F, "volume_norm", "SELECT contract_id, ts, CASE WHEN h > l THEN (volume - m) / (h - l) ELSE 0 END AS volume_norm FROM (SELECT *, quantile_cont(volume, 0.5) OVER w AS m, quantile_cont(volume, 0.25) OVER w AS l, quantile_cont(volume, 0.75) OVER w AS h FROM bars WINDOW w AS (PARTITION BY contract_id))")
-Q["n_across_zscore"] = Query(lambda s, d: normalise.across_contracts(hourly(s, d), "volume"), _F, "volume_norm", "SELECT contract_id, ts, (volume - m) / s AS volume_norm FROM hr, (SELECT avg(volume) AS m, stddev_samp(volume) AS s FROM hr)")
+Q["n_across_zscore"] = Query(lambda s, d: normalise.across_contracts(hourly(s, d), "volume"), _F, "volume_norm", "SELECT contract_id, ts, (volume - avg(volume) OVER ()) / stddev_samp(volume) OVER () AS volume_norm FROM hr")
 Q["n_across_percentile"] = Query(lambda s, d: normalise.across_contracts(hourly(s, d), "volume", "percentile"), _F, "volume_norm", "SELECT contract_id, ts, (rank() OVER (ORDER BY volume) - 1) / count(*) OVER () AS volume_norm FROM hr")
 Q["n_normalizer"] = Query(_fitted, _F, "volume_norm spread_norm", "SELECT contract_id, ts, CASE WHEN vh > vl THEN (volume - vm) / (vh - vl) ELSE 0 END AS volume_norm, CASE WHEN sh > sl THEN (spread - sm) / (sh - sl) ELSE 0 END AS spread_norm FROM f, (SELECT quantile_cont(volume, 0.5) AS vm, quantile_cont(volume, 0.25) AS vl, quantile_cont(volume, 0.75) AS vh, quantile_cont(spread, 0.5) AS sm, quantile_cont(spread, 0.25) AS sl, quantile_cont(spread, 0.75) AS sh FROM f)")
 Q["x_dataset_summary"] = Query(lambda s, d: exports.dataset_summary(bars(s, d)), "contract_id category n_observations start_date end_date total_volume frequency", "mean_price", S.SUMMARY)
 Q["x_contract_metrics"] = Query(
     lambda s, d: exports.contract_metrics(table(s, d)), "contract_id category n_observations total_volume dominant_regime",
     "duration_hours mean_spread mean_spread_pct mean_volume mean_volatility max_volatility mean_depth_resilience spread_collapse_slope liquidity_resilience burst_intensity regime_entropy regime_pct_1 regime_pct_2 regime_pct_3 regime_pct_4 regime_pct_5 regime_pct_6 "
-    "lifecycle_early_spread lifecycle_late_volume lifecycle_mid_late_volatility_short", S.METRICS,
+    + " ".join(f"lifecycle_{n}_{m}" for n in exports.QUARTERS for m in ("spread", "volume", "volatility_short")), S.METRICS,
 )
 Q["x_category_summary"] = Query(
     lambda s, d: exports.category_summary(exports.contract_metrics(table(s, d))), "category n_contracts total_observations",

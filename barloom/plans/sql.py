@@ -92,7 +92,7 @@ def _title(x: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1:1]) || lower(p[2:])), '')"
 
 
-_ALIAS = " ".join(f"WHEN lower(trim(raw)) IN ({', '.join(repr(w) for w in words.split())}) THEN '{name}'" for name, words in ALIASES.items())
+_ALIAS = " ".join(f"WHEN lower(trim(raw)) IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in ALIASES.items())
 IDENTITY = f"""SELECT raw, CASE WHEN raw IN ({', '.join(repr(c) for c in CANONICAL)}) THEN raw {_ALIAS} ELSE {_title('raw')} END AS category,
   regexp_full_match(raw, '[a-zA-Z0-9_\\-]+') AS valid_id, CASE WHEN lower(trim(raw)) IN ({', '.join(repr(x) for x in STATUSES)}) THEN upper(trim(raw)) ELSE 'UNKNOWN' END AS status
   FROM (VALUES ('nfl'), (' Politics'), ('Sports'), ('some-other cat'), ('BTC'), ('climate')) AS v(raw)"""
@@ -178,8 +178,8 @@ _SHOCKS = f"""SELECT contract_id, k AS shocks, CASE WHEN n >= 20 THEN med END AS
         min(CASE WHEN spread <= med THEN t END) OVER (PARTITION BY contract_id ORDER BY t RANGE BETWEEN CURRENT ROW AND %d FOLLOWING) AS back
       FROM (SELECT contract_id, CAST(epoch(ts) AS BIGINT) AS t, spread, quantile_cont(spread, 0.95) OVER ({P}) AS hi, quantile_cont(spread, 0.5) OVER ({P}) AS med, count(*) OVER ({P}) AS n FROM f))) GROUP BY 1)"""
 SHOCKS = _SHOCKS % (360 * 60)
-ANALYSIS = f"""SELECT b.*, coalesce(s1.n, 0) AS volume_surge_count, coalesce(s2.n, 0) AS volatility_surge_count, coalesce(s1.n, 0) + coalesce(s2.n, 0) AS surge_count, sl.spread_collapse_log, sh.shocks, sh.recovery_rate FROM (
-  SELECT contract_id, avg(spread) AS avg_spread, avg(spread_pct) AS avg_spread_pct, avg(volume) AS avg_volume, avg(volatility_short) AS volatility, avg(depth_balance) AS depth_resilience, quantile_cont(spread, 0.5) AS spread_p50 FROM f GROUP BY 1) b
+ANALYSIS = f"""SELECT b.*, coalesce(s1.n, 0) AS volume_surge_count, coalesce(s2.n, 0) AS volatility_surge_count, coalesce(s1.n, 0) + coalesce(s2.n, 0) AS surge_count, sl.spread_collapse_log, sh.shocks, sh.median_recovery, sh.mean_recovery, sh.recovery_rate FROM (
+  SELECT contract_id, avg(spread) AS avg_spread, avg(spread_pct) AS avg_spread_pct, avg(volume) AS avg_volume, avg(volatility_short) AS volatility, avg(depth_balance) AS depth_resilience, {', '.join(f'quantile_cont(spread, {p / 100}) AS spread_p{p}' for p in (10, 25, 50, 75, 90))} FROM f GROUP BY 1) b
   LEFT JOIN (SELECT contract_id, count(*) AS n FROM ({surge("volume", "volume")}) GROUP BY 1) s1 ON s1.contract_id = b.contract_id
   LEFT JOIN (SELECT contract_id, count(*) AS n FROM ({surge("abs_return", "volatility")}) GROUP BY 1) s2 ON s2.contract_id = b.contract_id
   LEFT JOIN ({SLOPE_LOG}) sl ON sl.contract_id = b.contract_id LEFT JOIN ({_SHOCKS % 1800}) sh ON sh.contract_id = b.contract_id"""

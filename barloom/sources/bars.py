@@ -19,7 +19,7 @@ from barloom.functions.common import by_time, quantile, seconds, whole
 PRICES = ["price_c", "price_o", "price_h", "price_l"]
 QUOTES = ["yes_bid_c", "yes_bid_o", "yes_bid_h", "yes_bid_l", "yes_ask_c", "yes_ask_o", "yes_ask_h", "yes_ask_l"]
 
-#: columns of a bar file, in the order in which they stand there
+# fixed values: columns of a bar file, in the order in which they stand there
 _FILE_ORDER = ["datetime", "price_c", "yes_bid_c", "yes_ask_c", "volume", "price_o", "price_h", "price_l"]
 _FILE_ORDER += ["yes_bid_o", "yes_bid_h", "yes_bid_l", "yes_ask_o", "yes_ask_h", "yes_ask_l", "trade_count", "contract_id"]
 _TYPES = {"datetime": T.StringType(), "contract_id": T.StringType(), "volume": T.LongType(), "trade_count": T.LongType()}
@@ -33,11 +33,11 @@ METADATA_FILE = T.StructType(
 CANONICAL = ["Sports", "Politics", "Economics", "Crypto", "Weather"]
 # fixed values: other names of the categories, in lower case
 ALIASES = {
-    "Sports": "sports sport nfl nba mlb",
-    "Politics": "politics political election elections",
-    "Economics": "economics economic econ fed inflation cpi",
-    "Crypto": "crypto cryptocurrency bitcoin btc",
-    "Weather": "weather climate",
+    "Sports": ["sports", "sport", "nfl", "nba", "mlb"],
+    "Politics": ["politics", "political", "election", "elections"],
+    "Economics": ["economics", "economic", "econ", "fed", "inflation", "cpi"],
+    "Crypto": ["crypto", "cryptocurrency", "bitcoin", "btc"],
+    "Weather": ["weather", "climate"],
 }
 STATUSES = ("active", "closed", "settled", "finalized")
 FREQUENCIES = {"SECOND": "1s", "MINUTE": "1min", "HOUR": "1h", "DAY": "1D"}
@@ -64,9 +64,9 @@ def valid_contract_id(c: Column) -> Column:
 
 def canonical_category(c: Column) -> Column:
     """Canonical names stay; other names by alias; what is left in title case (letters behind non-letters too)."""
-    pairs = [F.lit(x) for name, words in ALIASES.items() for w in words.split() for x in (w, name)]
+    pairs = [F.lit(x) for name, words in ALIASES.items() for w in words for x in (w, name)]
     known = F.try_element_at(F.create_map(*pairs), F.lower(F.trim(c)))
-    title = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z]+|[^A-Za-z]+"), 0), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 100_000)))), "")
+    title = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z]+|[^A-Za-z]+"), 0), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(p.substr(F.lit(2), F.length(p))))), "")
     return F.when(c.isin(*CANONICAL), c).otherwise(F.coalesce(known, title))
 
 
@@ -94,7 +94,10 @@ def read_bars(spark: SparkSession, root: str, categories: list[str] | None = Non
     path = F.col("_metadata.file_path")
     stem = F.regexp_extract(path, r"([^/]+)\.csv$", 1)
     df = raw.withColumn("file_id", F.url_decode(stem)).withColumn("category", F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)))
-    df = df.withColumn("contract_id", F.coalesce("contract_id", "file_id")).withColumn("category", canonical_category(F.col("category")))
+    # a file is one contract: the first id in it, else its name, stands for all of its rows
+    ids = raw.filter("contract_id is not null").select(path.alias("file"), "contract_id", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = ids.groupBy("file").agg(F.min_by("contract_id", F.struct("start", "at")).alias("first_id"))
+    df = df.withColumn("file", path).join(first, "file", "left").drop("file").withColumn("contract_id", F.coalesce("first_id", "file_id")).drop("first_id").withColumn("category", canonical_category(F.col("category")))
     df = df.withColumn("ts", parse_time(F.col("datetime"))).drop("datetime", "file_id").filter(F.col("ts").isNotNull())
     return at_least(df, min_observations)
 
@@ -143,6 +146,12 @@ def typed_metadata(raw: DataFrame) -> DataFrame:
     )
 
 
+def contract_metadata(contracts: DataFrame, contract_id: str) -> dict | None:
+    """One contract's metadata by column, or None if there is no such contract."""
+    row = contracts.filter(F.col("contract_id") == contract_id).first()
+    return row.asDict() if row else None
+
+
 class SchemaFile:
     """Expected columns from a JSON file of {table: {column: type}}."""
 

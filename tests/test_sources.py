@@ -30,6 +30,15 @@ def test_read_bars(spark, folder):
     assert {r.contract_id for r in only.collect()} == {"VOTE"}
 
 
+def test_first_id_of_a_file_is_that_of_all_its_rows(spark, tmp_path):
+    (tmp_path / "Weather").mkdir()
+    row = lambda i, name: f"2024-01-01 00:0{i}:00+00:00,50,49,51,1,,,,,,,,,,,{name}"
+    (tmp_path / "Weather" / "file-a.csv").write_text("\n".join([HEADER, row(0, ""), row(1, "Z-FIRST"), row(2, "A-LATER"), row(3, "")]) + "\n")
+    (tmp_path / "Weather" / "file-b.csv").write_text("\n".join([HEADER, row(0, ""), row(1, "")]) + "\n")
+    got = source.read_bars(spark, str(tmp_path), min_observations=1).groupBy("contract_id").count().collect()
+    assert {(r.contract_id, r["count"]) for r in got} == {("Z-FIRST", 4), ("file-b", 2)}
+
+
 def test_point_lookup_and_catalog(spark, folder):
     assert source.read_contract(spark, folder, "SNOW").count() == 2
     with pytest.raises(ValueError):
@@ -44,6 +53,8 @@ def test_metadata(spark, tmp_path):
     p.write_text("contract_id,pm_category,event_ticker,title,category,status,start_date,end_date,volume,open_interest,last_price,resolution_rule\nA,Sports,E,T,x,active,2024-01-01,2024-02-01 00:00:00+00:00,,5,1.5,r\n")
     r = source.read_metadata(spark, str(p)).first()
     assert (r.category, r.volume, r.open_interest, r.end_date.month) == ("Sports", 0, 5, 2)
+    every = source.read_metadata(spark, str(p))
+    assert source.contract_metadata(every, "A")["open_interest"] == 5 and source.contract_metadata(every, "B") is None
 
 
 def test_schema_file(spark, tmp_path, bars):
