@@ -15,10 +15,10 @@
    them for pairs that still lie in different components.
 7. In a bucket whose members lie in several components, blocks of members meet by their
    registers: two members of different components are estimated in the first band that they
-   share. Only pairs of blocks with such a pair that passes come back with texts, which stream
-   past the block's sets; of two components one confirmed link for each pair of blocks is
-   enough. So no link that changes a component is lost, no list of pairs of documents is made,
-   and a text travels once for each block that it may be linked with.
+   share. Only members with such a partner that passes come back with texts, which stream past
+   the sets of the other block's; of two components one confirmed link for each pair of blocks
+   is enough. So no link that changes a component is lost, no list of pairs of documents is
+   made, and a text travels once for each block that it may be linked with.
 
 Defined results: null text or a text without words has an empty set and is linked with
 nothing; a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
@@ -39,7 +39,8 @@ from .textvec import SPACED, gram_hashes, mix, slices
 REGISTERS, BAND, BANDS, FIRST = 256, 6, 42, 8
 BASE, RATE, TOP = 1.001, 20.0, 65535
 MARGIN = 0.12
-BLOCK, CHUNK = 64, 64
+BLOCK, CHUNK = 256, 64
+ROWS, TABLE = 16, 16 << 20
 BLOOM_WORDS = 1 << 18
 
 _MULT = (np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, (REGISTERS, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -133,6 +134,25 @@ def likelihood(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndar
     return best
 
 
+def likely(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray, low: float) -> np.ndarray:
+    """Whether ``likelihood`` is ``low`` or more: the logarithm is concave, so its slope at ``low`` tells on which side the maximum lies."""
+    u = n_a / (n_a + n_b)
+    v = 1 - u
+    s = (BASE - 1) / BASE
+    slope = np.zeros(len(u))
+    rest = np.ones(len(u))
+    fall = np.zeros(len(u))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for count, x, by in ((more, u - v * low, v), (less, v - u * low, u)):
+            p = -np.log1p(-np.clip(x, 0, 1) * s) / np.log(BASE)
+            step = by * s / (1 - np.clip(x, 0, 1) * s) / np.log(BASE)
+            slope -= np.where(count > 0, count * step / p, 0)
+            rest -= p
+            fall += step
+        slope += (REGISTERS - more - less) * fall / np.maximum(rest, 1e-300)
+    return (slope >= 0) & (np.minimum(n_a, n_b) >= low * np.maximum(n_a, n_b))
+
+
 def _estimate(batches, low: float):
     """Rows of a star in order: the hub first, then members. Passes (hub, member) on."""
     star, of = None, []
@@ -157,7 +177,7 @@ def _estimate(batches, low: float):
             ok = np.zeros(len(rest), bool)
             for n_h, k_h in of:
                 more, less = (k_h > k[rest]).sum(axis=1), (k_h < k[rest]).sum(axis=1)
-                ok |= likelihood(np.full(len(rest), n_h), n[rest], more, less) >= low
+                ok |= likely(np.full(len(rest), n_h), n[rest], more, less, low)
             a += [hub] * int(ok.sum())
             b += member[rest[ok]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -186,74 +206,91 @@ def _confirm(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _fits(one: tuple, n: np.ndarray, k: np.ndarray, place: int, low: float) -> np.ndarray:
-    """Places of the sets (sizes and registers) that may be as similar as ``low`` to one, and that share no band before ``place``."""
-    size, own = one
-    rest = np.flatnonzero(np.minimum(n, size) >= low * np.maximum(n, size))
-    same = own == k[rest]
-    ok = same.sum(axis=1) >= (low - 0.1) * REGISTERS  # what an estimate of ``low`` needs at least
-    ok[ok] = ~same[ok, : BAND * place].reshape(int(ok.sum()), place, BAND).all(axis=2).any(axis=1)
-    rest = rest[ok]
-    if not len(rest):
-        return rest
-    more, less = (own > k[rest]).sum(axis=1), (own < k[rest]).sum(axis=1)
-    return rest[likelihood(np.full(len(rest), float(size)), n[rest], more, less) >= low]
+MEET = "band long, l_part long, r_part long, side byte, doc_id long, comp long"
+
+
+def _passing(left: tuple, right: tuple, place: int, low: float) -> np.ndarray:
+    """Which sets of two blocks (sizes, components, registers) may be as similar as ``low``, differ in component and share no band before ``place``."""
+    (n_l, c_l, k_l), (n_r, c_r, k_r) = left, right
+    out = (c_l[:, None] != c_r) & (np.minimum(n_l[:, None], n_r) >= low * np.maximum(n_l[:, None], n_r))
+    for at in range(0, len(n_l), ROWS):
+        rows = slice(at, at + ROWS)
+        same = k_l[rows, None] == k_r
+        out[rows] &= same.sum(axis=2, dtype=np.int16) >= (low - 0.1) * REGISTERS  # what an estimate of ``low`` needs at least
+        x, y = np.nonzero(out[rows])
+        ok = ~same[x, y, : BAND * place].reshape(len(x), place, BAND).all(axis=2).any(axis=1)
+        a, b = k_l[at + x], k_r[y]
+        ok &= likely(n_l[at + x], n_r[y], (a > b).sum(axis=1), (a < b).sum(axis=1), low)
+        out[at + x, y] = ok
+    return out
 
 
 def _across(batches, low: float):
-    """The pairs of blocks of a bucket in which some pair of different components passes the likelihood."""
+    """Of pairs of blocks of a bucket: the members that pass the likelihood with one of another component, left ones on side 0."""
     for batch in batches:
-        out = []
+        at, side, ids, comps = [], [], [], []
         for i in range(batch.num_rows):  # row by row: a block is large
-            band, place, l_part, r_part, left, right = (c[i].as_py() for c in batch.columns)
-            k = np.frombuffer(b"".join(x["registers"] for x in right), np.uint16).reshape(-1, REGISTERS)
-            comp = np.array([x["comp"] for x in right])
-            n = np.array([x["n_shingles"] for x in right], float)
-            for x in left:
-                rest = np.flatnonzero(comp != x["comp"])
-                if len(rest) and len(_fits((x["n_shingles"], np.frombuffer(x["registers"], np.uint16)), n[rest], k[rest], place, low)):
-                    out.append((band, place, l_part, r_part))
-                    break
-        cols = list(zip(*out)) or [(), (), (), ()]
-        types = (pa.int64(), pa.int8(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["band", "place", "l_part", "r_part"])
-
-
-def _meet(batches, low: float, width: int, percent: int):
-    """Rows of a pair of blocks in order: the left block, then the right one. Passes on one confirmed link for two components."""
-    pair, left, done = None, [], set()
+            blocks = [batch.column(c)[i].values for c in ("left", "right")]
+            facts = [(np.asarray(x.field("n_shingles")).astype(float), np.asarray(x.field("comp")), _unpack(x.field("registers"))) for x in blocks]
+            passing = _passing(*facts, batch.column("place")[i].as_py(), low)
+            for k, block in enumerate(blocks):
+                on = passing.any(axis=1 - k)
+                at.append(np.full(int(on.sum()), i))
+                side.append(np.full(int(on.sum()), k, np.int8))
+                ids.append(np.asarray(block.field("doc_id"))[on])
+                comps.append(facts[k][1][on])
+        if at:
+            of = pa.array(np.concatenate(at))
+            cols = [*(batch.column(c).take(of) for c in ("band", "l_part", "r_part")), *(pa.array(np.concatenate(c)) for c in (side, ids, comps))]
+            yield pa.RecordBatch.from_arrays(cols, ["band", "l_part", "r_part", "side", "doc_id", "comp"])
+
+
+def _tables(sets: list[np.ndarray]):
+    """(places, sorted fingerprints, which set has which) of runs of sets, each table of at most about ``TABLE`` bytes."""
+    first = 0
+    while first < len(sets):
+        last, size = first + 1, len(sets[first])
+        while last < len(sets) and (size + len(sets[last])) * (last + 1 - first) <= TABLE:
+            size += len(sets[last])
+            last += 1
+        vocab = np.unique(np.concatenate(sets[first:last]))
+        has = np.zeros((len(vocab), last - first), bool)
+        for i, u in enumerate(sets[first:last]):
+            has[np.searchsorted(vocab, u), i] = True
+        yield slice(first, last), vocab, has
+        first = last
+
+
+def _meet(batches, width: int, percent: int):
+    """Rows of a pair of blocks in order: left members, then right ones. Passes on one confirmed link for two components."""
+    pair, left, tables, done = None, [], None, set()
     for batch in batches:
         a, b = [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("band", "l_part", "r_part", "place", "side", "doc_id", "comp", "n_shingles", "registers")))
-        for i, (band, l_part, r_part, place, side, doc_id, comp, size, reg) in enumerate(rows):
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "l_part", "r_part", "side", "doc_id", "comp"))))
+        for i, u in shingle_sets(batch.column("text"), width):
+            band, l_part, r_part, side, doc_id, comp = keys[i]
             if pair != (band, l_part, r_part):
-                pair, left, done = (band, l_part, r_part), [], set()
-            reg, text = np.frombuffer(reg, np.uint16), batch.column(batch.num_columns - 1)
+                pair, left, tables, done = (band, l_part, r_part), [], None, set()
             if side == 0:
-                left.append([doc_id, comp, size, reg, text[i].as_py(), None])
-                continue
-            some = [x for x in left if x[1] != comp and x[0] != doc_id and (x[1], comp) not in done]
-            if not some:
+                left.append((doc_id, comp, u))
                 continue
-            fit = _fits((size, reg), np.array([x[2] for x in some], float), np.stack([x[3] for x in some]), place, low)
-            u = _set(text[i].as_py(), width) if len(fit) else None
-            for j in fit.tolist():
-                x = some[j]
-                if x[5] is None:
-                    x[5] = _set(x[4], width)
-                v = x[5]
-                both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) and len(v) else 0
-                if (x[1], comp) not in done and both and 100 * both >= percent * (len(u) + len(v) - both):
-                    done |= {(x[1], comp), (comp, x[1])}
-                    a.append(min(x[0], doc_id))
-                    b.append(max(x[0], doc_id))
+            if tables is None:
+                tables = list(_tables([x[2] for x in left]))
+                size = np.array([len(x[2]) for x in left], np.int64)
+            for run, vocab, has in tables:
+                if not len(vocab):
+                    continue
+                at = np.searchsorted(vocab, u)
+                both = has[at[vocab[np.minimum(at, len(vocab) - 1)] == u]].sum(axis=0)
+                for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size[run] + len(u) - both))).tolist():
+                    other, c, _ = left[run.start + j]
+                    if c != comp and other != doc_id and (c, comp) not in done:
+                        done |= {(c, comp), (comp, c)}
+                        a.append(min(other, doc_id))
+                        b.append(max(other, doc_id))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _set(text: str | None, width: int) -> np.ndarray:
-    return next(u for _, u in shingle_sets(pa.array([text], pa.string()), width))
-
-
 def _stars(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Every pair (a, b) as rows of b's facts under hub a, behind one row of a's own; large stars in chunks."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
@@ -327,15 +364,12 @@ def _between(full: DataFrame, label: DataFrame, facts: DataFrame, texts: DataFra
     left = block.select("band", "place", F.col("part").alias("l_part"), F.col("items").alias("left"), F.col("open").alias("l_open"))
     right = block.select("band", F.col("part").alias("r_part"), F.col("items").alias("right"), F.col("open").alias("r_open"))
     both = left.join(right, "band").filter("l_part <= r_part and (l_open or r_open)").select("band", "place", "l_part", "r_part", "left", "right")
-    pairs = stash(map_batches(both, lambda b: _across(b, low), "band long, place byte, l_part long, r_part long"), "tries")
-    if pairs.isEmpty():
-        return pairs.select(F.col("band").alias("a"), F.col("l_part").alias("b"))
-    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("part")) for k, c in enumerate(("l_part", "r_part"))])).alias("x")
-    rows = pairs.select("band", "l_part", "r_part", ends).select("band", "l_part", "r_part", "x.side", "x.part")
-    rows = rows.join(detail.drop("apart"), ["band", "part"]).join(texts, "doc_id")
-    rows = rows.select("band", "l_part", "r_part", "place", "side", "doc_id", "comp", "n_shingles", "registers", "text")
+    tries = stash(map_batches(both, lambda b: _across(b, low), MEET), "tries")
+    if tries.isEmpty():
+        return tries.select(F.col("band").alias("a"), F.col("l_part").alias("b"))
+    rows = tries.join(texts, "doc_id").select("band", "l_part", "r_part", "side", "doc_id", "comp", "text")
     rows = rows.repartition("band", "l_part", "r_part").sortWithinPartitions("band", "l_part", "r_part", "side")
-    return stash(map_batches(rows, lambda b: _meet(b, low, width, percent), "a long, b long").distinct(), "links")
+    return stash(map_batches(rows, lambda b: _meet(b, width, percent), "a long, b long").distinct(), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

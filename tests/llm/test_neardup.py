@@ -5,7 +5,7 @@ import pytest
 
 from barloom.llm import neardup
 from barloom.llm.components import components
-from barloom.llm.neardup import drop_near_duplicates, likelihood, near_duplicates, registers
+from barloom.llm.neardup import REGISTERS, drop_near_duplicates, likelihood, likely, near_duplicates, registers
 
 
 def brute(rows, width, percent=80):
@@ -110,3 +110,34 @@ def test_one_row_of_a_group_stays(docs):
     df = docs([(None, text), (9, text), (3, text), (3, text), (None, "apart"), (9, "other"), (8, None), (8, None)])
     got = sorted((str(r.doc_id), r.text) for r in drop_near_duplicates(df).collect())
     assert got == sorted([("3", text), ("None", "apart"), ("9", "other"), ("8", None), ("8", None)], key=lambda x: (x[0], str(x[1])))
+
+
+def test_slope_tells_what_the_estimate_tells():
+    r = np.random.default_rng(1)
+    a = r.integers(1, 3000, 20000).astype(float)
+    b = np.maximum(1, np.round(a * r.uniform(0.5, 1.6, len(a))))
+    same = r.integers(100, REGISTERS + 1, len(a))
+    more = ((REGISTERS - same) * r.uniform(0, 1, len(a))).astype(int)
+    less = REGISTERS - same - more
+    est = likelihood(a, b, more, less)
+    clear = np.abs(est - 0.68) > 1e-3  # the estimate itself is a place on a grid
+    assert ((est >= 0.68) == likely(a, b, more, less, 0.68))[clear].all()
+    assert 0.1 < (est >= 0.68).mean() < 0.9
+
+
+@pytest.mark.parametrize("table", [16 << 20, 1])
+def test_sets_of_a_block_are_met_in_tables_of_any_size(table, monkeypatch):
+    """Families around the threshold: the links of ``_meet`` join what links between all pairs join."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    monkeypatch.setattr(neardup, "TABLE", table)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if r.random() > 0.04 else f"x{r.randrange(99999)}" for w in base) for _ in range(30)] + ["", "one"]
+    ids, n = list(range(len(texts))), len(texts)
+    cols = [[1] * 2 * n, [0] * 2 * n, [0] * 2 * n, [0] * n + [1] * n, ids * 2, ids * 2, texts * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "l_part", "r_part", "side", "doc_id", "comp", "text"])
+    got = {(x["a"], x["b"]) for out in neardup._meet(iter(batch[k : k + 7] for k in range(0, 2 * n, 7)), 2, 80) for x in out.to_pylist()}
+    sets = [set(zip(t.split(), t.split()[1:])) or ({(t,)} if t else set()) for t in texts]
+    want = {(i, j) for i in ids for j in ids[i + 1 :] if 100 * len(sets[i] & sets[j]) >= 80 * max(1, len(sets[i] | sets[j]))}
+    assert want and got == want
