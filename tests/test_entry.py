@@ -39,6 +39,20 @@ def test_query(spark, con, name):
     assert _key(df.collect()) == _key(rel.fetchall())
 
 
+def test_rounding_is_that_of_the_sql(spark, con):
+    """Halves of the sixth decimal that no double holds: the text of 0.0640625 ends in 5, the double times a million is below the half."""
+    import numpy as np
+
+    from barloom.plans.queries import Query
+
+    x = [0.0640625, 1.0328125, -0.0640625, 0.0078125, -0.0078125, 0.4734375, 0.4734374999999999, 2.5e-6, -1e-9, 0.0, 123456789.1234565, 1e15]
+    x += [s * k / d for d in (640, 1280, 3200) for k in range(1, 3000, 7) for s in (1, -1)] + np.random.default_rng(5).normal(0, 1e3, 500).tolist()
+    q = Query(lambda s, d: s.createDataFrame(list(enumerate(x)), "n long, x double"), "n", "x")
+    got = [r.x for r in q.run(spark, SF).orderBy("n").collect()]
+    want = [r[0] for r in con.execute("SELECT round(x, 6) + 0.0 FROM (SELECT unnest(range(len($x))) AS n, unnest($x::DOUBLE[]) AS x) ORDER BY n", {"x": x}).fetchall()]
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
