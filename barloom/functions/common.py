@@ -19,12 +19,17 @@ def whole() -> WindowSpec:
     return Window.partitionBy("contract_id")
 
 
-def by_time() -> WindowSpec:
-    return whole().orderBy("ts")
+def ties(df: DataFrame) -> tuple[str, ...]:
+    """What orders rows of one time: the event id, where there is one. Without it their order is open."""
+    return ("event_id",) if "event_id" in df.columns else ()
 
 
-def so_far() -> WindowSpec:
-    return by_time().rowsBetween(Window.unboundedPreceding, 0)
+def by_time(more: tuple[str, ...] = ()) -> WindowSpec:
+    return whole().orderBy("ts", *more)
+
+
+def so_far(more: tuple[str, ...] = ()) -> WindowSpec:
+    return by_time(more).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def backwards() -> WindowSpec:
@@ -32,9 +37,9 @@ def backwards() -> WindowSpec:
     return whole().orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def rows(k: int) -> WindowSpec:
+def rows(k: int, more: tuple[str, ...] = ()) -> WindowSpec:
     """The last ``k`` rows, this one included."""
-    return by_time().rowsBetween(-(k - 1), 0)
+    return by_time(more).rowsBetween(-(k - 1), 0)
 
 
 def col(c: Column | str) -> Column:
@@ -45,9 +50,9 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a), col(b))
 
 
-def gate(c: Column | str, agg: Callable[[Column], Column], k: int, least: int = 1) -> Column:
+def gate(c: Column | str, agg: Callable[[Column], Column], k: int, least: int = 1, more: tuple[str, ...] = ()) -> Column:
     """A rolling aggregate over ``k`` rows, NULL with fewer than ``least`` non-null values."""
-    w = rows(k)
+    w = rows(k, more)
     return F.when(F.count(col(c)).over(w) >= least, agg(col(c)).over(w))
 
 

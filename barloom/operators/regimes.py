@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Regimes
-from barloom.functions.common import by_time, flag, gate, quantile, rows, safe_div, whole
+from barloom.functions.common import by_time, flag, gate, quantile, rows, safe_div, so_far, ties, whole
 
 NAMES = {1: "frozen", 2: "thin", 3: "normal", 4: "active_info", 5: "volatility_burst", 6: "resolution_drift", 7: "unknown"}
 CODES = [1, 2, 3, 4, 5, 6]
@@ -16,13 +16,13 @@ CODES = [1, 2, 3, 4, 5, 6]
 
 def _windows(df: DataFrame, s: Regimes) -> DataFrame:
     """What the rules compare: rolling return and volume levels, and the contract's own quantiles."""
-    have = set(df.columns)
+    have, more = set(df.columns), ties(df)
     out: dict[str, Column] = {}
     if "pct_return" in have:
-        out["__sigma"] = gate(F.abs("pct_return"), F.avg, s.window, 3)
+        out["__sigma"] = gate(F.abs("pct_return"), F.avg, s.window, 3, more)
     if "volume" in have:
         v = F.col("volume").cast("double")
-        out |= {"__vbar": F.avg(v).over(rows(s.window)), "__vstd": F.stddev_samp(v).over(rows(s.window)), "__vq": quantile(v, s.drift_volume_quantile).over(whole())}
+        out |= {"__vbar": F.avg(v).over(rows(s.window, more)), "__vstd": F.stddev_samp(v).over(rows(s.window, more)), "__vq": quantile(v, s.drift_volume_quantile).over(whole())}
     if "spread_pct" in have:
         out["__sq"] = quantile("spread_pct", s.drift_spread_quantile).over(whole())
     df = df.withColumns(out) if out else df
@@ -66,7 +66,7 @@ def states(df: DataFrame, settings: Regimes | None = None) -> DataFrame:
     df = _windows(df, s)
     df = df.withColumn("microstructure_state", _state(df, s)).drop("__sigma", "__vbar", "__vstd", "__vq", "__sq", "__gq")
     names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
-    before = F.lag("microstructure_state").over(by_time())
+    before = F.lag("microstructure_state").over(by_time(ties(df)))
     return df.withColumns({"microstructure_state_name": names[F.col("microstructure_state")], "regime_transition": F.when(before.isNull() | (before != F.col("microstructure_state")), 1).otherwise(0)})
 
 
@@ -113,11 +113,12 @@ def entropy(df: DataFrame, keys: tuple[str, ...] = ("contract_id",)) -> DataFram
 
 
 def robustness_features(df: DataFrame) -> DataFrame:
-    """Features for the sweep, on raw rows: spreads clipped, prices filled, first return 0."""
+    """Features for the sweep, on raw rows: spreads clipped, prices filled, first return 0. Rows of one time go by event id."""
+    more = ties(df)
     df = df.filter("ts is not null").withColumns({"spread": F.greatest(F.col("yes_ask_c") - F.col("yes_bid_c"), F.lit(0.0)), "__mid": F.nullif((F.col("yes_ask_c") + F.col("yes_bid_c")) / 2, F.lit(0.0))})
     pct = F.try_divide("spread", "__mid")
-    df = df.withColumns({"spread_pct": F.when(pct.isNotNull(), F.least(F.greatest(pct, F.lit(0.0)), F.lit(1.0))), "volume": F.coalesce("volume", F.lit(0)), "__p": F.last("price_c", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))})
-    df = df.withColumn("pct_return", F.coalesce(safe_div("__p", F.lag("__p").over(by_time())) - 1, F.lit(0.0)))
+    df = df.withColumns({"spread_pct": F.when(pct.isNotNull(), F.least(F.greatest(pct, F.lit(0.0)), F.lit(1.0))), "volume": F.coalesce("volume", F.lit(0)), "__p": F.last("price_c", ignorenulls=True).over(so_far(more))})
+    df = df.withColumn("pct_return", F.coalesce(safe_div("__p", F.lag("__p").over(by_time(more))) - 1, F.lit(0.0)))
     a, b, t = F.unix_micros(F.min("ts").over(whole())), F.unix_micros(F.max("ts").over(whole())), F.unix_micros("ts")
     return df.withColumn("lifecycle_ratio", F.coalesce(F.try_divide(t - a, b - a), F.lit(0.5))).drop("__mid", "__p")
 

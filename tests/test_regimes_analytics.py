@@ -65,6 +65,16 @@ def test_robustness_and_bootstrap(bars):
     assert regimes.bootstrap(df.limit(0)).count() == 0
 
 
+def test_robustness_of_rows_of_one_time(bars):
+    """Four rows for each time: they go by event id, in whatever order they come."""
+    n = 160
+    r = np.random.default_rng(3)
+    raw = bars(event_id=list(range(n)), price_c=r.integers(20, 80, n).astype(float).tolist(), yes_bid_c=r.integers(10, 40, n).astype(float).tolist(), yes_ask_c=r.integers(41, 60, n).astype(float).tolist(), volume=r.integers(0, 90, n).tolist(), types={"event_id": "long"})
+    raw = raw.withColumn("ts", F.date_trunc("hour", "ts") + F.make_interval(mins=(F.col("event_id") / 4).cast("int"))).coalesce(1)
+    a, b = (sorted(regimes.robustness(regimes.robustness_features(raw.sortWithinPartitions(o))).collect()) for o in (F.asc("event_id"), F.desc("event_id")))
+    assert len(a) == 11 and a == b
+
+
 def test_shock_resilience(bars):
     s = [2.0] * 100
     for k in (10, 40, 70):
