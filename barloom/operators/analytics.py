@@ -59,22 +59,30 @@ def burst_intensity(df: DataFrame, mult: float = 2.0, least: int = 10) -> DataFr
     return df.groupBy("contract_id").agg(value.alias("burst_intensity"))
 
 
-def _log_slope(df: DataFrame, points: int, least: int) -> tuple[DataFrame, Column]:
-    """Rows with ``__taken``, and the aggregate over them."""
-    ok = flag((F.col("spread") > 0) & F.col("lifecycle_ratio").isNotNull())
+def _log_usable() -> Column:
+    return flag((F.col("spread") > 0) & F.col("lifecycle_ratio").isNotNull())
+
+
+def _log_slope(taken: Column, n: Column, least: int) -> Column:
+    """Slope of ln(spread) on the lifecycle ratio over the rows ``taken``; NULL with ``n`` usable rows below ``least``."""
+    x, y = F.when(taken, F.col("lifecycle_ratio")), F.when(taken, F.ln("spread"))
+    return F.when((n >= least) & (F.var_pop(x) > 0), F.regr_slope(y, x))
+
+
+def _thinned(df: DataFrame, points: int) -> DataFrame:
+    """``__taken``: at most ``points`` evenly placed ones of the ``__k`` usable rows."""
+    ok = _log_usable()
     one = F.when(ok, 1).otherwise(0)
     df = df.withColumns({"__i": F.sum(one).over(so_far()) - 1, "__k": F.sum(one).over(whole())})
     i, n = F.col("__i"), F.col("__k")
     k = F.ceil(i * (points - 1) / F.nullif(n - 1, F.lit(0)))
-    df = df.withColumn("__taken", ok & ((n <= points) | (F.floor(k * (n - 1) / (points - 1)) == i)))
-    x, y = F.when(F.col("__taken"), F.col("lifecycle_ratio")), F.when(F.col("__taken"), F.ln("spread"))
-    return df, F.when((F.max("__k") >= least) & (F.var_pop(x) > 0), F.regr_slope(y, x))
+    return df.withColumn("__taken", ok & ((n <= points) | (F.floor(k * (n - 1) / (points - 1)) == i)))
 
 
 def collapse_slope_log(df: DataFrame, points: int = 200, least: int = 10) -> DataFrame:
     """spread_collapse_log: slope of ln(spread) on the lifecycle ratio, over at most ``points`` evenly placed rows."""
-    df, slope = _log_slope(df.select("contract_id", "ts", "spread", "lifecycle_ratio"), points, least)
-    return df.groupBy("contract_id").agg(slope.alias("spread_collapse_log"))
+    df = _thinned(df.select("contract_id", "ts", "spread", "lifecycle_ratio"), points)
+    return df.groupBy("contract_id").agg(_log_slope(F.col("__taken"), F.max("__k"), least).alias("spread_collapse_log"))
 
 
 def _raw_slope(least: int) -> Column:
@@ -170,7 +178,8 @@ def liquidity_score(df: DataFrame) -> DataFrame:
 def contract_analysis(df: DataFrame, settings: Surges | None = None) -> DataFrame:
     """One wide row for each contract: levels, slopes, percentiles, shocks and surges.
 
-    All of it is windows over the contract and one grouping by it, in one pass with one shuffle.
+    All of it is windows over the contract and one grouping by it, in one pass with one shuffle. Every row
+    with a positive spread counts in spread_collapse_log, while ``collapse_slope_log`` takes some of them.
     """
     s = settings or Surges()
     keep = ("contract_id", "ts", "spread", "spread_pct", "volume", "volatility_short", "depth_balance", "lifecycle_ratio", first_present(df, ABS_NAMES))
@@ -178,7 +187,7 @@ def contract_analysis(df: DataFrame, settings: Surges | None = None) -> DataFram
     df = _surge_columns(df, F.col("volume"), s.lookback_window, "__sv")
     df = _surge_columns(df, F.abs(F.col(keep[-1])), s.lookback_window, "__sa")
     df, score = _score(df)
-    df, slope = _log_slope(df, 200, 10)
+    slope = _log_slope(_log_usable(), F.count_if(_log_usable()), 10)
     df, shocks = _shocks(df, 0.95, 30, 20)
     percents = (0.1, 0.25, 0.5, 0.75, 0.9)
     q = F.percentile("spread", F.array(*[F.lit(p) for p in percents]))

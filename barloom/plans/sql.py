@@ -166,6 +166,7 @@ INTENSITY = f"""SELECT contract_id, CASE WHEN n < 10 THEN NULL ELSE coalesce(avg
 SLOPE_LOG = f"""SELECT contract_id, CASE WHEN max(n) >= 10 AND var_pop(lifecycle_ratio) > 0 THEN regr_slope(ln(spread), lifecycle_ratio) END AS spread_collapse_log FROM (
   SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER ({P}) AS n FROM f WHERE spread > 0)
   WHERE n <= 200 OR list_contains(list_transform(range(0, 200), lambda k: CAST(k * (n - 1) // 199 AS BIGINT)), i) GROUP BY 1"""
+_SLOPE_ALL = "SELECT contract_id, CASE WHEN count(*) >= 10 AND var_pop(lifecycle_ratio) > 0 THEN regr_slope(ln(spread), lifecycle_ratio) END AS spread_collapse_log FROM f WHERE spread > 0 GROUP BY 1"
 CURVE = """SELECT q.contract_id, q.bin, m AS spread_mean, s AS spread_std, a AS spread_min, b AS spread_max, c AS spread_first, d AS spread_last, c - d AS tightening, CASE WHEN c > 0 THEN (c - d) / c END AS tightening_pct FROM (
   SELECT contract_id, unnest(generate_series(min(bin), max(bin), INTERVAL 4 HOUR)) AS bin FROM (SELECT contract_id, make_timestamp(CAST(epoch(ts) AS BIGINT) // 14400 * 14400 * 1000000) AS bin FROM f) GROUP BY 1) q
   LEFT JOIN (SELECT contract_id, make_timestamp(CAST(epoch(ts) AS BIGINT) // 14400 * 14400 * 1000000) AS bin, avg(spread) AS m, stddev_samp(spread) AS s, min(spread) AS a, max(spread) AS b, arg_min(spread, ts) AS c, arg_max(spread, ts) AS d FROM f GROUP BY 1, 2) x
@@ -182,7 +183,7 @@ ANALYSIS = f"""SELECT b.*, coalesce(s1.n, 0) AS volume_surge_count, coalesce(s2.
   SELECT contract_id, avg(spread) AS avg_spread, avg(spread_pct) AS avg_spread_pct, avg(volume) AS avg_volume, avg(volatility_short) AS volatility, avg(depth_balance) AS depth_resilience, {', '.join(f'quantile_cont(spread, {p / 100}) AS spread_p{p}' for p in (10, 25, 50, 75, 90))} FROM f GROUP BY 1) b
   LEFT JOIN (SELECT contract_id, count(*) AS n FROM ({surge("volume", "volume")}) GROUP BY 1) s1 ON s1.contract_id = b.contract_id
   LEFT JOIN (SELECT contract_id, count(*) AS n FROM ({surge("abs_return", "volatility")}) GROUP BY 1) s2 ON s2.contract_id = b.contract_id
-  LEFT JOIN ({SLOPE_LOG}) sl ON sl.contract_id = b.contract_id LEFT JOIN ({_SHOCKS % 1800}) sh ON sh.contract_id = b.contract_id"""
+  LEFT JOIN ({_SLOPE_ALL}) sl ON sl.contract_id = b.contract_id LEFT JOIN ({_SHOCKS % 1800}) sh ON sh.contract_id = b.contract_id"""
 ALIGN = f"""SELECT contract_id, category, metric, CAST(x AS BIGINT) AS grid_min, y AS value, n FROM (
   SELECT *, count(y) OVER (PARTITION BY contract_id, metric) AS n FROM (
     SELECT contract_id, category, minutes_to_event AS x, 'spread' AS metric, yes_ask_c - yes_bid_c AS y FROM ev UNION ALL SELECT contract_id, category, minutes_to_event, 'volume', CAST(volume AS DOUBLE) FROM ev) WHERE y IS NOT NULL)

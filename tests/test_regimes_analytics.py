@@ -109,6 +109,18 @@ def test_collapse_slopes(bars, n):
     assert log_ == pytest.approx(np.polyfit(x[at], np.log(y[at]), 1)[0]) and raw == pytest.approx(np.polyfit(x, y, 1)[0])
 
 
+def test_contract_analysis_takes_every_row(bars):
+    """The slope of ln(spread) in the wide row is that of all 350 rows; 200 evenly placed ones give another."""
+    n = 350
+    r = np.random.default_rng(11)
+    x, y = np.linspace(0, 1, n), np.exp(r.normal(0, 1, n))
+    df = bars(spread=y.tolist(), lifecycle_ratio=x.tolist(), spread_pct=[0.1] * n, volume=[1] * n, volatility_short=[0.1] * n, depth_balance=[0.5] * n, abs_return=[0.0] * n)
+    got, some = analytics.contract_analysis(df).first().spread_collapse_log, analytics.collapse_slope_log(df).first()[1]
+    assert got == pytest.approx(np.polyfit(x, np.log(y), 1)[0]) and got != pytest.approx(some, rel=0.01)
+    few = analytics.contract_analysis(df.limit(9)).first()
+    assert few.spread_collapse_log is None
+
+
 def test_surges(bars):
     v = [10, 12, 11, 10, 12, 11, 500]
     r = analytics.volume_surges(bars(volume=v)).collect()
