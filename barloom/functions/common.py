@@ -32,9 +32,9 @@ def so_far(more: tuple[str, ...] = ()) -> WindowSpec:
     return by_time(more).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def backwards() -> WindowSpec:
+def backwards(more: tuple[str, ...] = ()) -> WindowSpec:
     """From the contract's end down to this row: a running frame, where a frame up to the end is worked out anew for each row."""
-    return whole().orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+    return whole().orderBy(F.desc("ts"), *[F.desc(c) for c in more]).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def rows(k: int, more: tuple[str, ...] = ()) -> WindowSpec:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import Cleaning
-from barloom.functions.common import backwards, by_time, clip, flag, safe_div, seconds, so_far, whole
+from barloom.functions.common import backwards, by_time, clip, flag, safe_div, seconds, so_far, ties, whole
 
 
 def price_columns(df: DataFrame) -> list[str]:
@@ -56,33 +56,33 @@ def validate(df: DataFrame, settings: Cleaning | None = None) -> DataFrame:
     return ids.join(errors, "contract_id", "left").select("contract_id", F.col("errors").isNull().alias("is_valid"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
 
 
-def fill_forward(c: str) -> Column:
-    return F.last(c, ignorenulls=True).over(so_far())
+def fill_forward(c: str, more: tuple[str, ...] = ()) -> Column:
+    return F.last(c, ignorenulls=True).over(so_far(more))
 
 
-def fill_backward(c: str) -> Column:
-    return F.last(c, ignorenulls=True).over(backwards())
+def fill_backward(c: str, more: tuple[str, ...] = ()) -> Column:
+    return F.last(c, ignorenulls=True).over(backwards(more))
 
 
-def _between() -> Column:
+def _between(more: tuple[str, ...]) -> Column:
     """By position, from ``__n`` and ``__item``: between the neighbours with values; the last one holds on, the start stays empty."""
-    before, behind = F.last("__item", ignorenulls=True).over(so_far()), F.last("__item", ignorenulls=True).over(backwards())
+    before, behind = F.last("__item", ignorenulls=True).over(so_far(more)), F.last("__item", ignorenulls=True).over(backwards(more))
     step = safe_div(behind["v"] - before["v"], behind["n"] - before["n"])
     return F.when(before.isNull(), None).when(behind.isNull(), before["v"]).when(behind["n"] == before["n"], before["v"]).otherwise(before["v"] + step * (F.col("__n") - before["n"]))
 
 
 def impute(df: DataFrame, columns: list[str], method: str = "forward_fill") -> DataFrame:
-    """Missing values by forward_fill (also midpoint), backward_fill or linear; drop changes nothing."""
-    columns = [c for c in columns if c in df.columns]
+    """Missing values by forward_fill (also midpoint), backward_fill or linear; drop changes nothing. Rows of one time go by event id."""
+    columns, more = [c for c in columns if c in df.columns], ties(df)
     if method == "drop":
         return df
     if method == "linear":
-        df = df.withColumn("__n", F.row_number().over(by_time()))
+        df = df.withColumn("__n", F.row_number().over(by_time(more)))
         for c in columns:
-            df = df.withColumn("__item", F.when(F.col(c).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(c).cast("double").alias("v")))).withColumn(c, _between())
+            df = df.withColumn("__item", F.when(F.col(c).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(c).cast("double").alias("v")))).withColumn(c, _between(more))
         return df.drop("__n", "__item")
     fill = fill_backward if method == "backward_fill" else fill_forward
-    return df.withColumns({c: fill(c) for c in columns})
+    return df.withColumns({c: fill(c, more) for c in columns})
 
 
 def impute_quotes(df: DataFrame) -> DataFrame:

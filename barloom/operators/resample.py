@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.common import by_time, ties
 
-def _edge(c: str, pick) -> Column:
+
+def _edge(c: str, pick, order: str) -> Column:
     """The first or last non-null value of a bin: max_by and min_by leave rows with a null order out."""
-    return pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("ts")))
+    return pick(F.col(c), F.when(F.col(c).isNotNull() & F.col("ts").isNotNull(), F.col(order)))
 
 
 def resample(df: DataFrame, seconds: int = 60, keep: tuple[str, ...] = ("category",)) -> DataFrame:
@@ -16,9 +18,11 @@ def resample(df: DataFrame, seconds: int = 60, keep: tuple[str, ...] = ("categor
 
     Volumes and trade counts are sums and 0 in empty bins; first, highest, lowest and last prices
     and quotes are taken by name and filled forward. ``keep`` are constants of a contract.
-    Other columns go.
+    Rows of one time go by event id, where there is one. Other columns go.
     """
-    names = set(df.columns)
+    names, order = set(df.columns), "ts"
+    if ties(df):  # a number in the window's own order: max_by a struct would cost a sort of its own
+        df, order = df.withColumn("__at", F.row_number().over(by_time(ties(df)))), "__at"
     bin_ = F.timestamp_micros(F.floor(F.unix_micros("ts") / (seconds * 1_000_000)) * (seconds * 1_000_000))
     aggs: dict[str, Column] = {}
     for c in ("volume", "trade_count"):
@@ -26,7 +30,7 @@ def resample(df: DataFrame, seconds: int = 60, keep: tuple[str, ...] = ("categor
             aggs[c] = F.coalesce(F.sum(c), F.lit(0))
     for c, f in (("price_o", F.min_by), ("price_c", F.max_by), ("yes_bid_c", F.max_by), ("yes_ask_c", F.max_by)):
         if c in names:
-            aggs[c] = _edge(c, f)
+            aggs[c] = _edge(c, f, order)
     for c, f in (("price_h", F.max), ("yes_bid_h", F.max), ("yes_ask_h", F.max), ("price_l", F.min), ("yes_bid_l", F.min), ("yes_ask_l", F.min)):
         if c in names:
             aggs[c] = f(c)

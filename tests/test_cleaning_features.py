@@ -28,6 +28,23 @@ def test_fills(bars, column):
     assert column(q, "yes_bid_c")[1] == 49 and column(q, "yes_ask_c")[1] == 51
 
 
+def test_fills_and_bins_of_rows_of_one_time(bars):
+    """Four rows for each time: fills and bins take them by event id, in whatever order they come."""
+    n = 120
+    r = np.random.default_rng(7)
+    price = [None if k % 3 else float(v) for k, v in enumerate(r.integers(20, 80, n))]
+    raw = bars(event_id=list(range(n)), price_c=price, yes_bid_c=r.integers(10, 40, n).astype(float).tolist(), yes_ask_c=r.integers(41, 60, n).astype(float).tolist(), volume=r.integers(0, 90, n).tolist(), types={"event_id": "long"})
+    raw = raw.withColumn("ts", F.date_trunc("day", "ts") + F.make_interval(mins=(F.col("event_id") / 4).cast("int") * 20)).coalesce(1)
+    a, b = (sorted(resample(cleaning.clean(raw.sortWithinPartitions(o)), 3600).collect()) for o in (F.asc("event_id"), F.desc("event_id")))
+    want = pd.Series(price).ffill()[11::12].tolist()  # three times of four rows make a bin
+    assert a == b and [x.price_c for x in a] == want
+    for method in ("backward_fill", "linear"):
+        a, b = (sorted(cleaning.impute(raw.sortWithinPartitions(o), ["price_c"], method).select("event_id", F.coalesce("price_c", F.lit(-1.0))).collect()) for o in (F.asc("event_id"), F.desc("event_id")))
+        assert a == b
+    plan = resample(cleaning.clean(raw), 3600)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and plan.count("Sort [") <= 2  # none for the numbers
+
+
 def test_winsorize_and_clamp(bars, column):
     x = [0.01, 0.02, -0.5, 0.03, 0.5, 0.02, None]
     got = column(cleaning.winsorize(bars(pct_return=x), ["pct_return"], 0.1, 0.1), "pct_return")
